@@ -64,3 +64,37 @@ def bucketed_prefix(df: DataFrame, keys: list[str], order: list[Column], amount:
     across = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = sums.withColumn(out, F.sum(total).over(across) - F.col(total)).drop(total)
     return dealt.join(offsets, [*keys, b]).withColumn(out, F.col(out) + F.col(within)).drop(b, a, within)
+
+
+def bound_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 16) -> None:
+    """Bound what Arrow hands to Python at once, by rows and by bytes, so that long texts fit in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+
+
+def components(edges: DataFrame, tag: str = "cc", most_rounds: int = 60) -> DataFrame:
+    """node, root (the smallest node reachable) of an undirected graph given as edges (a, b).
+
+    Alternating large-star and small-star steps. Minima are aggregates with map-side
+    combine, joined back to a materialised table, so a node with very many links is
+    split by the skew join and never collected."""
+    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e = materialize(e, f"{tag}-edges")
+    before = None
+    for _ in range(most_rounds):
+        # Large star: the larger neighbours of u point at u's smallest neighbour, or u.
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{tag}-low")
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialize(large.filter("a <> b").distinct(), f"{tag}-large")
+        # Small star: u and its smaller neighbours point at the smallest of them.
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), f"{tag}-small")
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+        e = materialize(small.filter("a <> b").distinct(), f"{tag}-edges")
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError("the components did not settle")
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, sharding
+from . import decontaminate, pii, sharding, simhash
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op3_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.mark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -24,6 +28,7 @@ def op10_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii_sanitisation": op3_pii_sanitisation,
+    "op5_simhash_trie": op5_simhash_trie,
     "op9_decontamination": op9_decontamination,
     "op10_balanced_sharding": op10_balanced_sharding,
 }
