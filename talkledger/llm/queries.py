@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, pii, sharding, simhash
+from . import decontaminate, licences, pii, sharding, simhash, warc
 from .common import table
 
 
+def op1_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.report(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.mark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -27,12 +35,15 @@ def op10_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_from_arc": op1_warc_from_arc,
     "op3_pii_sanitisation": op3_pii_sanitisation,
     "op5_simhash_trie": op5_simhash_trie,
+    "op8_licence_scan": op8_licence_scan,
     "op9_decontamination": op9_decontamination,
     "op10_balanced_sharding": op10_balanced_sharding,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc_from_arc": warc.oracle_sql(),
     "op9_decontamination": decontaminate.oracle_sql(),
 }
