@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licences, pii, sharding, simhash, warc
+from . import decontaminate, licences, pii, quality, sharding, simhash, sitetree, warc
 from .common import table
 
 
@@ -18,10 +18,18 @@ def op3_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op4_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitetree.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.report(table(spark, sf_dir, "documents"))
 
@@ -37,7 +45,9 @@ def op10_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_from_arc": op1_warc_from_arc,
     "op3_pii_sanitisation": op3_pii_sanitisation,
+    "op4_site_style_tree": op4_site_style_tree,
     "op5_simhash_trie": op5_simhash_trie,
+    "op6_rule_ensemble": op6_rule_ensemble,
     "op8_licence_scan": op8_licence_scan,
     "op9_decontamination": op9_decontamination,
     "op10_balanced_sharding": op10_balanced_sharding,
