@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licences, pii, quality, sharding, simhash, sitetree, warc
+from . import decontaminate, licences, mips, pii, quality, sentencepieces, sharding, simhash, sitetree, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_warc_from_arc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_norm_bucketed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mips.report(table(spark, sf_dir, "embeddings"))
+
+
 def op3_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.report(table(spark, sf_dir, "documents"))
+
+
 def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.report(table(spark, sf_dir, "documents"))
 
@@ -44,10 +52,12 @@ def op10_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_from_arc": op1_warc_from_arc,
+    "op2_norm_bucketed_search": op2_norm_bucketed_search,
     "op3_pii_sanitisation": op3_pii_sanitisation,
     "op4_site_style_tree": op4_site_style_tree,
     "op5_simhash_trie": op5_simhash_trie,
     "op6_rule_ensemble": op6_rule_ensemble,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_licence_scan": op8_licence_scan,
     "op9_decontamination": op9_decontamination,
     "op10_balanced_sharding": op10_balanced_sharding,
@@ -55,5 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_warc_from_arc": warc.oracle_sql(),
+    "op2_norm_bucketed_search": mips.oracle_sql(),
     "op9_decontamination": decontaminate.oracle_sql(),
 }
