@@ -23,13 +23,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before A-Z are in lower case.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between words. Splitting there is several times as fast as extracting the words.
+GAP, RAW_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Up to so many windows are broadcast: some 200 bytes each, 40 MB in all.
 BROADCAST_WINDOWS = 200_000
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP, -1), "")
 
 
 def _key(text: Column) -> Column:
@@ -84,7 +86,7 @@ def mark_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFra
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs."""
     hits = find_hits(docs, benchmark, n)
     text = F.coalesce(F.col("text"), F.lit(""))
-    counted = docs.select("doc_id", _key(F.col("text")).alias("tkey"), F.regexp_count(text, F.lit(RAW_WORD)).cast("long").alias("n_words"))
+    counted = docs.select("doc_id", _key(F.col("text")).alias("tkey"), F.size(F.array_remove(F.split(text, RAW_GAP, -1), "")).cast("long").alias("n_words"))
     out = _joined(counted, hits)
     none = F.array().cast("array<string>")
     ids = F.coalesce(F.array_sort(F.transform("h_items", lambda i: i.cast("string"))), none)
