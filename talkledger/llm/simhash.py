@@ -219,3 +219,97 @@ def report(docs: DataFrame, shingle: int = SHINGLE, errors: int = ERRORS) -> Dat
     """doc_id, fingerprint (16 hexadecimal digits), component_id."""
     found = near_duplicates(docs, shingle, errors)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def word_fingerprint(text: bytes, seed: int = 42) -> int:
+    """The fingerprint of the set of words: an edited word moves it far less than that of shingles."""
+    hashes = [xxhash.xxh64_intdigest(w, seed) for w in set(text.lower().split())]
+    if not hashes:
+        return 0
+    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((bits * 2 > len(hashes)).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The different shingles of a text, as sorted hashes."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a : b - 1]) for a, b in zip([0, *ends], ends[min(shingle, len(words)) - 1 :])], np.uint64))  # noqa: B905
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; two empty sets are equal."""
+    if not len(a) and not len(b):
+        return 1.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _similar_pairs(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """tkey, same: whether text is similar to rep_text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple = (None, None)
+        for b in batches:
+            same = []
+            for rep, text, other in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):  # noqa: B905
+                if held[0] != rep:
+                    held = (rep, shingle_hashes(other.as_py(), shingle))
+                same.append(similarity(held[1], shingle_hashes(text.as_py(), shingle)) >= least)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.bool_())], names=["tkey", "same"])
+
+    return pairs.mapInArrow(run, "tkey long, same boolean")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, errors: int = 7, most_rounds: int = 16) -> DataFrame:
+    """docs with one row of each group of near copies, the one of the smallest doc_id.
+
+    Candidates are components of word-set fingerprints that differ in at most `errors` bits, by
+    the trie self-join. Within one, the smallest document leads; those whose sets of `shingle`
+    words have a Jaccard similarity of `least` or more with its set are its copies; of the rest
+    the smallest leads next, and so on. What is left after `most_rounds` leaders of a component
+    stays. Equal texts are one from the start. Rows of equal doc_id and text are one, too."""
+    spark = docs.sparkSession
+    bound_batches(spark)
+    did, tkey = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.coalesce("text", F.lit("")))
+    raw = docs.select(did.alias("did"), tkey.alias("tkey"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([word_fingerprint(t.as_py()) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found)], names=["did", "tkey", "fp"])
+
+    texts = raw.mapInArrow(run, "did long, tkey long, fp long").groupBy("tkey").agg(F.min("did").alias("did"), F.min("fp").alias("fp"))
+    texts = materialize(texts, "dedup-texts")
+    fps = materialize(texts.select("fp").distinct(), "dedup-prints")
+    roots = components(link_forest(fps, fps.count(), errors), "dedup")
+    texts = texts.join(roots, texts["fp"] == roots["node"], "left").select("tkey", "did", F.coalesce("root", "fp").alias("root"))
+    texts = materialize(texts, "dedup-rooted")
+    several = texts.groupBy("root").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("root")
+    several = materialize(texts.join(several, "root", "left_semi"), "dedup-several")
+    # The texts of groups only, each once.
+    open_ = raw.join(several, ["did", "tkey"]).select("root", "tkey", "did", "text").dropDuplicates(["tkey"])
+    open_ = materialize(open_, "dedup-open")
+    copies = None
+    for _ in range(most_rounds):
+        leads = open_.groupBy("root").agg(F.min(F.struct("did", "tkey")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+        leads = leads.select(F.col("lead.tkey").alias("rep"), "root")
+        leads = materialize(leads.join(open_.select(F.col("tkey").alias("rep"), F.col("text").alias("rep_text")), "rep"), "dedup-leads")
+        if leads.isEmpty():
+            break
+        pairs = open_.join(leads, "root").filter("tkey <> rep").select("tkey", "rep", "text", "rep_text")
+        judged = materialize(_similar_pairs(pairs, shingle, least), "dedup-judged")
+        found = judged.filter("same").select("tkey")
+        copies = found if copies is None else copies.unionByName(found)
+        open_ = materialize(open_.join(judged.filter("not same").select("tkey"), "tkey"), "dedup-open")
+    kept = texts.select("did", "tkey")
+    if copies is not None:
+        kept = kept.join(copies, "tkey", "left_anti")
+    kept = materialize(kept.select(F.col("did").alias("k_did"), F.col("tkey").alias("k_tkey")), "dedup-kept")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), did.alias("did"), tkey.alias("tkey"))
+    out = packed.join(kept, (F.col("did") == F.col("k_did")) & (F.col("tkey") == F.col("k_tkey"))).dropDuplicates(["did", "tkey"])
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
