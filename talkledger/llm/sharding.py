@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 from .common import bucketed_prefix, buckets_for, materialize
 
 N_SHARDS = 24
-ROUNDS = 3
+ROUNDS = 4
 
 
 def _quota_moves(moves: DataFrame, room: list[int], buckets: int) -> DataFrame:
@@ -54,9 +54,13 @@ def propagate(state: DataFrame, n_shards: int, capacity: int, rounds: int, bucke
     of_group = Window.partitionBy("g")  # at most n_shards rows
     spot = F.pmod(F.xxhash64("g", "shard"), F.lit(1 << 20))
     for _ in range(rounds):
+        held = {r["shard"]: r["c"] for r in state.groupBy("shard").agg(F.sum("cnt").alias("c")).collect()}  # n_shards rows
+        free = F.element_at(F.array(*[F.lit(max(0, capacity - held.get(s, 0))) for s in range(n_shards)]).cast("array<bigint>"), F.col("shard") + 1)
+        # A group is drawn to where most of it can be: its members there and the room for more.
         ranked = (
             state.withColumn("n", F.sum("cnt").over(of_group))
-            .withColumn("rank", F.row_number().over(of_group.orderBy(F.desc("cnt"), spot, "shard")))
+            .withColumn("pull", F.least(F.col("n"), F.col("cnt") + free))
+            .withColumn("rank", F.row_number().over(of_group.orderBy(F.desc("pull"), F.desc("cnt"), spot, "shard")))
             .withColumn("homes", F.least(F.lit(n_shards), F.ceil(F.col("n") / F.lit(max(1, capacity)))).cast("int"))
             .withColumn("best", F.collect_list(F.struct("shard", "cnt")).over(of_group.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
         )
@@ -66,8 +70,6 @@ def propagate(state: DataFrame, n_shards: int, capacity: int, rounds: int, bucke
         )
         stays = ranked.filter("rank <= homes")
         moves = ranked.filter("rank > homes")
-        held = {r["shard"]: r["c"] for r in ranked.groupBy("shard").agg(F.sum("cnt").alias("c")).collect()}  # n_shards rows
-        room = [max(0, capacity - held.get(s, 0)) for s in range(n_shards)]
         # What leaves a shard makes room there too: half of it is counted, so that no round overfills.
         leaving = {r["shard"]: r["c"] for r in moves.groupBy("shard").agg(F.sum("cnt").alias("c")).collect()}
         room = [max(0, capacity - held.get(s, 0) + leaving.get(s, 0) // 2) for s in range(n_shards)]
@@ -107,15 +109,16 @@ def assign_shards(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROUND
     )
     total = base.count()
     buckets = buckets_for(total)
+    few = buckets_for(total, least=1)  # of (group, shard) counts: quotas are shared among these, so no more than needed
     sizes = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     spread = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "g")
     base = base.withColumn("spread", spread).withColumn("salt", F.pmod("spread", F.lit(buckets)).cast("int"))
 
     start = base.groupBy("g", F.pmod("spread", F.lit(n_shards)).cast("int").alias("shard")).agg(F.count(F.lit(1)).alias("cnt"))
     linked = materialize(start.withColumn("n", F.sum("cnt").over(Window.partitionBy("g"))).filter("n > 1").drop("n"), "shard-start")
-    state = propagate(linked, n_shards, total // n_shards, rounds, buckets)
+    state = propagate(linked, n_shards, total // n_shards, rounds, few)
     held = {r["shard"]: r["c"] for r in state.groupBy("shard").agg(F.sum("cnt").alias("c")).collect()}
-    state = _trim(state, sizes, [held.get(s, 0) for s in range(n_shards)], buckets)
+    state = _trim(state, sizes, [held.get(s, 0) for s in range(n_shards)], few)
     held = {r["shard"]: r["c"] for r in state.groupBy("shard").agg(F.sum("cnt").alias("c")).collect()}
     held = [held.get(s, 0) for s in range(n_shards)]
 

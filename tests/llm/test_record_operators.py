@@ -54,7 +54,7 @@ def test_exact_search(spark, shape):
     if shape == "ties":
         vectors[50:150] = vectors[50]
     if shape == "huge":
-        vectors *= 1e6
+        vectors *= 2e3  # scores beyond 2^53, within a long
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(1000, None), (1001, [1.0, None]), (1002, [float("nan")]), (1003, [float("inf")] * 8), (None, [1.0] * 8), (1004, []), (3, [float(x) for x in vectors[3]])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = mips.top_k(mips.quantised(df), F.col("vec_id") % 7 == 0, k, bucket=32, block=16)
