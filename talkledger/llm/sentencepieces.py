@@ -39,9 +39,9 @@ MARK = "▁"
 #: Types of pieces and models in the public file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-PART_CHARS = 200_000  # of new parts that are indexed at once
+PART_CHARS = 120_000  # of new parts that are indexed at once
 LONG_PART = 48  # characters: longer parts are joined one by one, with a heap
-MEMO = 300_000  # parts that a task keeps
+MEMO = 150_000  # parts that a task keeps
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
