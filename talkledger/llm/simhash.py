@@ -265,14 +265,16 @@ def _similar_pairs(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
     return pairs.mapInArrow(run, "tkey long, same boolean")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, errors: int = 7, most_rounds: int = 16) -> DataFrame:
-    """docs with one row of each group of near copies, the one of the smallest doc_id.
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, errors: int = 7) -> DataFrame:
+    """docs with one row of each group of near copies.
 
     Candidates are components of word-set fingerprints that differ in at most `errors` bits, by
-    the trie self-join. Within one, the smallest document leads; those whose sets of `shingle`
-    words have a Jaccard similarity of `least` or more with its set are its copies; of the rest
-    the smallest leads next, and so on. What is left after `most_rounds` leaders of a component
-    stays. Equal texts are one from the start. Rows of equal doc_id and text are one, too."""
+    the trie self-join. Within one, the most central text leads (the fingerprint nearest to the
+    majority of each bit, of equals the smallest doc_id): copies of one original differ less from
+    it than from each other. Texts whose sets of `shingle` words have a Jaccard similarity of
+    `least` or more with the leader's are its copies; of the rest the most central leads next,
+    until none is left alone with others. Equal texts are one from the start, under their
+    smallest doc_id. Rows of equal doc_id and text are one, too."""
     spark = docs.sparkSession
     bound_batches(spark)
     did, tkey = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.coalesce("text", F.lit("")))
@@ -287,16 +289,23 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, errors: int
     texts = materialize(texts, "dedup-texts")
     fps = materialize(texts.select("fp").distinct(), "dedup-prints")
     roots = components(link_forest(fps, fps.count(), errors), "dedup")
-    texts = texts.join(roots, texts["fp"] == roots["node"], "left").select("tkey", "did", F.coalesce("root", "fp").alias("root"))
+    texts = texts.join(roots, texts["fp"] == roots["node"], "left").select("tkey", "did", F.col("fp").alias("print"), F.coalesce("root", "fp").alias("root"))
     texts = materialize(texts, "dedup-rooted")
     several = texts.groupBy("root").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("root")
     several = materialize(texts.join(several, "root", "left_semi"), "dedup-several")
     # The texts of groups only, each once.
-    open_ = raw.join(several, ["did", "tkey"]).select("root", "tkey", "did", "text").dropDuplicates(["tkey"])
+    open_ = raw.join(several, ["did", "tkey"]).select("root", "tkey", "did", "print", "text").dropDuplicates(["tkey"])
     open_ = materialize(open_, "dedup-open")
     copies = None
-    for _ in range(most_rounds):
-        leads = open_.groupBy("root").agg(F.min(F.struct("did", "tkey")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    bit = lambda i: F.shiftrightunsigned(F.col("print"), i).bitwiseAND(F.lit(1).cast("long"))
+    while True:
+        sums = open_.groupBy("root").agg(F.count(F.lit(1)).alias("c"), *[F.sum(bit(i)).alias(f"b{i}") for i in range(BITS)]).filter("c > 1")
+        middle = F.lit(0).cast("long")
+        for i in range(BITS):
+            middle = middle.bitwiseOR(F.when(2 * F.col(f"b{i}") > F.col("c"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+        middles = materialize(sums.select("root", middle.alias("middle")), "dedup-middles")
+        away = F.bit_count(F.col("print").bitwiseXOR(F.col("middle")))
+        leads = open_.select("root", "tkey", "did", "print").join(middles, "root").groupBy("root").agg(F.min(F.struct(away.alias("away"), "did", "tkey")).alias("lead"))
         leads = leads.select(F.col("lead.tkey").alias("rep"), "root")
         leads = materialize(leads.join(open_.select(F.col("tkey").alias("rep"), F.col("text").alias("rep_text")), "rep"), "dedup-leads")
         if leads.isEmpty():
