@@ -55,6 +55,9 @@ NOISE = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog alert form toolbar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Names of the element that holds the text, where a page has neither article nor main.
+BODIES = frozenset("content main article post story entry main-content page-content article-body article-content article-text post-body post-content entry-content story-body".split())
+_NEGATED = re.compile(r"(?:no|not|has|with|without|is)[-_]", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -114,8 +117,9 @@ def parse(source: str) -> Node:
 
 
 def _zones(root: Node) -> tuple[set[int], list[Node]]:
-    """ids of the elements that hold an article or main, and the outermost articles, else mains, else the whole."""
-    holds, found, mains = set(), [], []
+    """ids of the elements that hold an article or main, and the outermost articles, else mains, else elements named like one, else the whole."""
+    holds, found, mains, bodies = set(), [], [], []
+    held: set[int] = set()
     stack = [(root, ())]
     while stack:
         node, above = stack.pop()
@@ -130,10 +134,15 @@ def _zones(root: Node) -> tuple[set[int], list[Node]]:
         if is_article or is_main:
             holds.update(above)
             (found if is_article else mains).append(node)
+        elif not noisy and node.tag in ("div", "section", "td") and any(n.lower() in BODIES for n in _names(node)) and not any(i in held for i in above):
+            bodies.append((node, above))
+            held.add(id(node))
         if is_article:
             continue
         stack += [(c, (*above, id(node))) for c in reversed(node.children) if isinstance(c, Node)]
-    return holds, found or mains or [root]
+    if not found and not mains:
+        holds.update(i for _, above in bodies for i in above)
+    return holds, found or mains or [n for n, _ in bodies] or [root]
 
 
 def _is_noise(node: Node) -> bool:
@@ -142,8 +151,22 @@ def _is_noise(node: Node) -> bool:
         return False
     if a.get("role", "").lower() in ROLES or a.get("aria-hidden") == "true" or "hidden" in a or re.search(r"display\s*:\s*none", a.get("style", "")):
         return True
-    names = f"{a.get('class', '')} {a.get('id', '')}"
-    return names != " " and any(w.lower() in NOISE for w in _WORD.findall(names))
+    return bool(_noise_words(node))
+
+
+def _names(node: Node) -> list[str]:
+    return f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".split()
+
+
+def _noise_words(node: Node) -> set[str]:
+    """The words of its class and id that mark noise. Of an article only whole names count: it may have comments without being one."""
+    if node.tag in ("article", "main"):
+        return {n.lower() for n in _names(node)} & NOISE
+    return {w.lower() for n in _names(node) if not _NEGATED.match(n) for w in _WORD.findall(n)} & NOISE
+
+
+def _is_header(node: Node) -> bool:
+    return node.tag == "header" or node.tag in ("div", "section", "hgroup") and _noise_words(node) == {"header"}
 
 
 def _key(node: Node, above: int) -> int:
@@ -211,7 +234,7 @@ def main_text(root: Node, low: frozenset = frozenset(), common: frozenset = froz
             continue
         zone = id(node) in wanted
         if not zone and id(node) not in holds and node.tag not in ("html", "body"):
-            if node.tag == "header" or inside and node.tag == "div" and "header" in node.attrs.get("class", "").split():
+            if _is_header(node):
                 if not inside:
                     continue
                 headings = True

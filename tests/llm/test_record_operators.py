@@ -83,6 +83,8 @@ def test_main_text():
     assert sitetree.main_text(sitetree.parse("<div><p>a<p>b</div>c")) == "a\nb\nc"
     assert sitetree.main_text(sitetree.parse("<body><!-- x --><p>a<!-- <p>no</p> --> b</p><script>x")) == "a b"
     assert sitetree.main_text(sitetree.parse("<p>" * 3000 + "deep")) == "deep"
+    assert sitetree.main_text(sitetree.parse("<article class='post has-comments'><div class='article-header'><h1>T</h1><i>by</i></div>x<article class=comment>no</article></article>")) == "T\nx"
+    assert sitetree.main_text(sitetree.parse("<div class='no-sidebar'><div>top</div><div id=content><p>x<div class=sidebar>s</div></div></div>")) == "x"
 
 
 def test_style_tree_removes_what_a_site_repeats(spark):
