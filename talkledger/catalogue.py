@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import labels as L
 from .functions import text as T
 from .functions.jsonx import first_array_udf, judge_object_udf, llm_object_udf, similarity_udf
-from .operators import coverage, metrics, review, rules, scoring, segment, snippets, training
+from .operators import coverage, metrics, present, review, rules, samples, scoring, segment, snippets, training
 from .plans import loop
 from .session import table
 
@@ -759,3 +759,65 @@ def json_extract_balanced(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def closed_loop(spark: SparkSession, sf: str) -> DataFrame:
     return loop.closed_loop(spark, spoken(spark, sf), demo_rules(spark))
+
+
+# --- what people read ----------------------------------------------------------------------
+
+
+@query(f"{RULE_ROWS} select transcript_id, string_agg(concat('Rule ', rule_id, ': ', case when passed then 'PASS' else 'FAIL' end, ' (score ', printf('%.3f', cast(score as double)), ')'), chr(10) order by rule_pos) as report from rr group by transcript_id")
+def evidence_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return present.rule_lines(rule_rows(spark, sf))
+
+
+_PHRASE = f"case when length({collapse_sql('text')}) <= 180 then {collapse_sql('text')} else concat(rtrim(substr({collapse_sql('text')}, 1, 177)), '...') end"
+
+
+@query(
+    f"""{BASE}, {ITEMS}, l as (select transcript_id, claim_order, concat('Rule ', rule_id, ': ', case when claim_order % 2 = 0 then 'Fail' when ver >= 0.5 then 'Pass' else 'Fail' end, ', score ', printf('%.3f', cast(ver as double)), '. Phrase: "', case when {_PHRASE} = '' then 'No phrase available.' else {_PHRASE} end, '".',
+      case when claim_order % 2 = 0 then ' Reviewer: Fail.' else '' end) as line from items),
+    n as (select *, row_number() over (partition by transcript_id order by claim_order) as n from l) select transcript_id, string_agg(concat(n, '. ', line), chr(10) order by n) as lines from n group by transcript_id"""
+)
+def suggested_labels(spark: SparkSession, sf: str) -> DataFrame:
+    items = review.review_items(scored(spark, sf)[2])
+    line = present.suggestion(F.col("rule_id"), F.lit(""), F.when(F.col("claim_order") % 2 == 0, "non_compliant").otherwise(""), F.col("ver"), F.col("text"))
+    return present.numbered_lines(items, "transcript_id", "claim_order", line)
+
+
+@query("select * from (values (0, 'Compliant', true), (1, 'Non-Compliant', false), (2, 'Compliant', true)) t(pos, final_label, approved)")
+def merge_edits(spark: SparkSession, sf: str) -> DataFrame:
+    items = spark.createDataFrame([(0, "", False), (1, "Compliant", True), (2, "Compliant", True)], "pos int, final_label string, approved boolean")
+    return present.merge_edits(items, spark.createDataFrame([(0, "Pass", "Yes"), (1, "fail", "no")], "pos int, label string, approved string"))
+
+
+@query("with s as (select doc_id, round(n_chars / (n_chars + 1000.0), 6) as after, quality, case doc_id % 3 when 0 then 0.1 when 1 then -0.1 else 0.0001 end as delta from documents join labels using (doc_id)) select doc_id, concat(case when (after >= 0.5) = (quality = 1) then 'success' else 'open' end, ':', case when delta > 0.0005 then 'up' when delta < -0.0005 then 'down' else 'flat' end) as status from s")
+def compare_status(spark: SparkSession, sf: str) -> DataFrame:
+    delta = F.when(F.col("doc_id") % 3 == 0, 0.1).when(F.col("doc_id") % 3 == 1, -0.1).otherwise(0.0001)
+    return _labelled(spark, sf).select("doc_id", present.compare_status(F.col("score"), F.col("expected"), delta).alias("status"))
+
+
+_THINK = strip_sql("regexp_replace(coalesce(text, ''), '(?is)<think(?:ing)?>.*?</think(?:ing)?>', '', 'g')")
+
+
+@query(
+    f"""with h as (select conv_id as chat_id, turn as pos, role, {_THINK} as text from conversations where role in ('user', 'assistant')),
+    k as (select *, row_number() over (partition by chat_id order by pos desc) as r from h where text <> '') select chat_id, pos, role, case when length({collapse_sql('text')}) <= 500 then {collapse_sql('text')} else concat(rtrim(substr({collapse_sql('text')}, 1, 497)), '...') end as content from k where r <= 6"""
+)
+def chat_history(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations")
+    return present.chat_history(c.select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("pos"), "role", F.col("text").alias("content")))
+
+
+OUTCOME_ROWS = [("Too few", "missing"), ("label-noise", "thin"), ("?", "thin,possible_label_noise"), (None, "underweighted,possible_label_noise"), ("", "missing"), ("boundary", "thin"), ("x", "underweighted")]
+
+
+@query("select * from (values ('Too few', 'missing', 'thin'), ('label-noise', 'thin', 'noise'), ('?', 'thin,possible_label_noise', 'thin'), (null, 'underweighted,possible_label_noise', 'noise'), ('', 'missing', 'missing'), ('boundary', 'thin', 'boundary'), ('x', 'underweighted', 'boundary')) t(answer, causes, outcome)")
+def investigated_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame(OUTCOME_ROWS, "answer string, causes string")
+    return rows.withColumn("outcome", samples.outcome(F.col("answer"), F.col("causes")))
+
+
+@query("select * from (values (1, 0, 'a rebooking fee  is due'.replace('  ', ' '), 'answer'), (1, 1, 'Just so you know, a change fee applies when we move this booking.', 'template'), (2, 0, 'We can skip that part.', 'template')) t(item_id, n, text, source)".replace("'a rebooking fee  is due'.replace('  ', ' ')", "'a rebooking fee is due'"))
+def gap_samples(spark: SparkSession, sf: str) -> DataFrame:
+    items = spark.createDataFrame([(1, "a change fee", L.PASS, "there is a change fee"), (2, "unknown anchor", L.FAIL, "x")], "item_id int, anchor string, label string, phrase string")
+    answers = spark.createDataFrame([(1, 0, "the fee is waived"), (1, 1, " a rebooking  fee is due"), (1, 2, "A rebooking fee is due"), (1, 3, "There is a change fee"), (2, 0, " ")], "item_id int, pos int, text string")
+    return samples.samples(items, answers)
