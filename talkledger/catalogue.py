@@ -417,7 +417,7 @@ def word_counts(spark: SparkSession, sf: str) -> DataFrame:
 _MARKERS = " + ".join(f"cast(contains(h, '{m}') as integer)" for m in T.LEAK_MARKERS)
 
 
-@query(rf"with a as (select conv_id, turn, {strip_sql('text')} as a from conversations where text is not null), b as (select *, lower(substr(a, 1, 500)) as h from a) select conv_id, turn, a <> '' and (regexp_matches(a, '(?i)^\s*(?:okay|ok|alright|hmm|let''s see|first)\b[, ]') or ({_MARKERS}) >= 2) as leaks from b")
+@query(rf"with a as (select conv_id, turn, {strip_sql('text')} as a from conversations where text is not null), b as (select *, lower(substr(a, 1, 500)) as h from a) select conv_id, turn, a <> '' and (regexp_matches(a, '(?i)^\s*(?:{"|".join(T.LEAK_LEADS)})\b') or ({_MARKERS}) >= 2) as leaks from b")
 def reasoning_leak(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").filter("text is not null").select("conv_id", "turn", T.leaks_reasoning(F.col("text")).alias("leaks"))
 

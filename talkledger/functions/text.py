@@ -18,6 +18,10 @@ LEAK_MARKERS = (
     "we are given", "rules to follow", "the user is asking", "let me check", "looking at the", "i need to",
     "the current context", "from the context", "let me draft", "we can say", "wait,",
 )
+#: How such answers start.
+LEAK_LEADS = (
+    "okay", "alright", "let me", "i need to", "the user", "looking at", "first,", "wait,", "we need to", "we are given", "rules to follow", "from the context",
+)
 
 
 def strip(x: Column) -> Column:
@@ -78,8 +82,9 @@ def cjk_count(x: Column) -> Column:
     return F.regexp_count(F.coalesce(x, F.lit("")), F.lit(CJK))
 
 
-def leaks_reasoning(x: Column, lead: str = r"(?i)^\s*(?:okay|ok|alright|hmm|let's see|first)\b[, ]") -> Column:
+def leaks_reasoning(x: Column) -> Column:
     """Reasoning at the start, or at least two markers in the first 500 characters."""
+    lead = rf"(?i)^\s*(?:{'|'.join(LEAK_LEADS)})\b"
     answer = strip(F.coalesce(x, F.lit("")))
     head = F.lower(F.substring(answer, 1, 500))
     n = sum((F.contains(head, F.lit(m)).cast("int") for m in LEAK_MARKERS), F.lit(0))

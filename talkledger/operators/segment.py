@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import normal_speaker, strip, words
 
-#: A diarised header: speaker number, start, end, text. A header with a name: name, text.
+#: The patterns of header lines. Diarised: speaker number, start, end, text. Named: name, text.
 DIARISED = r"^SPEAKER_(\d+)[ \t]+\[([\d.]+)s[ \t]*-[ \t]*([\d.]+)s\]:[ \t]*(.*)$"
 NAMED = r"^([A-Za-z][A-Za-z0-9 _/\-]{0,40})[ \t]*:[ \t]*(.*)$"
 
