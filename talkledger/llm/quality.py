@@ -162,5 +162,7 @@ def keep_good(docs: DataFrame, labelled: DataFrame, labels: DataFrame, sample: i
     """The rows of docs that the classifier doesn't reject, with all columns. labelled: what it learns from."""
     score = score_column(learn(labelled, labels, sample))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    kept = with_statistics(packed).withColumn("score", score).filter(F.col("score") >= THRESHOLD)
+    # A filter would be pushed below the statistics, which would then be computed anew for each rule that
+    # tests them. A generator isn't: it makes one row of a good document, and none of another.
+    kept = with_statistics(packed).select(F.explode(F.slice(F.array("row"), 1, F.when(score >= THRESHOLD, 1).otherwise(0))).alias("row"))
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
