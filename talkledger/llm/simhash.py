@@ -26,10 +26,12 @@ from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import bound_batches, components, materialize
 
@@ -249,32 +251,38 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _similar_pairs(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """tkey, same: whether text is similar to rep_text."""
+def _greedy(frame: pd.DataFrame, shingle: int, least: float) -> pd.DataFrame:
+    """tkey, kept of one component's batch, by rank: a text that is similar to no kept one before it is kept."""
+    kept: list[np.ndarray] = []
+    out = []
+    for tkey, text in frame.sort_values("rank")[["tkey", "text"]].itertuples(index=False):
+        own = shingle_hashes(bytes(text), shingle)
+        new = not any(similarity(own, k) >= least for k in kept)
+        if new:
+            kept.append(own)
+        out.append((tkey, new))
+    return pd.DataFrame(out, columns=["tkey", "kept"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple = (None, None)
-        for b in batches:
-            same = []
-            for rep, text, other in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):  # noqa: B905
-                if held[0] != rep:
-                    held = (rep, shingle_hashes(other.as_py(), shingle))
-                same.append(similarity(held[1], shingle_hashes(text.as_py(), shingle)) >= least)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.bool_())], names=["tkey", "same"])
 
-    return pairs.mapInArrow(run, "tkey long, same boolean")
+def _held_against(rest: pd.DataFrame, leads: pd.DataFrame, shingle: int, least: float) -> pd.DataFrame:
+    """tkey, same: whether each text of rest is similar to any of leads."""
+    sets = [shingle_hashes(bytes(t), shingle) for t in leads["text"]]
+    same = [any(similarity(own, k) >= least for k in sets) for own in (shingle_hashes(bytes(t), shingle) for t in rest["text"])]
+    return pd.DataFrame({"tkey": rest["tkey"].astype("int64"), "same": same})
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, errors: int = 7) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, errors: int = 7, batch: int = 256, batch_bytes: int = 32 << 20) -> DataFrame:
     """docs with one row of each group of near copies.
 
     Candidates are components of word-set fingerprints that differ in at most `errors` bits, by
     the trie self-join. Within one, the most central text leads (the fingerprint nearest to the
     majority of each bit, of equals the smallest doc_id): copies of one original differ less from
     it than from each other. Texts whose sets of `shingle` words have a Jaccard similarity of
-    `least` or more with the leader's are its copies; of the rest the most central leads next,
-    until none is left alone with others. Equal texts are one from the start, under their
-    smallest doc_id. Rows of equal doc_id and text are one, too."""
+    `least` or more with the leader's are its copies; of the rest the most central leads next, and
+    so on. The `batch` most central texts (`batch_bytes` at most) are settled in one task, then the
+    rest of the component is held against what they keep, in parts of as many, round by round until
+    all are settled. Equal texts are one from the start, under their smallest doc_id. Rows of equal
+    doc_id and text are one, too."""
     spark = docs.sparkSession
     bound_batches(spark)
     did, tkey = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.coalesce("text", F.lit("")))
@@ -296,24 +304,38 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, errors: int
     # The texts of groups only, each once.
     open_ = raw.join(several, ["did", "tkey"]).select("root", "tkey", "did", "print", "text").dropDuplicates(["tkey"])
     open_ = materialize(open_, "dedup-open")
+    texts_of = open_.select("root", "tkey", "text")
     copies = None
     bit = lambda i: F.shiftrightunsigned(F.col("print"), i).bitwiseAND(F.lit(1).cast("long"))
-    while True:
-        sums = open_.groupBy("root").agg(F.count(F.lit(1)).alias("c"), *[F.sum(bit(i)).alias(f"b{i}") for i in range(BITS)]).filter("c > 1")
-        middle = F.lit(0).cast("long")
-        for i in range(BITS):
-            middle = middle.bitwiseOR(F.when(2 * F.col(f"b{i}") > F.col("c"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-        middles = materialize(sums.select("root", middle.alias("middle")), "dedup-middles")
-        away = F.bit_count(F.col("print").bitwiseXOR(F.col("middle")))
-        leads = open_.select("root", "tkey", "did", "print").join(middles, "root").groupBy("root").agg(F.min(F.struct(away.alias("away"), "did", "tkey")).alias("lead"))
-        leads = leads.select(F.col("lead.tkey").alias("rep"), "root")
-        leads = materialize(leads.join(open_.select(F.col("tkey").alias("rep"), F.col("text").alias("rep_text")), "rep"), "dedup-leads")
-        if leads.isEmpty():
-            break
-        pairs = open_.join(leads, "root").filter("tkey <> rep").select("tkey", "rep", "text", "rep_text")
-        judged = materialize(_similar_pairs(pairs, shingle, least), "dedup-judged")
-        found = judged.filter("same").select("tkey")
+    slim = open_.select("root", "tkey", "did", "print", F.octet_length("text").cast("long").alias("size"))
+    sums = slim.groupBy("root").agg(F.count(F.lit(1)).alias("c"), *[F.sum(bit(i)).alias(f"b{i}") for i in range(BITS)])
+    middle = F.lit(0).cast("long")
+    for i in range(BITS):
+        middle = middle.bitwiseOR(F.when(2 * F.col(f"b{i}") > F.col("c"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    middles = materialize(sums.select("root", middle.alias("middle")), "dedup-middles")
+    central = Window.partitionBy("root").orderBy("away", "did", "tkey")
+    away = F.bit_count(F.col("print").bitwiseXOR(F.col("middle")))
+    while not open_.isEmpty():
+        slim = open_.select("root", "tkey", "did", "print", F.octet_length("text").cast("long").alias("size")).join(middles, "root").withColumn("away", away)
+        first = slim.withColumn("rank", F.row_number().over(central)).filter(F.col("rank") <= batch)
+        first = first.withColumn("held", F.sum("size").over(Window.partitionBy("root").orderBy("rank"))).filter((F.col("rank") == 1) | (F.col("held") <= batch_bytes))
+        first = materialize(first.select("tkey", "rank"), "dedup-first")
+        settled = open_.join(first, "tkey").select("root", "tkey", "rank", "text").groupBy("root").applyInPandas(lambda f: _greedy(f, shingle, least), "tkey long, kept boolean")
+        settled = materialize(settled, "dedup-settled")
+        found = settled.filter("not kept").select("tkey")
         copies = found if copies is None else copies.unionByName(found)
+        open_ = materialize(open_.join(first, "tkey", "left_anti"), "dedup-open")
+        if open_.isEmpty():
+            break
+        # The rest of large components, in parts, against what was kept of their batch.
+        parts = open_.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(batch)), F.ceil(F.sum(F.octet_length("text")) / F.lit(batch_bytes))).cast("int").alias("parts"))
+        parts = materialize(parts, "dedup-parts")
+        rest = open_.join(parts, "root").select(F.col("root").alias("r_root"), F.pmod(F.xxhash64("tkey"), F.col("parts")).cast("int").alias("r_part"), "tkey", "text")
+        leads = texts_of.join(settled.filter("kept").select("tkey"), "tkey").join(parts, "root")
+        leads = leads.select(F.col("root").alias("l_root"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("l_part"), "text")
+        judged = rest.groupBy("r_root", "r_part").cogroup(leads.groupBy("l_root", "l_part")).applyInPandas(lambda a, b: _held_against(a, b, shingle, least), "tkey long, same boolean")
+        judged = materialize(judged, "dedup-judged")
+        copies = copies.unionByName(judged.filter("same").select("tkey"))
         open_ = materialize(open_.join(judged.filter("not same").select("tkey"), "tkey"), "dedup-open")
     kept = texts.select("did", "tkey")
     if copies is not None:

@@ -170,6 +170,8 @@ def test_keep_one(spark):
     out = simhash.keep_one(df)
     assert out.columns == df.columns
     assert sorted(r["doc_id"] for r in out.collect()) == [0, 3, 4, 5, 7]
+    # Small batches: the rest of a component is held against what each keeps.
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df, batch=1).collect()) == [0, 3, 4, 5, 7]
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
