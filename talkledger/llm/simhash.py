@@ -243,6 +243,21 @@ def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[a : b - 1]) for a, b in zip([0, *ends], ends[min(shingle, len(words)) - 1 :])], np.uint64))  # noqa: B905
 
 
+def prefix(own: np.ndarray, least: float, common: np.ndarray, by_hash: np.ndarray) -> np.ndarray:
+    """The first shingles of a sorted set, rarest first, so many that two sets with a Jaccard similarity of `least` or more share one.
+
+    Such sets share at least least * n of the n shingles of either, so not all of these lie behind the first n - ceil(least * n) + 1.
+    That holds for any order that is the same for all sets: `common` (most frequent last) only makes chance meetings rare."""
+    if not len(own):
+        return np.zeros(1, np.uint64)
+    rank = np.zeros(len(own), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own, sorter=by_hash), len(common) - 1)
+        rank = np.where(common[by_hash[at]] == own, by_hash[at] + 1, 0)
+    n = len(own)
+    return own[np.lexsort((own, rank))[: n - int(np.ceil(least * n - 1e-9)) + 1]]
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sorted sets; two empty sets are equal."""
     if not len(a) and not len(b):
@@ -271,11 +286,48 @@ def _held_against(rest: pd.DataFrame, leads: pd.DataFrame, shingle: int, least:
     return pd.DataFrame({"tkey": rest["tkey"].astype("int64"), "same": same})
 
 
+def _common(raw: DataFrame, shingle: int, texts: int = 20_000, most: int = 100_000) -> np.ndarray:
+    """The shingles that several of a sample of different texts have, the most frequent last."""
+    share = texts / max(raw.count(), 1)
+    sample = raw if share >= 1 else raw.filter(F.pmod("tkey", F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_hashes(t.as_py(), shingle) for t in b.column(1)]
+            keys = np.repeat(b.column(0).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["tkey", "token"])
+
+    counted = sample.select("tkey", "text").mapInArrow(run, "tkey long, token long").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    found = counted.orderBy(F.desc("c"), "token").limit(most).collect()
+    return np.array([r["token"] for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def prefix_links(texts: DataFrame, least: float, most: int = 32) -> DataFrame:
+    """Links (a, b) that connect the fingerprints of all pairs of texts (tkey, fp, n, tokens) that can be similar.
+
+    Beyond the first tokens of either text lie n - size(tokens) more, so the pair shares no more than what
+    their prefixes share and the larger of these rests; `least` calls for least / (1 + least) of the sum of both
+    sizes. A token of over `most` texts links each of them to the first, unweighed."""
+    tokens = materialize(texts.select("tkey", "fp", "n", F.col("n") - F.size("tokens"), F.explode("tokens").alias("token")).toDF("tkey", "fp", "n", "rest", "token"), "dedup-tokens")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("b")).filter("c > 1")
+    shared = materialize(shared, "dedup-shared")
+    star = tokens.join(shared.filter(F.col("c") > most), "token").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    few = tokens.join(shared.filter(F.col("c") <= most).select("token"), "token").groupBy("token").agg(F.sort_array(F.collect_list(F.struct("tkey", "fp", "n", "rest"))).alias("m"))
+    later = F.transform("m", lambda x, i: F.struct(x.alias("x"), F.slice(F.col("m"), i + 2, F.size("m")).alias("ys")))
+    pairs = few.select(F.explode(later).alias("p")).select("p.x", F.explode("p.ys").alias("y"))
+    pairs = pairs.filter(F.least("x.n", "y.n") >= least * F.greatest("x.n", "y.n") - 1e-6)
+    pairs = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
+    near = pairs.filter(F.col("c") + F.greatest("x.rest", "y.rest") >= least / (1 + least) * (F.col("x.n") + F.col("y.n")) - 1e-6)
+    return star.unionByName(near.filter("x.fp <> y.fp").select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, errors: int = 7, batch: int = 256, batch_bytes: int = 32 << 20) -> DataFrame:
     """docs with one row of each group of near copies.
 
-    Candidates are components of word-set fingerprints that differ in at most `errors` bits, by
-    the trie self-join. Within one, the most central text leads (the fingerprint nearest to the
+    Candidates are components of two kinds of links: word-set fingerprints that differ in at most
+    `errors` bits, by the trie self-join, and texts whose prefixes, the rarest of their shingles,
+    meet often enough. The second kind leaves out no pair of a similarity of `least` or more, however long the
+    passage that one has and the other has not. Within a component, the most central text leads (the fingerprint nearest to the
     majority of each bit, of equals the smallest doc_id): copies of one original differ less from
     it than from each other. Texts whose sets of `shingle` words have a Jaccard similarity of
     `least` or more with the leader's are its copies; of the rest the most central leads next, and
@@ -288,15 +340,22 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, errors: int
     did, tkey = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.coalesce("text", F.lit("")))
     raw = docs.select(did.alias("did"), tkey.alias("tkey"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
+    common = _common(raw, shingle)
+    by_hash = np.argsort(common)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.array([word_fingerprint(t.as_py()) for t in b.column(2)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found)], names=["did", "tkey", "fp"])
+            sets = [shingle_hashes(t.as_py(), shingle) for t in b.column(2)]
+            sizes = pa.array([len(x) for x in sets], pa.int32())
+            tokens = pa.array([prefix(x, least, common, by_hash).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found), sizes, tokens], names=["did", "tkey", "fp", "n", "tokens"])
 
-    texts = raw.mapInArrow(run, "did long, tkey long, fp long").groupBy("tkey").agg(F.min("did").alias("did"), F.min("fp").alias("fp"))
-    texts = materialize(texts, "dedup-texts")
+    prints = materialize(raw.mapInArrow(run, "did long, tkey long, fp long, n int, tokens array<long>"), "dedup-prefixes")
+    texts = materialize(prints.groupBy("tkey").agg(F.min("did").alias("did"), F.min("fp").alias("fp")), "dedup-texts")
     fps = materialize(texts.select("fp").distinct(), "dedup-prints")
-    roots = components(link_forest(fps, fps.count(), errors), "dedup")
+    links = link_forest(fps, fps.count(), errors).unionByName(prefix_links(prints.dropDuplicates(["tkey"]), least))
+    roots = components(links, "dedup")
     texts = texts.join(roots, texts["fp"] == roots["node"], "left").select("tkey", "did", F.col("fp").alias("print"), F.coalesce("root", "fp").alias("root"))
     texts = materialize(texts, "dedup-rooted")
     several = texts.groupBy("root").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("root")

@@ -175,6 +175,28 @@ def test_keep_one(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_keep_one_finds_every_near_copy(spark):
+    """Appended, cut and edited copies from a similarity of 0.8 up, against brute force."""
+    rng = random.Random(7)
+    texts = []
+    for n in range(60):
+        w = [f"w{int(rng.paretovariate(0.7)) % 5000}" for _ in range(rng.randint(60, 400))]
+        more = [f"x{rng.randint(0, 10**6)}" for _ in range(int(len(w) * (0.08, 0.15, 0.2)[n % 3]))]
+        at = rng.randrange(len(w))
+        cut = w[: len(w) - len(more)] if n % 4 == 0 else w + more if n % 4 == 1 else w[:at] + more + w[at:] if n % 4 == 2 else more + w[len(more) :]
+        texts += [" ".join(w), " ".join(cut)]
+    passage = " ".join(f"p{n}" for n in range(60))
+    texts += [f"{passage} " + " ".join(f"q{n}" for n in rng.sample(range(10**6), 20 + n)) for n in range(40)]
+    sets = [simhash.shingle_hashes(t.encode(), 5) for t in texts]
+    like = lambda i, j: simhash.similarity(sets[i], sets[j]) >= 0.8
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if like(i, j)]
+    assert sum(i < 120 for i, _ in pairs) > 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(df).collect()}
+    assert not [p for p in pairs if kept.issuperset(p)]
+    assert all(any(like(i, k) for k in kept) for i in range(len(texts)))
+
+
 def test_quality_learns_a_rule(spark):
     rng = random.Random(3)
     rows, labels = [], []
