@@ -7,9 +7,9 @@ information of term and entity is held against the entity's information content:
 
     disclosure(c, t) = PMI(c; t) / IC(c) = log2(N n(c,t) / (n(c) df(t))) / log2(N / n(c))
 
-It is 1 if t occurs beside c only, 0 if they are independent. Contexts, not rows, are
-counted, so copies of a text count once. A term that stands beside an entity in at least
-`support` contexts is generalised from `generalise_at` on and removed from `remove_at` on.
+It is 1 if t occurs beside c only, 0 if they are independent. All four are counts of
+different texts, so copies of a text count once. A term that stands beside an entity in at
+least `support` texts is generalised from `generalise_at` on and removed from `remove_at` on.
 
 Matches are found by patterns that need no backtracking over groups, so very long runs
 neither recurse nor take quadratic time; they give the same matches as the plain ones.
@@ -114,9 +114,9 @@ def _contexts(docs: DataFrame) -> DataFrame:
 
 
 def _near_terms(base: DataFrame) -> DataFrame:
-    """doc_id, tkey, kind, value, ctx, term, start, end: the terms near each base span."""
+    """doc_id, tkey, kind, value, term, start, end: the terms near each base span."""
     rows = base.filter(F.size("spans") > 0).select("doc_id", "tkey", F.explode("spans").alias("s"))
-    rows = rows.select("doc_id", "tkey", "s.*").withColumn("ctx", F.xxhash64("left", "right"))
+    rows = rows.select("doc_id", "tkey", "s.*")
     for side in ("left", "right"):
         rows = rows.withColumn(f"{side}_m", F.regexp_extract_all(side, F.lit(TERM), F.lit(0))).withColumn(f"{side}_p", F.split(side, TERM, -1))
     left = F.filter(_located(F.col("left_p"), F.col("left_m")), lambda w: (F.col("off") == 0) | (w["start"] > 0))  # no cut word
@@ -124,16 +124,16 @@ def _near_terms(base: DataFrame) -> DataFrame:
     left = F.slice(left, F.greatest(F.lit(1), F.size(left) - NEAR + 1), NEAR)
     place = lambda w, off: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + off).alias("at"), (w["end"] + off).alias("to"))
     rows = rows.withColumn("near", F.concat(F.transform(left, lambda w: place(w, F.col("off"))), F.transform(F.slice(right, 1, NEAR), lambda w: place(w, F.col("end")))))
-    rows = rows.select("doc_id", "tkey", "kind", "value", "ctx", F.explode("near").alias("w"))
-    return rows.select("doc_id", "tkey", "kind", "value", "ctx", "w.term", F.col("w.at").alias("start"), F.col("w.to").alias("end"))
+    rows = rows.select("doc_id", "tkey", "kind", "value", F.explode("near").alias("w"))
+    return rows.select("doc_id", "tkey", "kind", "value", "w.term", F.col("w.at").alias("start"), F.col("w.to").alias("end"))
 
 
 def disclosures(docs: DataFrame, near: DataFrame, base: DataFrame, support: int, generalise_at: float, remove_at: float) -> DataFrame:
     """kind, value, term, disclosure, action of the pairs beyond the threshold."""
-    pairs = near.select("kind", "value", "term", "ctx").distinct().groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_ct")).filter(F.col("n_ct") >= support)
-    entities = base.select(F.explode("spans").alias("s")).select("s.kind", "s.value", F.xxhash64("s.left", "s.right").alias("ctx")).distinct()
+    pairs = near.select("kind", "value", "term", "tkey").distinct().groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_ct")).filter(F.col("n_ct") >= support)
+    entities = base.select("tkey", F.explode("spans").alias("s")).select("s.kind", "s.value", "tkey").distinct()
     entities = entities.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_c"))
-    total = base.count()
+    total = base.select("tkey").distinct().count()
     # The threshold bounds a term's frequency: df <= n_ct (N / n_c)^(1 - threshold). The texts in which it
     # stands near any entity are a lower bound of df, so pairs beyond that can't pass and needn't be counted.
     beside = near.select("term", "tkey").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("beside"))
@@ -142,17 +142,16 @@ def disclosures(docs: DataFrame, near: DataFrame, base: DataFrame, support: int,
     pairs = materialize(pairs, "pii-pairs")
     candidates = materialize(pairs.select("term").distinct(), "pii-terms")
     n_terms = candidates.count()
-    # How many documents have each candidate, over the whole corpus; without candidates there is nothing to count.
-    has = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
+    # How many different texts have each candidate, over the whole corpus; without candidates there is nothing to count.
+    has = docs.select(F.xxhash64("text").alias("tkey"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
     if n_terms == 0:
         has = has.limit(0)
     elif n_terms <= BROADCAST_TERMS:
         has = has.join(F.broadcast(candidates), "term", "left_semi")
-    df = has.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = has.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     scored = pairs.join(df, "term")
-    seen = F.greatest(F.col("df"), F.col("n_ct"))  # a document may hold several contexts
     content = F.log2(F.lit(float(max(total, 1))) / F.col("n_c"))
-    score = F.log2(F.lit(float(max(total, 1))) * F.col("n_ct") / (F.col("n_c") * seen)) / content
+    score = F.log2(F.lit(float(max(total, 1))) * F.col("n_ct") / (F.col("n_c") * F.col("df"))) / content
     scored = scored.withColumn("disclosure", F.when(content > 0, score)).filter(F.col("disclosure") >= generalise_at)
     action = F.when(F.col("disclosure") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise"))
     return scored.select("kind", "value", "term", "disclosure", action.alias("action"))

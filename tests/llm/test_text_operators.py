@@ -57,6 +57,14 @@ def test_pii_terms_and_sanitised_text(spark):
     assert pii.sanitise(df).columns == df.columns
 
 
+def test_pii_copies_count_once(spark):
+    shown = [f"zebrafish boss@corp.example word{n} tail" for n in "abcd"]
+    others = [f"plain sentence about nothing, number {n}" for n in range(30)]
+    df = documents(spark, shown * 20 + others)
+    spans = [r["spans"] for r in pii.report(df).orderBy("doc_id").collect()]
+    assert all("term:0:9" in s for s in spans[:80]) and not any(spans[80:])
+
+
 def test_pii_empty_and_repeated(spark):
     assert pii.report(documents(spark, [])).count() == 0
     same = spark.createDataFrame([(None, "a@b.c")] * 3 + [(1, "a@b.c")], "doc_id long, text string")
