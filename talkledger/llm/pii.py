@@ -2,14 +2,15 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, found by
 pattern. Each different value is a protected entity c. Terms (runs of three letters or
-more) that stand near it are counted over the whole corpus, and the pointwise mutual
-information of term and entity is held against the entity's information content:
+more, outside e-mail addresses) of the texts that hold it are counted over the whole corpus,
+wherever they stand, and the pointwise mutual information of term and entity is held against the entity's information content:
 
     disclosure(c, t) = PMI(c; t) / IC(c) = log2(N n(c,t) / (n(c) df(t))) / log2(N / n(c))
 
-It is 1 if t occurs beside c only, 0 if they are independent. All four are counts of
-different texts, so copies of a text count once. A term that stands beside an entity in at
-least `support` texts is generalised from `generalise_at` on and removed from `remove_at` on.
+It is 1 if t occurs in texts with c only, 0 if they are independent. All four are counts of
+different texts, so copies of a text count once. A term that at least `support` texts share
+with an entity is generalised from `generalise_at` on and removed from `remove_at` on, at
+every place in each text that holds the entity.
 
 Matches are found by patterns that need no backtracking over groups, so very long runs
 neither recurse nor take quadratic time; they give the same matches as the plain ones.
@@ -40,8 +41,6 @@ MUST_HAVE = {"email": "@", "ip": ".", "phone": "+"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IP_PARTS = rf"^(?:{_PART}\.){{3}}{_PART}$"
 TERM = r"\p{L}{3,}"
-REACH = 64  # characters of context on either side
-NEAR = 4  # terms on either side
 SUPPORT, GENERALISE_AT, REMOVE_AT = 3, 0.9, 0.98
 #: Up to so many different terms are broadcast (some 40 bytes each).
 BROADCAST_TERMS = 500_000
@@ -100,56 +99,49 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return df.withColumn("spans", F.when(some, F.array_sort(F.concat(*every))).otherwise(F.array().cast(f"array<{SPAN}>"))).select(*docs.columns, "t", "spans")
 
 
-def _contexts(docs: DataFrame) -> DataFrame:
-    """doc_id, tkey, spans with the text around each: all that later steps need, small."""
+def _masked(text: Column) -> Column:
+    """text with blanks for its e-mail addresses, the only base spans with letters; places stay."""
+    found = F.regexp_extract_all(text, F.lit(PATTERNS["email"]), F.lit(0))
+    blanks = F.transform(F.split(text, PATTERNS["email"], -1), lambda p, i: F.concat(p, F.repeat(F.lit(" "), F.coalesce(F.length(F.get(found, i)), F.lit(0)))))
+    return F.when(text.contains("@"), F.array_join(blanks, "")).otherwise(text)
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+
+
+def _entities(docs: DataFrame) -> DataFrame:
+    """doc_id, tkey, spans, and the terms of texts with spans: all that later steps need."""
     based = base_spans(docs.select("doc_id", "text"))
+    terms = F.when(F.size("spans") > 0, F.array_distinct(F.transform(_terms(_masked(F.col("t"))), F.lower))).otherwise(F.array().cast("array<string>"))
+    return based.select("doc_id", F.xxhash64("text").alias("tkey"), "spans", terms.alias("terms"))
 
-    def around(s: Column) -> Column:
-        off = F.greatest(F.lit(0), s["start"] - REACH)
-        left = F.substring(F.col("t"), off + 1, s["start"] - off)
-        right = F.substring(F.col("t"), s["end"] + 1, F.lit(REACH))
-        return F.struct(s["start"], s["ord"], s["end"], s["kind"], s["value"], off.alias("off"), left.alias("left"), right.alias("right"))
-
-    return based.select("doc_id", F.xxhash64("text").alias("tkey"), F.transform("spans", around).alias("spans"))
-
-
-def _near_terms(base: DataFrame) -> DataFrame:
-    """doc_id, tkey, kind, value, term, start, end: the terms near each base span."""
-    rows = base.filter(F.size("spans") > 0).select("doc_id", "tkey", F.explode("spans").alias("s"))
-    rows = rows.select("doc_id", "tkey", "s.*")
-    for side in ("left", "right"):
-        rows = rows.withColumn(f"{side}_m", F.regexp_extract_all(side, F.lit(TERM), F.lit(0))).withColumn(f"{side}_p", F.split(side, TERM, -1))
-    left = F.filter(_located(F.col("left_p"), F.col("left_m")), lambda w: (F.col("off") == 0) | (w["start"] > 0))  # no cut word
-    right = F.filter(_located(F.col("right_p"), F.col("right_m")), lambda w: (F.length("right") < REACH) | (w["end"] < REACH))
-    left = F.slice(left, F.greatest(F.lit(1), F.size(left) - NEAR + 1), NEAR)
-    place = lambda w, off: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + off).alias("at"), (w["end"] + off).alias("to"))
-    rows = rows.withColumn("near", F.concat(F.transform(left, lambda w: place(w, F.col("off"))), F.transform(F.slice(right, 1, NEAR), lambda w: place(w, F.col("end")))))
-    rows = rows.select("doc_id", "tkey", "kind", "value", F.explode("near").alias("w"))
-    return rows.select("doc_id", "tkey", "kind", "value", "w.term", F.col("w.at").alias("start"), F.col("w.to").alias("end"))
-
-
-def disclosures(docs: DataFrame, near: DataFrame, base: DataFrame, support: int, generalise_at: float, remove_at: float) -> DataFrame:
-    """kind, value, term, disclosure, action of the pairs beyond the threshold."""
-    pairs = near.select("kind", "value", "term", "tkey").distinct().groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_ct")).filter(F.col("n_ct") >= support)
-    entities = base.select("tkey", F.explode("spans").alias("s")).select("s.kind", "s.value", "tkey").distinct()
-    entities = entities.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_c"))
-    total = base.select("tkey").distinct().count()
-    # The threshold bounds a term's frequency: df <= n_ct (N / n_c)^(1 - threshold). The texts in which it
-    # stands near any entity are a lower bound of df, so pairs beyond that can't pass and needn't be counted.
-    beside = near.select("term", "tkey").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("beside"))
-    most = F.col("n_ct") * F.pow(F.lit(float(max(total, 1))) / F.col("n_c"), F.lit(1 - generalise_at))
-    pairs = pairs.join(entities, ["kind", "value"]).join(beside, "term").filter(F.col("beside") <= most * (1 + 1e-9)).drop("beside")
+
+def disclosures(docs: DataFrame, copies: DataFrame, held: DataFrame, terms: DataFrame, total: int, support: int, generalise_at: float, remove_at: float) -> DataFrame:
+    """kind, value, term, disclosure, action of the pairs beyond the threshold.
+
+    copies: tkey, copies, of texts in several rows; held: kind, value, tkey, n_c; terms: tkey, term, beside (how many texts with any entity have it); total: the number of different texts."""
+    # The threshold bounds a term's frequency: df <= n_ct (N / n_c)^(1 - threshold). The texts with any
+    # entity are a lower bound of df, so pairs beyond that can't pass and needn't be counted.
+    room = F.pow(F.lit(float(max(total, 1))) / F.col("n_c"), F.lit(1 - generalise_at)) * (1 + 1e-9)
+    pairs = held.join(terms, "tkey").filter(F.col("beside") <= F.col("n_c") * room)
+    pairs = pairs.groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.max("n_c").alias("n_c"), F.max("beside").alias("beside"))
+    pairs = pairs.filter((F.col("n_ct") >= support) & (F.col("beside") <= F.col("n_ct") * room)).drop("beside")
     pairs = materialize(pairs, "pii-pairs")
     candidates = materialize(pairs.select("term").distinct(), "pii-terms")
     n_terms = candidates.count()
     # How many different texts have each candidate, over the whole corpus; without candidates there is nothing to count.
-    has = docs.select(F.xxhash64("text").alias("tkey"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
+    # A row counts for its share among the copies of its text, so that the sums need no list of texts.
+    terms_of = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))
+    rows = docs.select(F.xxhash64("text").alias("tkey"), "text")
+    rows = rows.join(F.broadcast(copies) if copies.count() <= BROADCAST_TERMS else copies, "tkey", "left")
+    has = rows.select((1 / F.coalesce("copies", F.lit(1))).alias("share"), F.explode(terms_of).alias("term"))
     if n_terms == 0:
         has = has.limit(0)
     elif n_terms <= BROADCAST_TERMS:
         has = has.join(F.broadcast(candidates), "term", "left_semi")
-    df = has.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = pairs.join(df, "term")
+    df = has.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("df"))
+    scored = pairs.join(df, "term").withColumn("df", F.greatest("df", "n_ct"))  # a few letters change the length of a run in lower case
     content = F.log2(F.lit(float(max(total, 1))) / F.col("n_c"))
     score = F.log2(F.lit(float(max(total, 1))) * F.col("n_ct") / (F.col("n_c") * F.col("df"))) / content
     scored = scored.withColumn("disclosure", F.when(content > 0, score)).filter(F.col("disclosure") >= generalise_at)
@@ -157,13 +149,36 @@ def disclosures(docs: DataFrame, near: DataFrame, base: DataFrame, support: int,
     return scored.select("kind", "value", "term", "disclosure", action.alias("action"))
 
 
+def _places(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """doc_id, tkey, added: every place of the terms (tkey, actions: a map by term) in the texts."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey")).join(hits, "tkey").dropDuplicates(["doc_id", "tkey"])
+    rows = rows.withColumn("m", _masked(F.col("text")))
+    # The very forms of the terms, as whole runs of letters: few places, whatever the text's length.
+    forms = F.array_join(F.filter(_terms(F.col("m")), lambda w: F.map_contains_key("actions", F.lower(w))), "|")
+    rows = rows.withColumn("one", F.concat(F.lit(r"(?<!\p{L})(?:"), forms, F.lit(r")(?!\p{L})")))
+    rows = rows.withColumn("found", F.regexp_extract_all("m", F.col("one"), F.lit(0))).withColumn("between", F.split("m", F.col("one"), -1))
+    at = _located(F.col("between"), F.col("found"))
+    added = F.transform(at, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at("actions", F.lower(s["value"])).alias("action")))
+    return rows.select("doc_id", "tkey", added.alias("added"))
+
+
 def find_spans(docs: DataFrame, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
     """doc_id, tkey, spans (base), added (the method's: start, end, action): a row for each row of docs."""
-    base = materialize(_contexts(docs), "pii-base")
-    near = materialize(_near_terms(base), "pii-near")
-    shown = materialize(disclosures(docs, near, base, support, generalise_at, remove_at), "pii-shown")
-    added = near.join(shown, ["kind", "value", "term"]).groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_set(F.struct("start", "end", "action"))).alias("added"))
-    added = added.withColumnsRenamed({"doc_id": "a_id", "tkey": "a_key"})
+    base = materialize(_entities(docs), "pii-base")
+    total = base.select("tkey").distinct().count()
+    copies = materialize(base.groupBy("tkey").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "pii-copies")
+    held = base.filter(F.size("spans") > 0).select("tkey", F.explode("spans").alias("s")).select("s.kind", "s.value", "tkey").distinct()
+    often = held.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_c")).filter(F.col("n_c") >= support)
+    held = materialize(held.join(often, ["kind", "value"]), "pii-held")
+    terms = base.filter(F.size("terms") > 0).join(held.select("tkey").distinct(), "tkey", "left_semi").select("tkey", F.explode("terms").alias("term")).distinct()
+    terms = materialize(terms, "pii-near")
+    beside = terms.groupBy("term").agg(F.count(F.lit(1)).alias("beside")).filter(F.col("beside") >= support)
+    terms = terms.join(beside, "term")
+    shown = materialize(disclosures(docs, copies, held, terms, total, support, generalise_at, remove_at), "pii-shown")
+    # The strongest action on a term in a text, whichever entities call for it.
+    hits = held.join(terms.join(shown.select("term").distinct(), "term", "left_semi"), "tkey").join(shown, ["kind", "value", "term"])
+    hits = hits.groupBy("tkey", "term").agg(F.max("action").alias("action")).groupBy("tkey").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions"))
+    added = _places(docs, materialize(hits, "pii-hits")).withColumnsRenamed({"doc_id": "a_id", "tkey": "a_key"})
     out = base.join(added, base["doc_id"].eqNullSafe(added["a_id"]) & base["tkey"].eqNullSafe(added["a_key"]), "left")
     bare = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind")))
     none = F.array().cast("array<struct<start:int,end:int,action:string>>")

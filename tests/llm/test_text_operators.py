@@ -65,6 +65,18 @@ def test_pii_copies_count_once(spark):
     assert all("term:0:9" in s for s in spans[:80]) and not any(spans[80:])
 
 
+def test_pii_terms_go_wherever_they_stand(spark):
+    far = " ".join(f"filling{chr(97 + n % 26)}" for n in range(60))
+    shown = [f"Zebrafish came first {far} mail boss@zebrafish.example word{n} {far} (ZEBRAFISH) zebrafishes" for n in "abcd"]
+    others = [f"plain sentence about nothing, first {far} mail of number {n}" for n in range(30)]
+    df = documents(spark, [*shown, *others])
+    spans = [r["spans"] for r in pii.report(df).orderBy("doc_id").collect()]
+    places = [[(m.start(), m.end()) for m in re.finditer(r"(?<!\w)zebrafish(?![\w.])", t, re.I)] for t in shown]
+    assert all(len(p) == 2 and all(f"term:{a}:{b}" in s for a, b in p) for p, s in zip(places, spans)) and not any(spans[4:])
+    out = [r["text"] for r in pii.sanitise(df).orderBy("doc_id").collect()]
+    assert not any(re.search(r"zebrafish\b", t, re.I) for t in out) and out[4:] == others
+
+
 def test_pii_empty_and_repeated(spark):
     assert pii.report(documents(spark, [])).count() == 0
     same = spark.createDataFrame([(None, "a@b.c")] * 3 + [(1, "a@b.c")], "doc_id long, text string")
