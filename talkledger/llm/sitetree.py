@@ -7,15 +7,15 @@ entropy is its importance. What looks and reads the same on every page has impor
 0. Branches below the threshold, and those whose very text stands on most of the host's
 pages, are removed from each page, as are elements whose kind, role or class says that they
 are no part of an article. What is left of the article (else of main, else of the body) is
-its text, block by block.
+its text, block by block. Pages of the very same html count once.
 
 Only counts go through a shuffle, summed on the tasks' side, so a host that holds a third
 of all pages is spread like the others. What comes back are nodes of low importance that a
 fixed share of a host's pages has, so they are at most a fixed number for each host.
 
 Defined cases: a null html, or one without text, gives an empty text; a null url is a host
-of its own; broken markup is closed where HTML implies it; repeated pages count each;
-a host of fewer than `least_pages` pages has no statistics; an empty table gives an empty
+of its own; broken markup is closed where HTML implies it; copies of a page
+get the same text, however many; a host of fewer than `least_pages` pages has no statistics; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -270,18 +270,24 @@ def style_tree(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            host, path, kind, key = [], [], [], []
-            for h, source in zip(b.column(0).to_pylist(), b.column(1)):  # noqa: B905
+            host, path, kind, key, share = [], [], [], [], []
+            for h, source, part in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):  # noqa: B905
                 for p, k, x in style_rows(parse(source.as_py())):
                     host.append(h)
+                    share.append(part)
                     path.append(_signed(p))
                     kind.append(k)
                     key.append(_signed(x))
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.int64()), pa.array(path, pa.int64()), pa.array(kind, pa.int32()), pa.array(key, pa.int64())], names=["host", "path", "kind", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.int64()), pa.array(path, pa.int64()), pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(share, pa.float64())], names=["host", "path", "kind", "key", "share"])
 
     raw = _raw(pages)
-    per_host = raw.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= least_pages)
-    counts = raw.select("host", "html").mapInArrow(run, "host long, path long, kind int, key long").groupBy("host", "path", "kind", "key").agg(F.count(F.lit(1)).alias("c"))
+    raw = raw.withColumn("page", F.xxhash64("html"))
+    seen = materialize(raw.groupBy("host", "page").agg(F.count(F.lit(1)).alias("copies")), "style-pages")
+    per_host = seen.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= least_pages)
+    # A row counts for its share among the copies of its page, so that all sums are over different pages.
+    copies = seen.filter("copies > 1")
+    raw = raw.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, ["host", "page"], "left").withColumn("share", 1 / F.coalesce("copies", F.lit(1)))
+    counts = raw.select("host", "html", "share").mapInArrow(run, "host long, path long, kind int, key long, share double").groupBy("host", "path", "kind", "key").agg(F.round(F.sum("share")).cast("long").alias("c"))
     counts = materialize(counts.join(per_host, "host"), "style-counts")
     part = counts.filter("kind > 0").groupBy("host", "path", "kind").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("l"), F.max("pages").alias("pages"))
     entropy = F.when(F.col("s") > 1, (F.log(F.col("s").cast("double")) - F.col("l") / F.col("s")) / F.log(F.col("s").cast("double"))).otherwise(1.0)

@@ -97,6 +97,13 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert sitetree.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_keeps_the_text_of_copied_pages(spark):
+    page = "<html><body><div class=box><p>Welcome to our site</p></div><article><p>Story {n} begins</p><p>and part {n} ends</p><p>Read on every page</p></article></body></html>"
+    pages = [(n, f"http://one.example/{n}", page.format(n=max(n, 12))) for n in range(20)]
+    rows = {r["page_id"]: r["text"] for r in sitetree.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(rows[n] == f"Story {max(n, 12)} begins\nand part {max(n, 12)} ends" for n in range(20))
+
+
 def plain_fingerprint(text, size=4):
     w = [x for x in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if x]
     if not w:
