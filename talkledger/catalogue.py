@@ -658,7 +658,7 @@ _CASES = f"""it as (select doc_id as item_id, source as rule_id, lang as anchor_
     si as (select item_id, it.label as want, po.label as label, pos, length(it.text) as la, length(po.dialogue) as lb, coalesce(round(len(list_intersect(it.w, po.w)) / nullif(cast(len(it.w) + len(po.w) - len(list_intersect(it.w, po.w)) as double), 0), 6), 0.0) as sim from it join po using (rule_id, anchor_key))"""
 
 
-@query(f"with {_CASES}, b as (select item_id, max(sim) as best from si where want = label and 2.0 * least(la, lb) / nullif(la + lb, 0) >= 0.37 group by item_id) select item_id, coalesce(best, 0.0) as best, case when coalesce(best, 0.0) >= 0.74 then 'covered' else 'gap' end as status from it left join b using (item_id)")
+@query(f"with {_CASES}, b as (select item_id, max(sim) as best from si where want = label group by item_id) select item_id, coalesce(best, 0.0) as best, case when coalesce(best, 0.0) >= 0.74 then 'covered' else 'gap' end as status from it left join b using (item_id)")
 def coverage_similarity(spark: SparkSession, sf: str) -> DataFrame:
     items, rows = _cases(spark, sf)
     return coverage.analyse(items, rows, coverage.token_jaccard)

@@ -32,8 +32,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def set_cosine(a: Column, b: Column) -> Column:
-    """Of two sets of words, as vectors of zeros and ones: built-in array functions, no lambda."""
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.sqrt(F.size(a).cast("double") * F.size(F.array_distinct(b)))), F.lit(0.0))
+    """Of two sets of words (arrays without repeats), as vectors of zeros and ones: built-in array functions, no lambda."""
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.sqrt(F.size(a).cast("double") * F.size(b))), F.lit(0.0))
 
 
 def lexical_retriever(claim: Column, chunk: Column) -> Column:
@@ -59,9 +59,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, size: int) -> DataF
 def hits(chunks: DataFrame, claims: DataFrame, s: Settings = Settings(), retrieve: Callable = lexical_retriever, verify: Callable = lexical_verifier) -> DataFrame:  # noqa: B008
     """transcript_id, claim_id, chunk_id, chunk, retr, rank, ver: the best chunks of each transcript for each claim, scored.
 
-    Only what the retriever keeps meets the verifier."""
+    Retriever and verifier see the different words of either side. Only what the retriever keeps meets the verifier."""
     c = claims.select("claim_id", F.array_distinct(words(F.lower("anchor"))).alias("claim_words"))
-    w = chunks.withColumn("chunk_words", words(F.lower("chunk")))
+    w = chunks.withColumn("chunk_words", F.array_distinct(words(F.lower("chunk"))))
     # Claims of a few rules against the chunks of a transcript: claims are sent to the tasks.
     pairs = w.crossJoin(F.broadcast(c)).withColumn("retr", retrieve(F.col("claim_words"), F.col("chunk_words")))
     rank = F.row_number().over(Window.partitionBy("transcript_id", "claim_id").orderBy(F.desc("retr"), "chunk_id"))

@@ -84,12 +84,14 @@ def plain_text(transcripts: DataFrame) -> DataFrame:
     return out.groupBy("transcript_id").agg(text.alias("transcript"))
 
 
-def chunk_array(text: Column, size: int, overlap: int) -> Column:
+def chunk_array(text: Column, w: Column, size: int, overlap: int) -> Column:
     """Windows of `size` words that overlap. A text of at most `size` words is one chunk, as it is;
-    a last chunk of one word is left out unless it is the first."""
+    a last chunk of one word is left out unless it is the first.
+
+    w: the text's words, a column of its own: what a lambda captures is evaluated again for each element."""
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be smaller than the window")
-    w, step = words(text), size - overlap
+    step = size - overlap
     starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1, F.lit(step)), lambda i: (i == 0) | (F.size(w) - i >= 2))
     long = F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " "))
     return F.when(F.size(w) > size, long).when(text != "", F.array(text)).otherwise(F.array().cast("array<string>"))
@@ -98,4 +100,6 @@ def chunk_array(text: Column, size: int, overlap: int) -> Column:
 def chunks(texts: DataFrame, size: int = 20, overlap: int = 15) -> DataFrame:
     """texts (id, text) exploded: chunk_id, chunk."""
     rest = [c for c in texts.columns if c != "text"]
-    return texts.select(*rest, F.posexplode(chunk_array(F.col("text"), size, overlap)).alias("chunk_id", "chunk"))
+    held = "talkledger words of the text"
+    split = texts.withColumn(held, words(F.col("text")))
+    return split.select(*[F.col(f"`{c}`") for c in rest], F.posexplode(chunk_array(F.col("text"), F.col(f"`{held}`"), size, overlap)).alias("chunk_id", "chunk"))

@@ -15,6 +15,8 @@ def local_session(cpus: int | None = None, name: str = "talkledger") -> SparkSes
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
+        # Small tables, dear rows: without it a few megabytes of text are one task.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
