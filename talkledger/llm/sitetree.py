@@ -1,22 +1,29 @@
 """Main text by site style trees (operator 4).
 
-Pages of a host are merged into one tree: a node is a path of elements with their classes.
-For each node the corpus gives the distribution of its presentations (the kinds of its
-children) and of its contents (hashes of its text) over the host's pages; their normalised
-entropy is its importance. What looks and reads the same on every page has importance near
-0. Branches below the threshold, and those whose very text stands on most of the host's
-pages, are removed from each page, as are elements whose kind, role or class says that they
-are no part of an article. What is left of the article (else of main, else of the body) is
-its text, block by block. Pages of the very same html count once.
+Pages of a host are merged into one tree: an element node is a path of elements with their
+classes, a content node a block's own text under such a path. Over the host's M different
+pages, a content on c of them has importance 1 - log c / log M, and an element the greater of
+the entropy of its presentations (the kinds of its children) and the mean importance of its
+contents. What looks and reads the same on every page is near 0, what stands on one page
+only is 1. A text goes if weight times importance is below `ELEMENT` for its element, or below
+`CONTENT` for itself; it weighs more in an article (`WEIGHTS`), so there only what nearly all pages
+share goes. As a branch is noise if everything in it is, removing a branch's texts one by one
+removes the branch.
+
+The names of elements, their roles and classes are a prior beside the tree: menus, adverts,
+comments and the like weigh nothing, and of what is left the article (else main, else an
+element named like one, else the body) is the text. `names=False` leaves this prior out.
 
 Only counts go through a shuffle, summed on the tasks' side, so a host that holds a third
-of all pages is spread like the others. What comes back are nodes of low importance that a
-fixed share of a host's pages has, so they are at most a fixed number for each host.
+of all pages is spread like the others. What comes back are contents on M ** (1 - CONTENT) pages
+or more, and elements on the square root of M or more (a smaller sample tells little of an element):
+of R nodes a page, at most R * M ** 0.5 for each host, 1000 R for a million pages.
 
 Defined cases: a null html, or one without text, gives an empty text; a null url is a host
-of its own; broken markup is closed where HTML implies it; copies of a page
-get the same text, however many; a host of fewer than `least_pages` pages has no statistics; an empty table gives an empty
-result; other columns are ignored.
+of its own; broken markup is closed where HTML implies it; a tag that never ends is ended at its
+first `>`, or is text where none follows; copies of a page count once and get the same text; a
+host of fewer than `least_pages` different pages has no tree, only the prior; an empty table
+gives an empty result; other columns are ignored. Time is linear in a page's length.
 """
 
 from __future__ import annotations
@@ -24,6 +31,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
@@ -33,14 +41,17 @@ from pyspark.sql import functions as F
 from .common import bound_batches, materialize
 
 LEAST_PAGES = 5
-LOW = 0.2  # importance below which a branch outside the article goes
-SHARE = 0.5  # of a host's pages with the very same text at a node: it goes wherever it is
-PATH_SHARE = 0.02  # of a host's pages that must have a node for it to be judged
-BROADCAST_ROWS = 500_000  # 24 bytes each
+ELEMENT = 0.75  # importance below which all texts of an element go
+CONTENT = 0.2  # importance below which a text goes
+WEIGHTS = {"article": 4.0, "body": 2.0, "": 1.0}  # in an article, in a main or an element named like one, elsewhere
+BROADCAST_ROWS = 500_000  # 32 bytes each
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-DROP = frozenset("script style head title noscript iframe template svg canvas math object embed audio video form button select option datalist textarea input label nav footer aside dialog menu noembed noframes xmp map".split())
+#: Elements that show no text of the page, whatever they are named.
+HIDDEN = frozenset("script style head title noscript iframe template svg canvas math object embed audio video select option datalist textarea input noembed noframes xmp map".split())
+#: Elements that by their kind are no part of an article.
+NAMED = frozenset("form button label nav footer aside dialog menu".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an opening tag closes if it is open in the same scope.
@@ -53,206 +64,234 @@ NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside widget widgets footer masthead topbar header cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus replies reply respond pagination pager search toolbar skip legal copyright disclaimer tagcloud outbrain taboola paywall".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog alert form toolbar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_START = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
+#: A tag's attributes up to its end; possessive, so a tag is read once.
+_REST = re.compile(r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+>")
 #: Names of the element that holds the text, where a page has neither article nor main.
 BODIES = frozenset("content main article post story entry main-content page-content article-body article-content article-text post-body post-content entry-content story-body".split())
 _NEGATED = re.compile(r"(?:no|not|has|with|without|is)[-_]", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-class Node:
-    __slots__ = ("attrs", "children", "tag")
-
-    def __init__(self, tag: str, attrs: dict[str, str]) -> None:
-        self.tag, self.attrs, self.children = tag, attrs, []
-
-
-def parse(source: str) -> Node:
-    root, at = Node("html", {}), 0
-    stack = [root]
-    while at < len(source):
-        m = _TOKEN.search(source, at)
-        text = source[at : m.start() if m else len(source)]
+@dataclass
+class Dom:
+    """Elements numbered in page order, and what happens in that order: (0, element) opens, (1, element) closes, (2, text)."""
+
+    tags: list[str] = field(default_factory=list)
+    attrs: list[dict[str, str]] = field(default_factory=list)
+    parents: list[int] = field(default_factory=list)
+    events: list[tuple[int, int | str]] = field(default_factory=list)
+
+
+def parse(source: str) -> Dom:
+    dom = Dom()
+    stack: list[int] = []
+    at_depth: dict[str, list[int]] = {}  # where on the stack the open elements of a kind are
+    scopes: list[int] = []
+
+    def push(tag: str, attrs: dict[str, str]) -> None:
+        n = len(dom.tags)
+        dom.tags.append(tag)
+        dom.attrs.append(attrs)
+        dom.parents.append(stack[-1] if stack else -1)
+        dom.events.append((0, n))
+        at_depth.setdefault(tag, []).append(len(stack))
+        if tag in SCOPE:
+            scopes.append(len(stack))
+        stack.append(n)
+
+    def cut(depth: int) -> None:
+        while len(stack) > depth:
+            n = stack.pop()
+            at_depth[dom.tags[n]].pop()
+            if dom.tags[n] in SCOPE:
+                scopes.pop()
+            dom.events.append((1, n))
+
+    push("html", {})
+    at, size, last, whole = 0, len(source), source.rfind(">"), True
+    while at < size:
+        m = _START.search(source, at)
+        if m and m[2] and m.start() > last:
+            m = None  # no tag ends from here on
+        text = source[at : m.start() if m else size]
         if text:
-            stack[-1].children.append(entities.unescape(text))
+            dom.events.append((2, entities.unescape(text)))
         if not m:
             break
         at = m.end()
         if not m[2]:
             continue
+        end = _REST.match(source, at) if whole else None
+        if end:
+            rest, at = source[at : end.end() - 1], end.end()
+        else:  # a quote swallows the rest: from now on tags end at the first >
+            whole = False
+            stop = source.find(">", at)
+            rest, at = source[at:stop], stop + 1
         tag = m[2].lower()
+        held = at_depth.get(tag)
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag == "p" and stack[i].tag in SCOPE:
-                    break
+            if held and held[-1] > 0 and (tag != "p" or held[-1] >= scopes[-1]):
+                cut(held[-1])
             continue
-        attrs = {a[1].lower(): entities.unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[3])} if m[3].strip(" \t\r\n/") else {}
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
-            same = next(n for n in stack if n.tag == tag)
-            same.attrs = attrs | same.attrs
+        attrs = {a[1].lower(): entities.unescape(a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(rest)} if rest.strip(" \t\r\n/") else {}
+        if tag in ("html", "body") and held:
+            n = stack[held[0]]
+            dom.attrs[n] = attrs | dom.attrs[n]
             continue
-        closes = CLOSES.get(tag, {"p"} if tag in BLOCK else set())
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in closes:
-                del stack[i:]
-                break
-            if stack[i].tag in SCOPE:
-                break
+        closes = CLOSES.get(tag, ("p",) if tag in BLOCK else ())
+        depth = max((at_depth[c][-1] for c in closes if at_depth.get(c)), default=-1)
+        if depth > 0 and depth >= scopes[-1]:
+            cut(depth)
         if tag == "body":
-            del stack[1:]
-        node = Node(tag, attrs)
-        stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>|</{tag}\Z|\Z", re.I).search(source, at)
-            at = end.end()
-            continue
-        stack.append(node)
-    return root
-
-
-def _zones(root: Node) -> tuple[set[int], list[Node]]:
-    """ids of the elements that hold an article or main, and the outermost articles, else mains, else elements named like one, else the whole."""
-    holds, found, mains, bodies = set(), [], [], []
-    held: set[int] = set()
-    stack = [(root, ())]
-    while stack:
-        node, above = stack.pop()
-        if node.tag in DROP or _is_noise(node) and node.tag != "body":
-            if node.tag not in ("div", "section", "html"):
-                continue
-            noisy = True
-        else:
-            noisy = False
-        is_article = node.tag == "article" and not noisy
-        is_main = node.tag == "main" or node.attrs.get("role") == "main"
-        if is_article or is_main:
-            holds.update(above)
-            (found if is_article else mains).append(node)
-        elif not noisy and node.tag in ("div", "section", "td") and any(n.lower() in BODIES for n in _names(node)) and not any(i in held for i in above):
-            bodies.append((node, above))
-            held.add(id(node))
-        if is_article:
-            continue
-        stack += [(c, (*above, id(node))) for c in reversed(node.children) if isinstance(c, Node)]
-    if not found and not mains:
-        holds.update(i for _, above in bodies for i in above)
-    return holds, found or mains or [n for n, _ in bodies] or [root]
+            cut(1)
+        push(tag, attrs)
+        if tag in VOID or rest.endswith("/") and tag in ("svg", "path"):
+            cut(len(stack) - 1)
+        elif tag in RAW:
+            at = re.compile(rf"</{tag}\s*>|</{tag}\Z|\Z", re.I).search(source, at).end()
+            cut(len(stack) - 1)
+    cut(0)
+    return dom
 
 
-def _is_noise(node: Node) -> bool:
-    a = node.attrs
-    if not a:
-        return False
-    if a.get("role", "").lower() in ROLES or a.get("aria-hidden") == "true" or "hidden" in a or re.search(r"display\s*:\s*none", a.get("style", "")):
-        return True
-    return bool(_noise_words(node))
-
-
-def _names(node: Node) -> list[str]:
-    return f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".split()
+def _names(attrs: dict[str, str]) -> list[str]:
+    return f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
 
 
-def _noise_words(node: Node) -> set[str]:
+def _noise_words(tag: str, attrs: dict[str, str]) -> set[str]:
     """The words of its class and id that mark noise. Of an article only whole names count: it may have comments without being one."""
-    if node.tag in ("article", "main"):
-        return {n.lower() for n in _names(node)} & NOISE
-    return {w.lower() for n in _names(node) if not _NEGATED.match(n) for w in _WORD.findall(n)} & NOISE
+    if tag in ("article", "main"):
+        return {n.lower() for n in _names(attrs)} & NOISE
+    return {w.lower() for n in _names(attrs) if not _NEGATED.match(n) for w in _WORD.findall(n)} & NOISE
 
 
-def _is_header(node: Node) -> bool:
-    return node.tag == "header" or node.tag in ("div", "section", "hgroup") and _noise_words(node) == {"header"}
-
-
-def _key(node: Node, above: int) -> int:
-    return xxhash.xxh64_intdigest(f"{node.tag}.{node.attrs.get('class', '')}", above)
+def _is_noise(tag: str, attrs: dict[str, str]) -> bool:
+    if not attrs:
+        return False
+    if attrs.get("role", "").lower() in ROLES or attrs.get("aria-hidden") == "true" or "hidden" in attrs or re.search(r"display\s*:\s*none", attrs.get("style", "")):
+        return True
+    return bool(_noise_words(tag, attrs))
 
 
-def _text(node: Node) -> str:
-    out, stack = [], [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif x.tag not in DROP:
-            if x.tag in BLOCK or x.tag == "br":
-                out.append(" ")
-            stack += reversed(x.children)
-    return " ".join("".join(out).split())
+def _is_header(tag: str, attrs: dict[str, str]) -> bool:
+    return tag == "header" or tag in ("div", "section", "hgroup") and _noise_words(tag, attrs) == {"header"}
 
 
-def style_rows(root: Node) -> set[tuple[int, int, int]]:
-    """(path, kind, key) of a page: kind 0 the node, 1 a presentation of it, 2 a content."""
-    rows = set()
-    stack = [(root, 0)]
-    while stack:
-        node, above = stack.pop()
-        if node.tag in DROP:
+def _zones(dom: Dom, noise: list[bool]) -> tuple[set[int], set[int], str]:
+    """The elements that hold an article or main; the outermost articles, else mains, else elements named like one,
+    else the whole; and which of these they are."""
+    tags, attrs, parents = dom.tags, dom.attrs, dom.parents
+    n = len(tags)
+    closed, in_body = [False] * n, [False] * n
+    articles, mains, bodies = [], [], []
+    for i in range(n):
+        up = parents[i]
+        tag = tags[i]
+        if up >= 0 and closed[up] or noise[i] and tag not in ("div", "section", "html"):
+            closed[i] = True
             continue
-        path = _key(node, above)
-        kinds = dict.fromkeys(c.tag if isinstance(c, Node) else "#" for c in node.children if isinstance(c, Node) or not c.isspace())
-        rows.add((path, 0, 0))
-        rows.add((path, 1, xxhash.xxh64_intdigest(" ".join(kinds))))
-        if node.tag in BLOCK and (text := _text(node) if not any(isinstance(c, Node) and c.tag in BLOCK for c in node.children) else ""):
-            rows.add((path, 2, xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))))
-        stack += [(c, path) for c in node.children if isinstance(c, Node)]
-    return rows
-
-
-def main_text(root: Node, low: frozenset = frozenset(), common: frozenset = frozenset()) -> str:
-    """low: paths of low importance; common: (path, content) that most of the host's pages have."""
-    holds, zones = _zones(root)
-    wanted = {id(z) for z in zones}
-    blocks: list[str] = []
-    line: list[str] = []
+        in_body[i] = up >= 0 and in_body[up]
+        if tag == "article" and not noise[i]:
+            articles.append(i)
+            closed[i] = True
+        elif tag == "main" or attrs[i].get("role") == "main":
+            mains.append(i)
+        elif not noise[i] and not in_body[i] and tag in ("div", "section", "td") and any(x.lower() in BODIES for x in _names(attrs[i])):
+            bodies.append(i)
+            in_body[i] = True
+    holds: set[int] = set()
+    for i in [*articles, *mains] or bodies:
+        up = parents[i]
+        while up >= 0 and up not in holds:
+            holds.add(up)
+            up = parents[up]
+    return holds, set(articles or mains or bodies or [0]), "article" if articles else "body" if mains or bodies else ""
+
+
+def texts_of(dom: Dom, names: bool = True) -> tuple[list[tuple[int, str, float]], set[tuple[int, int]]]:
+    """The page's texts in order, as (path of the block they stand in, text, weight), and its presentations (path, kinds of children).
+
+    A text is what stands between two ends of blocks. What the names call no part of an article weighs 0."""
+    tags, attrs, parents = dom.tags, dom.attrs, dom.parents
+    n = len(tags)
+    hidden = [t in HIDDEN for t in tags]
+    noise = [hidden[i] or names and (tags[i] in NAMED or _is_noise(tags[i], attrs[i])) and tags[i] != "body" for i in range(n)]
+    holds, zones, kind = _zones(dom, noise) if names else (set(), {0}, "")
+    path, inside, headings, out = [0] * n, [False] * n, [False] * n, [False] * n
+    kinds: list[dict[str, None]] = [{} for _ in range(n)]
+    texts: list[tuple[int, str, float]] = []
+    shown: set[tuple[int, int]] = set()
+    kept, cut, blocks, at = [], [], [0], 0
 
     def flush() -> None:
-        if text := " ".join("".join(line).split()):
-            blocks.append(text)
-        line.clear()
-
-    # (node, path above, inside a zone, only headings), or None where a block ends
-    stack: list = [(root, 0, False, False)]
-    while stack:
-        item = stack.pop()
-        if item is None:
-            flush()
-            continue
-        node, above, inside, headings = item
-        if isinstance(node, str):
-            if inside and not headings:
-                line.append(node)
-            continue
-        path = _key(node, above)
-        if node.tag == "br":
-            line.append(" ")
-            continue
-        zone = id(node) in wanted
-        if not zone and id(node) not in holds and node.tag not in ("html", "body"):
-            if _is_header(node):
-                if not inside:
-                    continue
-                headings = True
-            elif node.tag in DROP or _is_noise(node):
-                continue
-            in_article = inside and zones[0].tag == "article"
-            if not in_article and path in low:
-                continue
-            if common and node.tag in BLOCK and (path, xxhash.xxh64_intdigest(_text(node).encode("utf-8", "replace"))) in common:
-                continue
-        inside = inside or zone
-        block = node.tag in BLOCK
-        if block:
-            flush()
-            stack.append(None)
-        stack += [(c, path, inside, headings and node.tag not in HEADINGS) for c in reversed(node.children)]
+        for part, weight in ((kept, WEIGHTS[kind]), (cut, 0.0)):
+            if part and (text := " ".join("".join(part).split())):
+                texts.append((path[blocks[-1]], text, weight))
+            part.clear()
+
+    stack: list[int] = []
+    for what, x in dom.events:
+        if what == 2:
+            at = stack[-1]
+            if not x.isspace():
+                kinds[at]["#"] = None
+            (kept if inside[at] and not headings[at] and not out[at] else cut).append(x) if not hidden[at] else None
+        elif what == 0:
+            up, tag = parents[x], tags[x]
+            above = up >= 0
+            path[x] = xxhash.xxh64_intdigest(f"{tag}.{attrs[x].get('class', '')}", path[up] if above else 0)
+            if above:
+                kinds[up][tag] = None
+                inside[x], out[x], hidden[x] = inside[up], out[up], hidden[up] or hidden[x]
+                headings[x] = headings[up] and tags[up] not in HEADINGS
+            if x not in zones and x not in holds and tag not in ("html", "body"):
+                if names and _is_header(tag, attrs[x]):
+                    out[x] = out[x] or not inside[x]
+                    headings[x] = True
+                elif noise[x]:
+                    out[x] = True
+            inside[x] = inside[x] or x in zones
+            if tag in HEADINGS:
+                headings[x] = False
+            if tag in BLOCK:
+                flush()
+                blocks.append(x)
+            elif tag == "br":
+                kept.append(" ")
+                cut.append(" ")
+            stack.append(x)
+        else:
+            if tags[x] in BLOCK:
+                flush()
+                blocks.pop()
+            if not hidden[x]:
+                shown.add((path[x], xxhash.xxh64_intdigest(" ".join(kinds[x]))))
+            stack.pop()
     flush()
-    return "\n".join(blocks)
+    return texts, shown
+
+
+def style_rows(dom: Dom, names: bool = True) -> set[tuple[int, int, int]]:
+    """(path, kind, key) of a page: kind 0 the node, 1 a presentation of it, 2 a content."""
+    texts, shown = texts_of(dom, names)
+    return {(p, 0, 0) for p, _ in shown} | {(p, 1, k) for p, k in shown} | {(p, 2, _content(t)) for p, t, _ in texts}
+
+
+def _content(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
+
+
+def main_text(dom: Dom, low: dict[tuple[int, int | None], float] | None = None, names: bool = True) -> str:
+    """low: importance of the nodes that have little, by (path, content), content None for the element."""
+    low = low or {}
+    found = []
+    for path, text, weight in texts_of(dom, names)[0]:
+        if weight * low.get((path, None), 1.0) >= ELEMENT and (not low or weight * low.get((path, _content(text)), 1.0) >= CONTENT):
+            found.append(text)
+    return "\n".join(found)
 
 
 def _signed(x: int) -> int:
@@ -265,14 +304,14 @@ def _raw(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
 
-def style_tree(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, path, content: nodes of low importance (content null), and contents that most pages of a host have."""
+def style_tree(pages: DataFrame, least_pages: int = LEAST_PAGES, names: bool = True) -> DataFrame:
+    """host, path, content, importance of the nodes below the thresholds: elements (content null) and contents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             host, path, kind, key, share = [], [], [], [], []
             for h, source, part in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):  # noqa: B905
-                for p, k, x in style_rows(parse(source.as_py())):
+                for p, k, x in style_rows(parse(source.as_py()), names):
                     host.append(h)
                     share.append(part)
                     path.append(_signed(p))
@@ -287,30 +326,35 @@ def style_tree(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     # A row counts for its share among the copies of its page, so that all sums are over different pages.
     copies = seen.filter("copies > 1")
     raw = raw.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, ["host", "page"], "left").withColumn("share", 1 / F.coalesce("copies", F.lit(1)))
-    counts = raw.select("host", "html", "share").mapInArrow(run, "host long, path long, kind int, key long, share double").groupBy("host", "path", "kind", "key").agg(F.round(F.sum("share")).cast("long").alias("c"))
-    counts = materialize(counts.join(per_host, "host"), "style-counts")
-    part = counts.filter("kind > 0").groupBy("host", "path", "kind").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.log(F.col("c").cast("double"))).alias("l"), F.max("pages").alias("pages"))
-    entropy = F.when(F.col("s") > 1, (F.log(F.col("s").cast("double")) - F.col("l") / F.col("s")) / F.log(F.col("s").cast("double"))).otherwise(1.0)
-    # A branch matters if either its presentation or its content varies from page to page.
-    node = part.withColumn("e", entropy).groupBy("host", "path").agg(F.max("e").alias("importance"), F.max("s").alias("seen"), F.max("pages").alias("pages"), F.count_if(F.col("kind") == 2).alias("leaf"))
-    low = node.filter((F.col("leaf") > 0) & (F.col("importance") < LOW) & (F.col("seen") >= F.greatest(F.lit(least_pages), F.col("pages") * PATH_SHARE)))
-    common = counts.filter((F.col("kind") == 2) & (F.col("c") > F.col("pages") * SHARE) & (F.col("c") >= least_pages))
-    return low.select("host", "path", F.lit(None).cast("long").alias("content")).unionByName(common.select("host", "path", F.col("key").alias("content")))
-
-
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    counts = raw.select("host", "html", "share").mapInArrow(run, "host long, path long, kind int, key long, share double").groupBy("host", "path", "kind", "key").agg(F.greatest(F.round(F.sum("share")), F.lit(1)).cast("long").alias("c"))
+    counts = counts.join(per_host, "host").withColumn("imp", 1 - F.log(F.col("c").cast("double")) / F.log(F.col("pages").cast("double")))
+    counts = materialize(counts, "style-counts")
+    of = lambda k: F.col("kind") == k
+    shown, s = F.when(of(1), F.col("c")).cast("double"), F.col("s")
+    nodes = counts.groupBy("host", "path").agg(F.sum(shown).alias("s"), F.sum(shown * F.log(shown)).alias("l"), F.avg(F.when(of(2), F.col("imp"))).alias("contents"), F.max(F.when(of(0), F.col("c"))).alias("on"), F.max("pages").alias("pages"))
+    entropy = F.when(s > 1, (F.log(s) - F.col("l") / s) / F.log(s)).otherwise(1.0)
+    nodes = nodes.filter("contents is not null and on >= sqrt(pages)").select("host", "path", F.lit(None).cast("long").alias("content"), F.greatest(F.coalesce(entropy, F.lit(0.0)), F.col("contents")).alias("importance"))
+    contents = counts.filter(of(2) & (F.col("imp") < CONTENT)).select("host", "path", F.col("key").alias("content"), F.col("imp").alias("importance"))
+    return nodes.filter(F.col("importance") < ELEMENT).unionByName(contents)
+
+
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, names: bool = True) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
-    noise = materialize(style_tree(pages, least_pages), "style-noise")
+    noise = materialize(style_tree(pages, least_pages, names), "style-noise")
     n = noise.count()
-    by_host = noise.groupBy("host").agg(F.collect_list(F.struct("path", "content")).alias("noise"))  # a fixed number for each host
-    raw = _raw(pages).join(F.broadcast(by_host) if n <= BROADCAST_ROWS else by_host, "host", "left").select("page_id", "url", "html", "noise")
+    by_host = noise.groupBy("host").agg(F.collect_list(F.struct("path", "content", "importance")).alias("noise"))  # bounded for each host, see above
+    raw = _raw(pages).join(F.broadcast(by_host) if n <= BROADCAST_ROWS else by_host, "host", "left").select("host", "page_id", "url", "html", "noise")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict] = {}  # the trees of the hosts in hand
         for b in batches:
             texts = []
-            for source, noise in zip(b.column(2), b.column(3)):  # noqa: B905
-                found = [(x["path"] % (1 << 64), x["content"] if x["content"] is None else x["content"] % (1 << 64)) for x in noise.as_py() or []]
-                texts.append(main_text(parse(source.as_py()), frozenset(p for p, c in found if c is None), frozenset((p, c) for p, c in found if c is not None)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            for host, source, noise in zip(b.column(0).to_pylist(), b.column(3), b.column(4)):  # noqa: B905
+                if host not in held:
+                    if len(held) >= 256:
+                        held.clear()
+                    held[host] = {(x["path"] % (1 << 64), x["content"] if x["content"] is None else x["content"] % (1 << 64)): x["importance"] for x in noise.as_py() or []}
+                texts.append(main_text(parse(source.as_py()), held[host], names))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return raw.mapInArrow(run, "page_id long, url string, text string, n_chars long")

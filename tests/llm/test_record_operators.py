@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -104,6 +106,89 @@ def test_style_tree_keeps_the_text_of_copied_pages(spark):
     assert all(rows[n] == f"Story {max(n, 12)} begins\nand part {max(n, 12)} ends" for n in range(20))
 
 
+class PlainTree(HTMLParser):
+    """A page's (path, children, contents) by the standard library's parser, for well-formed pages."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.kinds, self.line, self.found, self.shown = [("html", "")], [[]], [], [], []
+
+    def flush(self):
+        if text := " ".join("".join(self.line).split()):
+            self.found.append((tuple(self.stack), text))
+        self.line = []
+
+    def handle_starttag(self, tag, attrs):
+        self.flush()
+        self.kinds[-1].append(tag)
+        self.stack.append((tag, dict(attrs).get("class", "")))
+        self.kinds.append([])
+
+    def handle_endtag(self, tag):
+        self.flush()
+        self.shown.append((tuple(self.stack), tuple(dict.fromkeys(self.kinds.pop()))))
+        self.stack.pop()
+
+    def handle_data(self, data):
+        if not data.isspace():
+            self.kinds[-1].append("#")
+        self.line.append(data)
+
+
+def plain_extract(pages):
+    """Texts of one host's pages by the definition: importances from dictionaries over the different pages."""
+    trees = {}
+    for source in set(pages):
+        trees[source] = tree = PlainTree()
+        tree.feed(source)
+        tree.shown.append(((("html", ""),), tuple(dict.fromkeys(tree.kinds[0]))))
+    m = len(trees)
+    contents = Counter(x for t in trees.values() for x in set(t.found))
+    shown = Counter(x for t in trees.values() for x in set(t.shown))
+    single = {x: 1 - np.log(c) / np.log(m) for x, c in contents.items()}
+    importance = {}
+    for path in {p for p, _ in contents}:
+        own = [v for (p, _), v in single.items() if p == path]
+        c = np.array([v for (p, _), v in shown.items() if p == path], float)
+        entropy = -(c / c.sum() * np.log(c / c.sum())).sum() / np.log(c.sum()) if c.sum() > 1 else 1.0
+        importance[path] = max(np.mean(own), entropy)
+    on = Counter(p for t in trees.values() for p in {p for p, _ in t.shown})
+    gone = {p for p, v in importance.items() if v < sitetree.ELEMENT and on[p] >= m**0.5}
+    return {s: "\n".join(x for p, x in t.found if p not in gone and single[p, x] >= sitetree.CONTENT) for s, t in trees.items()}
+
+
+def test_style_tree_against_dictionaries(spark):
+    rng = random.Random(5)
+    pages = []
+    for n in range(40):
+        parts = [f"<div class=k1><p>Way {rng.choice('ab')}</p><p>Start here</p></div>", f"<div class=k2><p>Story {n} goes on</p><p>{'Shared by some' if n % 3 else 'Only ' + str(n)}</p></div>"]
+        parts.append(f"<section class=k{n % 4}>Told in {n % 9}</section>" if n % 2 else "<section class=x><p>Last words</p></section>")
+        pages.append("<body>" + "".join(parts) + "</body>")
+    pages += pages[:9]
+    df = spark.createDataFrame([(n, "http://one.example/", p) for n, p in enumerate(pages)], "page_id long, url string, html string")
+    expected = plain_extract(pages)
+    got = {r["page_id"]: r["text"] for r in sitetree.extract(df, names=False).collect()}
+    assert got == {n: expected[p] for n, p in enumerate(pages)}
+    assert len({expected[p].count("\n") for p in pages}) > 1 and not any("Start here" in t for t in got.values())
+
+
+def test_style_tree_acts_inside_articles(spark):
+    page = "<html><body><article><p>Story {n} begins</p><div class=q7><p>Follow this place</p></div><p>and part {n} ends</p><p>Half say {h}</p></article></body></html>"
+    pages = [(n, "http://one.example/", page.format(n=n, h="this" if n % 2 else n)) for n in range(40)]
+    rows = {r["page_id"]: r["text"] for r in sitetree.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert rows == {n: f"Story {n} begins\nand part {n} ends\nHalf say {'this' if n % 2 else n}" for n in range(40)}
+
+
+@pytest.mark.parametrize("source", ["<a " * 350_000, "<a x='" * 170_000 + '"', '<a x=">" ' * 110_000, "<div>" * 90_000 + "</b>" * 90_000, "<p><div>" + "<b>" * 90_000 + "</p>" * 90_000, "<div><span>" * 50_000 + "t"])
+def test_parsing_is_linear(source):
+    began = time.process_time()
+    sitetree.main_text(sitetree.parse(source))
+    whole = time.process_time() - began
+    began = time.process_time()
+    sitetree.main_text(sitetree.parse(source[: len(source) // 8]))
+    assert whole < 20 * (time.process_time() - began) + 0.5
+
+
 def plain_fingerprint(text, size=4):
     w = [x for x in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if x]
     if not w:
