@@ -1,9 +1,11 @@
 """Benchmark decontamination (operator 9): DataFrame functions only.
 
 The benchmark's windows of `n` consecutive words (an item of fewer words is one window)
-form a hash set. It is broadcast if its counted size allows that, else joined by a
-shuffle. Every document's windows are hashed and looked up; a hit is verified on the
-words themselves. Hits then mark words, or remove spans or documents.
+form a hash set. Every document's windows are hashed in one pass over its words: a window's
+hash is that of its first two and last two words. It is looked up in the set, which is broadcast
+if its counted size allows that, else meets all hashes in a shuffle; then all words of the window
+are compared, for which in the second case only documents with candidates are fetched. Hits mark
+words, or remove spans or documents.
 
 Words: A-Z in lower case, runs of WORD. Defined cases: a null text has no words, a null
 item no windows; an item without an id marks words but isn't counted; rows with the
@@ -24,45 +26,71 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before A-Z are in lower case.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: What lies between words. Splitting there is several times as fast as extracting the words.
-GAP, RAW_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Up to so many windows are broadcast: some 200 bytes each, 40 MB in all.
 BROADCAST_WINDOWS = 200_000
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP, -1), "")
+    """The words as they are written; what counts is `_plain` of them."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), RAW_GAP, -1), "")
+
+
+def _plain(x: Column) -> Column:
+    return F.translate(x, UPPER, LOWER)
 
 
 def _key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def hashed(df: DataFrame, sizes: list[int]) -> DataFrame:
+    """df (words) exploded: len, at, h of each place and size of window.
+
+    h is made of the first two and the last two words, so a word is hashed once, however long the windows; in
+    lower case beyond ASCII too, which is faster. The last places of a text have windows that end beyond it, and a
+    text without words has a row of nulls (outer: else the optimizer asks below for arrays that aren't empty, and
+    computes all of this twice). Both match nothing once words are compared."""
+    kept = df.columns
+    both = lambda x, y: F.xxhash64(x, y)
+    behind = lambda of, n: F.slice(of, n + 1, F.size("words"))
+    df = df.withColumn("h1", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
+    df = df.withColumn("h2", F.zip_with("h1", behind("h1", 1), both))
+    of = lambda n: F.col("h1") if n == 1 else F.col("h2") if n == 2 else F.zip_with("h2", behind("h2", n - 2), both)
+    if len(sizes) == 1:
+        return df.select(*kept, F.posexplode_outer(of(sizes[0])).alias("at", "h")).withColumn("len", F.lit(sizes[0]))
+    parts = [F.transform(of(n), lambda h, i: F.struct(F.lit(n).alias("len"), i.alias("at"), h.alias("h"))) for n in sizes]  # noqa: B023
+    return df.select(*kept, F.inline_outer(F.concat(*parts)))
+
+
 def item_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """len, h, key (the words), items: one row for each different window."""
-    w = benchmark.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    w = w.withColumn("len", F.least(F.size("words"), F.lit(n)))
-    w = w.select("item_id", "words", "len", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("len"))).alias("at"))
-    w = w.select("item_id", "len", F.slice("words", F.col("at") + 1, F.col("len")).alias("gram"))
-    w = w.select("item_id", "len", F.xxhash64("gram").alias("h"), F.array_join("gram", " ").alias("key"))
+    w = benchmark.select("item_id", words_of(F.col("text")).alias("words"))
+    size = F.size("words")
+    w = hashed(w, list(range(1, n + 1))).filter((size > 0) & (F.col("len") == F.least(size, F.lit(n))) & (F.col("at") + F.col("len") <= size))
+    w = w.select("item_id", "len", "h", _plain(F.array_join(F.slice("words", F.col("at") + 1, F.col("len")), " ")).alias("key"))
     return w.groupBy("len", "h", "key").agg(F.collect_set("item_id").alias("items"))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, tkey, spans (start, end in words, sorted), items: one row for each document with hits."""
     windows = materialize(item_windows(benchmark, n), "bench-windows")
     by_len = {r["len"]: r["c"] for r in windows.groupBy("len").agg(F.count(F.lit(1)).alias("c")).collect()}  # n rows at most
-    small = sum(by_len.values()) <= BROADCAST_WINDOWS
+    sizes = sorted(by_len) or [n]
     tokens = docs.select("doc_id", _key(F.col("text")).alias("tkey"), words_of(F.col("text")).alias("words"))
-    found = None
-    for size in sorted(by_len) or [n]:
-        grams = F.transform(F.sequence(F.lit(0), F.size("words") - size), lambda i: F.xxhash64(F.slice("words", i + 1, size)))  # noqa: B023
-        scanned = tokens.filter(F.size("words") >= size).select("doc_id", "tkey", "words", F.posexplode(grams).alias("at", "h"))
-        probe = windows.filter(F.col("len") == size).drop("len")
-        hit = scanned.join(F.broadcast(probe) if small else probe, "h")
-        hit = hit.filter(F.array_join(F.slice("words", F.col("at") + 1, size), " ") == F.col("key"))
-        hit = hit.select("doc_id", "tkey", F.struct(F.col("at").alias("start"), (F.col("at") + size).alias("end")).alias("span"), "items")
-        found = hit if found is None else found.unionByName(hit)
+    if sum(by_len.values()) <= broadcast_windows:
+        scanned = hashed(tokens, sizes)
+        hit = scanned.join(F.broadcast(windows.withColumnRenamed("len", "w_len")), "h")
+    else:
+        scanned = hashed(tokens, sizes).select("tkey", "len", "at", "h")
+        hit = scanned.join(windows.select("h").distinct(), "h", "left_semi").distinct()
+        hit = materialize(hit.groupBy("tkey").agg(F.collect_list(F.struct("len", "at", "h")).alias("runs")), "bench-candidates")  # at most a document's words
+        hit = tokens.join(hit, "tkey").select("doc_id", "tkey", "words", F.inline("runs")).join(windows.withColumnRenamed("len", "w_len"), "h")
+    # Not a plain equality, which the optimizer would make a join key and so join the words of all windows to strings.
+    said = _plain(F.array_join(F.slice("words", F.col("at") + 1, F.col("len")), " "))
+    hit = hit.filter((F.col("len") == F.col("w_len")) & (F.least(said, F.col("key")) == F.greatest(said, F.col("key"))))
+    found = hit.select("doc_id", "tkey", F.struct(F.col("at").alias("start"), (F.col("at") + F.col("len")).alias("end")).alias("span"), "items")
     return found.groupBy("doc_id", "tkey").agg(
         F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
@@ -82,11 +110,10 @@ def _joined(docs: DataFrame, hits: DataFrame) -> DataFrame:
     return docs.join(h, docs["doc_id"].eqNullSafe(h["h_id"]) & docs["tkey"].eqNullSafe(h["h_key"]), "left")
 
 
-def mark_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
+def mark_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs."""
-    hits = find_hits(docs, benchmark, n)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    counted = docs.select("doc_id", _key(F.col("text")).alias("tkey"), F.size(F.array_remove(F.split(text, RAW_GAP, -1), "")).cast("long").alias("n_words"))
+    hits = find_hits(docs, benchmark, n, broadcast_windows)
+    counted = docs.select("doc_id", _key(F.col("text")).alias("tkey"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     out = _joined(counted, hits)
     none = F.array().cast("array<string>")
     ids = F.coalesce(F.array_sort(F.transform("h_items", lambda i: i.cast("string"))), none)
@@ -96,10 +123,10 @@ def mark_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFra
     )
 
 
-def remove_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, drop_share: float = 0.5) -> DataFrame:
+def remove_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, drop_share: float = 0.5, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """docs without hit words and what follows each up to the next word; documents of which
     more than drop_share of the words are hit go whole. All columns of docs stay."""
-    hits = find_hits(docs.select("doc_id", "text"), benchmark, n)
+    hits = find_hits(docs.select("doc_id", "text"), benchmark, n, broadcast_windows)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text").withColumn("tkey", _key(F.col("text")))
     out = _joined(packed, hits)
     # Spans merged first: a word is then looked up in few.

@@ -9,8 +9,8 @@ wherever they stand, and the pointwise mutual information of term and entity is
 
 It is 1 if t occurs in texts with c only, 0 if they are independent. All four are counts of
 different texts, so copies of a text count once. A term that at least `support` texts share
-with an entity is generalised from `generalise_at` on and removed from `remove_at` on, at
-every place in each text that holds the entity.
+with an entity is generalised to its class (a name, an acronym, a word) from `generalise_at` on and removed from
+`remove_at` on, at every place in each text that holds the entity.
 
 Matches are found by patterns that need no backtracking over groups, so very long runs
 neither recurse nor take quadratic time; they give the same matches as the plain ones.
@@ -149,6 +149,11 @@ def disclosures(docs: DataFrame, copies: DataFrame, held: DataFrame, terms: Data
     return scored.select("kind", "value", "term", "disclosure", action.alias("action"))
 
 
+def _general(term: Column) -> Column:
+    """The class that stands for a term: what it is written like, which all terms of that kind share."""
+    return F.when(term.rlike(r"^\p{Lu}+$"), "[ACRONYM]").when(term.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+
+
 def _places(docs: DataFrame, hits: DataFrame) -> DataFrame:
     """doc_id, tkey, added: every place of the terms (tkey, actions: a map by term) in the texts."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey")).join(hits, "tkey").dropDuplicates(["doc_id", "tkey"])
@@ -158,12 +163,12 @@ def _places(docs: DataFrame, hits: DataFrame) -> DataFrame:
     rows = rows.withColumn("one", F.concat(F.lit(r"(?<!\p{L})(?:"), forms, F.lit(r")(?!\p{L})")))
     rows = rows.withColumn("found", F.regexp_extract_all("m", F.col("one"), F.lit(0))).withColumn("between", F.split("m", F.col("one"), -1))
     at = _located(F.col("between"), F.col("found"))
-    added = F.transform(at, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at("actions", F.lower(s["value"])).alias("action")))
+    added = F.transform(at, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at("actions", F.lower(s["value"])).alias("action"), _general(s["value"]).alias("put")))
     return rows.select("doc_id", "tkey", added.alias("added"))
 
 
 def find_spans(docs: DataFrame, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
-    """doc_id, tkey, spans (base), added (the method's: start, end, action): a row for each row of docs."""
+    """doc_id, tkey, spans (base), added (the method's: start, end, action, put: the term's class): a row for each row of docs."""
     base = materialize(_entities(docs), "pii-base")
     total = base.select("tkey").distinct().count()
     copies = materialize(base.groupBy("tkey").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "pii-copies")
@@ -181,7 +186,7 @@ def find_spans(docs: DataFrame, support: int = SUPPORT, generalise_at: float = G
     added = _places(docs, materialize(hits, "pii-hits")).withColumnsRenamed({"doc_id": "a_id", "tkey": "a_key"})
     out = base.join(added, base["doc_id"].eqNullSafe(added["a_id"]) & base["tkey"].eqNullSafe(added["a_key"]), "left")
     bare = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind")))
-    none = F.array().cast("array<struct<start:int,end:int,action:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,action:string,put:string>>")
     return out.select("doc_id", "tkey", bare.alias("spans"), F.coalesce("added", none).alias("added"))
 
 
@@ -205,7 +210,7 @@ def sanitise(docs: DataFrame, **limits) -> DataFrame:
     """docs with a placeholder for each base span and each generalised term, and without removed terms."""
     found = find_spans(docs.select("doc_id", "text"), **limits)
     labelled = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put")))
-    labelled_more = F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", F.lit("")).otherwise(F.lit("[TERM]")).alias("put")))
+    labelled_more = F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", F.lit("")).otherwise(s["put"]).alias("put")))
     cuts = found.filter((F.size("spans") > 0) | (F.size("added") > 0)).select(F.col("doc_id").alias("c_id"), F.col("tkey").alias("c_key"), F.array_sort(F.concat(labelled, labelled_more)).alias("cuts"))
     cuts = cuts.dropDuplicates(["c_id", "c_key"])
     last = lambda a: F.get(a, F.size(a) - 1)

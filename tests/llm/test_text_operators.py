@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 import sentencepiece
 
 from talkledger.llm import decontaminate, licences, pii, sentencepieces
@@ -88,12 +89,15 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_WINDOWS, 0])
+def test_decontamination(spark, limit):
     passage = " ".join(f"W{n}" for n in range(14))
     items = [(1, passage), (2, "short Item"), (10, passage + " more"), (3, None), (4, "!!")]
-    texts = ["x " + passage.lower() + " y", "a SHORT, item! and short item", "w0 w1 w2", None, "", passage + " short", "É short é item", passage * 2]
+    texts = ["x " + passage.lower() + " y", "a SHORT, item! and short item", "w0 w1 w2", None, "", passage + " short", "É short é item", passage * 2, passage.replace("W5", "other"), "ΑΣ. Β w0 w1 ΑΣ Β short item", "stuff " * 20_000 + passage, passage]
+    items.append((5, "αΣ"))
+    items.append((6, "ΑΣ Β"))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    rows = {r["doc_id"]: r for r in decontaminate.mark_hits(documents(spark, texts), bench).collect()}
+    rows = {r["doc_id"]: r for r in decontaminate.mark_hits(documents(spark, texts).withColumn("words", F.lit(1)).withColumn("h_id", F.lit(1)), bench, broadcast_windows=limit).collect()}
     for n, t in enumerate(texts):
         w, hit, ids = words(t), set(), set()
         for item, text in items:
@@ -106,7 +110,10 @@ def test_decontamination(spark):
                         ids.add(str(item))
         digest = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
         r = rows[n]
-        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (len(w), len(hit), len(ids), digest, bool(hit)), t
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (len(w), len(hit), len(ids), digest, bool(hit)), t[-300:]
+    assert decontaminate.mark_hits(documents(spark, []), bench, broadcast_windows=limit).count() == 0
+    same = spark.createDataFrame([(None, "short item"), (None, "short item"), (7, "short item")], "doc_id long, text string")
+    assert [r["n_hit"] for r in decontaminate.mark_hits(same, bench, broadcast_windows=limit).collect()] == [2] * 3
 
 
 def test_decontamination_removes(spark):
