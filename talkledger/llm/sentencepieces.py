@@ -7,7 +7,9 @@ in them by binary search, which gives its range of occurrences. The edges (posit
 length, piece) of all pieces, sorted by position, are then relaxed for all parts at once:
 for a unigram model along the best path from left to right, for a BPE model by joining,
 in each part, the adjacent pair whose edge has the best score (the leftmost of equals),
-until none has an edge. What no piece covers is spelt in byte pieces, or is unknown.
+until none has an edge. That is done in rounds, one join in each part; a part of over `ROUNDS`
+characters takes its joins from a heap, as rounds would take the square of its length, and its
+edges from an index in stretches, so that no sort holds all of it. What no piece covers is spelt in byte pieces, or is unknown.
 
 The ids are those of the public SentencePiece library. Decoding joins the pieces, bytes
 as UTF-8. The model file is a parameter; it is read on the driver and its table of pieces,
@@ -23,7 +25,8 @@ from __future__ import annotations
 
 import heapq
 import struct
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,8 +43,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 PART_CHARS = 120_000  # of new parts that are indexed at once
-LONG_PART = 48  # characters: longer parts are joined one by one, with a heap
-MEMO = 150_000  # parts that a task keeps
+ROUNDS = 48  # characters of a part up to which joins go in rounds
+MEMO_BYTES = 48 << 20  # of parts that a task keeps from one batch to the next
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -191,6 +194,11 @@ class Index:
         self.edge = (at * (reach + 1) + size)[by]  # position and length, sorted
         self.piece = ids[which][by]
 
+    def bare(self) -> Index:
+        """Only what find needs."""
+        del self.text, self.order
+        return self
+
     @staticmethod
     def _search(keys: list[np.ndarray], wanted: list[np.ndarray], side: str) -> np.ndarray:
         """Where each wanted row of words stands among the sorted rows: a binary search for all pieces at once."""
@@ -264,19 +272,40 @@ def _join_short(model: Model, index: Index, starts: np.ndarray, sizes: np.ndarra
     return at[by], length[by]
 
 
-def _join_long(model: Model, text: str) -> list[str]:
-    """The symbols of one long part: the same joins from a heap."""
+class Stretches:
+    """The edges of one long part, from indexes of stretches that overlap by what a piece can reach."""
+
+    def __init__(self, model: Model, text: str, stretch: int = PART_CHARS) -> None:
+        self.stretch, self.reach = stretch, model.longest
+        self.indexes = [Index(model, [text[i : i + stretch + model.longest - 1]]).bare() for i in range(0, len(text), stretch)]
+
+    def pairs(self, n: int) -> np.ndarray:
+        """The piece over each two adjacent characters, or -1."""
+        at = [np.arange(min(self.stretch, n - k * self.stretch)) for k in range(len(self.indexes))]
+        return np.concatenate([x.find(a, np.full(len(a), 2)) for x, a in zip(self.indexes, at)])  # noqa: B905
+
+    def find(self, at: int, size: int) -> int:
+        if size > self.reach:
+            return -1
+        index = self.indexes[at // self.stretch]
+        want = at % self.stretch * (self.reach + 1) + size
+        k = bisect_left(index.edge, want)
+        return int(index.piece[k]) if k < len(index.edge) and index.edge[k] == want else -1
+
+
+def _join_long(model: Model, text: str) -> list[int]:
+    """The ids of one long part: the same joins of the same edges, from a heap."""
     n = len(text)
+    edges, scores = Stretches(model, text), model.scores
     after, before, ends = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    heap: list[tuple[float, int, int, int]] = []
+    heap = [(-scores[p], i, i + 1, i + 2) for i, p in enumerate(edges.pairs(n)[: n - 1].tolist()) if p >= 0]
+    heapq.heapify(heap)
 
     def offer(i: int) -> None:
         j = after[i]
-        if j < n and (piece := model.ids.get(text[i : ends[j]])) is not None:
-            heapq.heappush(heap, (-model.scores[piece], i, ends[i], ends[j]))
+        if j < n and (piece := edges.find(i, ends[j] - i)) >= 0:
+            heapq.heappush(heap, (-scores[piece], i, ends[i], ends[j]))
 
-    for i in range(n - 1):
-        offer(i)
     alive = bytearray(b"\1") * n
     while heap:
         _, i, middle, end = heapq.heappop(heap)
@@ -290,7 +319,8 @@ def _join_long(model: Model, text: str) -> list[str]:
             offer(before[i])
     out, i = [], 0
     while i < n:
-        out.append(text[i : ends[i]])
+        piece = edges.find(i, ends[i] - i)
+        out.extend([piece] if piece >= 0 else _spell(model, text[i : ends[i]]))
         i = after[i]
     return out
 
@@ -330,7 +360,7 @@ def _best_paths(model: Model, index: Index, starts: np.ndarray, sizes: np.ndarra
 def encode_parts(model: Model, parts: list[str]) -> list[np.ndarray]:
     """The ids of each of the different parts."""
     found: list[np.ndarray | None] = [None] * len(parts)
-    short = [i for i, p in enumerate(parts) if len(p) <= LONG_PART or model.kind != BPE]
+    short = [i for i, p in enumerate(parts) if len(p) <= ROUNDS or model.kind != BPE]
     if short:
         index = Index(model, [parts[i] for i in short])
         sizes = np.array([len(parts[i]) for i in short], np.int64)
@@ -349,27 +379,58 @@ def encode_parts(model: Model, parts: list[str]) -> list[np.ndarray]:
                 found[i] = narrow[a:b].copy()
     for i, p in enumerate(parts):
         if found[i] is None:
-            symbols = _join_long(model, p)
-            found[i] = np.array([x for s in symbols for x in ([model.ids[s]] if s in model.ids else _spell(model, s))], np.int32)
+            found[i] = np.array(_join_long(model, p), np.int32)
     return found
 
 
-def encode_batch(model: Model, texts: list[str | None], memo: dict[str, np.ndarray]) -> list[np.ndarray | None]:
-    """The ids of each text. memo: parts that were encoded before."""
-    cut = [None if t is None else parts_of(model, normalise(model, t)) for t in texts]
-    new = list(dict.fromkeys(p for parts in cut if parts for p in parts if p not in memo))
-    group, size = [], 0
-    for k, p in enumerate(new):
-        group.append(p)
-        size += len(p)
-        if size >= PART_CHARS or k == len(new) - 1:
-            memo.update(zip(group, encode_parts(model, group)))  # noqa: B905
-            group, size = [], 0
-    none = np.zeros(0, np.int32)
-    out = [None if parts is None else np.concatenate([memo[p] for p in parts]) if parts else none for parts in cut]
-    if len(memo) > MEMO:
-        memo.clear()
-    return out
+class Memo:
+    """Parts that were encoded before: their numbers, and their ids one after the other."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.ids = np.zeros(0, np.int32)
+        self.bounds = np.zeros(1, np.int64)
+        self.held = 0  # bytes, about
+
+    def add(self, model: Model, parts: list[str]) -> None:
+        found = encode_parts(model, parts)
+        self.ids = np.concatenate([self.ids, *found])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(f) for f in found])])
+        self.held += sum(160 + 2 * len(p) for p in parts) + 4 * sum(len(f) for f in found)
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        start = self.bounds[numbers]
+        sizes = self.bounds[numbers + 1] - start
+        ends = np.cumsum(sizes)
+        return self.ids[np.arange(ends[-1]) + np.repeat(start - (ends - sizes), sizes)] if len(ends) else np.zeros(0, np.int32)
+
+
+def encode_batch(model: Model, texts: Iterable[str | None], memo: Memo) -> list[np.ndarray | None]:
+    """The ids of each text. memo: what was encoded before; it is emptied between batches once it is large."""
+    if memo.held > MEMO_BYTES:
+        memo.__init__()
+    cut: list[np.ndarray | None] = []
+    new: list[str] = []
+    numbers, size = memo.numbers, 0
+    for t in texts:
+        if t is None:
+            cut.append(None)
+            continue
+        own = []
+        for p in parts_of(model, normalise(model, t)):
+            n = numbers.get(p)
+            if n is None:
+                n = numbers[p] = len(numbers)
+                new.append(p)
+                size += len(p)
+                if size >= PART_CHARS:
+                    memo.add(model, new)
+                    new, size = [], 0
+            own.append(n)
+        cut.append(np.array(own, np.int32))
+    if new:
+        memo.add(model, new)
+    return [None if own is None else memo.of(own) for own in cut]
 
 
 def decode(model: Model, ids: np.ndarray) -> str:
@@ -393,15 +454,15 @@ def encode(docs: DataFrame, model_path: str = MODEL, text: str = "text", ids: st
     """docs with a column ids (array of int), which docs must not have."""
     if ids in docs.columns:
         raise ValueError(f"there is a column {ids} already")
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, megabytes=8)
     model = load_model(model_path)
     names = [*docs.columns, ids]
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, np.ndarray] = {}
+        memo = Memo()
         for b in batches:
-            found = encode_batch(model, b.column(at).to_pylist(), memo)
+            found = encode_batch(model, (t.as_py() for t in b.column(at)), memo)
             sizes = np.cumsum([0, *(0 if f is None else len(f) for f in found)])
             whole = np.concatenate([f for f in found if f is not None]) if any(f is not None for f in found) else np.zeros(0, np.int32)
             lists = pa.LargeListArray.from_arrays(pa.array(sizes, pa.int64()), pa.array(whole, pa.int32())).cast(pa.list_(pa.int32()))

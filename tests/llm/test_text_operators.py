@@ -1,6 +1,7 @@
 """Operators 3, 7, 8, 9 on whole texts, held against plain Python."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -151,6 +152,26 @@ def test_sentencepiece_against_the_library(spark):
         assert rows[n]["round_trip"]
 
 
+def test_long_parts_take_their_edges_from_stretches(monkeypatch):
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.MODEL)
+    model = sentencepieces.load_model()
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefgh你好世界éß🙂") for _ in range(n)) for n in (48, 49, 50, 300, 5000)] + ["x" * 3000, "漢字" * 400 + " ab " + "ü" * 60, "word " * 3000]
+    whole = sentencepieces.Stretches.__init__
+    for stretch in (64, 1000, sentencepieces.PART_CHARS):
+        monkeypatch.setattr(sentencepieces.Stretches, "__init__", lambda self, m, t, n=stretch: whole(self, m, t, n))
+        memo = sentencepieces.Memo()
+        for _ in range(2):  # the second time from the memo
+            assert [f.tolist() for f in sentencepieces.encode_batch(model, texts, memo)] == [library.encode(t) for t in texts]
+
+
+def test_sentencepiece_empty_and_repeated(spark):
+    assert sentencepieces.report(documents(spark, [])).count() == 0
+    same = spark.createDataFrame([(None, "a word", 1)] * 3 + [(1, None, 2)], "doc_id long, text string, decoded int")
+    rows = sentencepieces.report(same).collect()
+    assert len({tuple(r["ids"]) for r in rows if r["doc_id"] is None}) == 1 and [r["ids"] for r in rows if r["doc_id"] == 1] == [None] and all(r["round_trip"] for r in rows)
+
+
 def test_unigram_best_path():
     model = sentencepieces.Model(["<unk>", "▁", "a", "b", "ab", "▁a", "ba"], [0, -4, -3, -3, -2.5, -2, -2.2], [2, 1, 1, 1, 1, 1, 1], sentencepieces.UNIGRAM)
 
@@ -166,7 +187,7 @@ def test_unigram_best_path():
         return best[len(text)][1]
 
     texts = ["abab", "ba b", "aab bba", "xa b", "b"]
-    found = sentencepieces.encode_batch(model, texts, {})
+    found = sentencepieces.encode_batch(model, texts, sentencepieces.Memo())
     for t, ids in zip(texts, found, strict=True):
         assert ids.tolist() == [x for p in sentencepieces.parts_of(model, sentencepieces.normalise(model, t)) for x in brute(p)]
 
