@@ -8,9 +8,12 @@ high, vectors are pruned by coordinates: on the query's largest coordinates, a v
 least that cosine lies within a known interval. Else they are pruned by length alone. The
 products of what is left are computed exactly and compared.
 
-Queries are dealt to blocks and meet the buckets block by block: a task holds one block
-and one bucket, whatever the input's size, and pairs whose bucket no query of the block can
-use are never formed.
+Queries are dealt to blocks by the least length of a vector that can still serve them, and meet
+the buckets block by block. A task holds one block and one run of neighbouring buckets, both
+bounded by rows and by bytes, and takes its buckets from the longest on, its thresholds rising. Pairs
+whose vectors no query of the block can use are never formed: a block of undemanding queries meets
+all runs, one of demanding queries the first few. Without pruning, N vectors and Q queries would
+be shuffled N * Q / block + Q * N / run times.
 
 Defined cases: null vectors, those with a null or non-finite component, and rows without a
 vec_id take no part; repeated rows count once, a query's own are all rows of its vec_id;
@@ -32,7 +35,9 @@ from .common import materialize
 K = 5
 SCALE = 256
 BUCKET = 2048
-BLOCK = 2048
+RUN = 8192  # vectors of neighbouring buckets in one task
+BLOCK = 8192  # queries
+UNIT_BYTES = 64 << 20  # of the vectors of a run, and of a block
 FOCUS = 3  # coordinates
 HIGH = 0.6  # least cosine from which coordinates prune
 _RESULT = "query_id long, vec_id long, score long"
@@ -118,50 +123,64 @@ def probe(q_ids: np.ndarray, q: np.ndarray, theta: np.ndarray, c_ids: np.ndarray
     return out
 
 
-def _meet(key, queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:  # noqa: ANN001
-    found: tuple = ([], [], [])
+def _meet(queries: pa.Table, candidates: pa.Table, k: int, bucket: int) -> pa.Table:
+    found: list[tuple] = []
     if queries.num_rows and candidates.num_rows:
         width = _width(queries["v"], candidates["v"])
-        found = probe(
-            queries["vec_id"].to_numpy(), _matrix(queries["v"], width), queries["theta"].to_numpy(), candidates["vec_id"].to_numpy(), _matrix(candidates["v"], width), k
-        )
-    return pa.table([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = K, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+        q_ids, q, theta = queries["vec_id"].to_numpy(), _matrix(queries["v"], width), queries["theta"].to_numpy().copy()
+        c_ids, c = candidates["vec_id"].to_numpy(), _matrix(candidates["v"], width)
+        by = np.lexsort((c_ids, -np.linalg.norm(c.astype(float), axis=1)))
+        names, named = np.unique(q_ids, return_inverse=True)
+        for at in range(0, len(by), bucket):
+            rows = by[at : at + bucket]
+            found.append(probe(q_ids, q, theta, c_ids[rows], c[rows], k))
+            # A query's k-th best of this run so far.
+            ids, scores = (np.concatenate([np.array(f[n], np.int64) for f in found]) for n in (0, 2))
+            order = np.lexsort((-scores, ids))
+            ids, scores = ids[order], scores[order]
+            kth = np.arange(len(ids)) - np.searchsorted(ids, ids) == k - 1
+            best = np.full(len(names), -np.inf)
+            best[np.searchsorted(names, ids[kth])] = scores[kth]
+            theta = np.maximum(theta, best[named])
+    return pa.table([pa.array([x for f in found for x in f[n]], pa.int64()) for n in range(3)], names=["query_id", "vec_id", "score"])
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, bucket: int = BUCKET, block: int = BLOCK, run: int = RUN) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best among all other vectors (vec_id, v, norm)."""
     vectors = materialize(vectors, "mips-vectors")
-    n = vectors.count()
-    parts = max(1, -(-n // bucket))
+    n, wide = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    fit = max(1, UNIT_BYTES // (8 * max(1, wide)))
+    parts = max(1, -(-n // min(run, fit)))
     ordered = vectors.repartitionByRange(parts, F.desc("norm"), F.asc("vec_id"))
-    ordered = materialize(ordered.withColumn("bucket", F.spark_partition_id()), "mips-buckets")
+    ordered = materialize(ordered.withColumn("run", F.spark_partition_id()), "mips-runs")
     queries = vectors.filter(is_query)
-    blocks = max(1, -(-queries.count() // block))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    bounds = materialize(ordered.groupBy("bucket").agg(F.max("norm").alias("longest"), F.min("norm").alias("shortest")), "mips-bounds")
+    blocks = max(1, -(-queries.count() // min(block, fit)))
+    bounds = materialize(ordered.groupBy("run").agg(F.max("norm").alias("longest")), "mips-bounds")
 
     def meet(q: DataFrame, pairs: DataFrame) -> DataFrame:
-        left = q.join(pairs, "block").select(F.col("block").alias("l_block"), F.col("bucket").alias("l_bucket"), "vec_id", "v", "theta")
-        right = ordered.join(pairs, "bucket").select(F.col("block").alias("r_block"), F.col("bucket").alias("r_bucket"), "vec_id", "v")
-        both = left.groupBy("l_block", "l_bucket").cogroup(right.groupBy("r_block", "r_bucket"))
-        return both.applyInArrow(lambda key, a, b: _meet(key, a, b, k), _RESULT)
+        left = q.join(pairs, "block").select(F.col("block").alias("l_block"), F.col("run").alias("l_run"), "vec_id", "v", "theta")
+        right = ordered.join(pairs, "run").select(F.col("block").alias("r_block"), F.col("run").alias("r_run"), "vec_id", "v")
+        both = left.groupBy("l_block", "l_run").cogroup(right.groupBy("r_block", "r_run"))
+        return both.applyInArrow(lambda a, b: _meet(a, b, k, bucket), _RESULT)
 
     every = vectors.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"))
-    # The first buckets give every query a threshold: as many as hold k vectors and one more.
-    first = bounds.orderBy("bucket").limit(1).select("bucket")
+    # The run of the longest vectors gives every query a threshold.
+    first = bounds.orderBy("run").limit(1).select("run")
     start = every.select("block", F.lit(1).alias("one")).join(first.withColumn("one", F.lit(1)), "one").drop("one")
-    seen = materialize(meet(queries.withColumn("theta", F.lit(float("-inf"))), start), "mips-first")
-    kth = seen.groupBy("query_id").agg(F.when(F.count("score") >= k, F.min("score")).cast("double").alias("theta")).withColumnRenamed("query_id", "vec_id")
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    seen = materialize(meet(dealt.withColumn("theta", F.lit(float("-inf"))), start), "mips-first")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
+    kth = seen.withColumn("rank", best).filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("theta"))
     queries = queries.join(kth, "vec_id", "left").withColumn("theta", F.coalesce("theta", F.lit(float("-inf"))))
-    queries = materialize(queries, "mips-queries")
-    # The least length that any query of a block can use.
-    need = queries.groupBy("block").agg(F.min(F.when(F.col("norm") > 0, F.col("theta") / F.col("norm")).otherwise(F.lit(float("-inf")))).alias("need"))
-    others = bounds.join(first, "bucket", "left_anti")
-    buckets = F.broadcast(others) if parts <= 100_000 else others  # two numbers for each bucket
-    pairs = need.select("block", "need", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("bucket")).join(buckets, "bucket")
-    pairs = pairs.filter(F.col("longest") >= F.col("need") * (1 - 1e-9)).select("block", "bucket")
+    # The least length that a query can use; blocks are ranges of it.
+    queries = queries.withColumn("need", F.when(F.col("norm") > 0, F.col("theta") / F.col("norm")).when(F.col("theta") > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf"))))
+    queries = materialize(queries.repartitionByRange(blocks, "need", "vec_id").withColumn("block", F.spark_partition_id()), "mips-queries")
+    need = queries.groupBy("block").agg(F.min("need").alias("need"))
+    others = bounds.join(first, "run", "left_anti")
+    runs = F.broadcast(others) if parts <= 100_000 else others  # two numbers for each run
+    pairs = need.select("block", "need", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("run")).join(runs, "run")
+    pairs = pairs.filter(F.col("longest") >= F.col("need") * (1 - 1e-9)).select("block", "run")
     found = seen.unionByName(meet(queries, pairs))
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
     return found.withColumn("rank", best.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

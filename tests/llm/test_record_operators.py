@@ -59,7 +59,7 @@ def test_exact_search(spark, shape):
         vectors *= 2e3  # scores beyond 2^53, within a long
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(1000, None), (1001, [1.0, None]), (1002, [float("nan")]), (1003, [float("inf")] * 8), (None, [1.0] * 8), (1004, []), (3, [float(x) for x in vectors[3]])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    found = mips.top_k(mips.quantised(df), F.col("vec_id") % 7 == 0, k, bucket=32, block=16)
+    found = mips.top_k(mips.quantised(df), F.col("vec_id") % 7 == 0, k, bucket=32, block=16, run=80)
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect())
     whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in enumerate(vectors)} | {1004: []}
     expected = []
@@ -70,6 +70,18 @@ def test_exact_search(spark, shape):
     assert got == sorted(expected)
 
 
+def test_search_of_wide_vectors(spark, monkeypatch):
+    monkeypatch.setattr(mips, "UNIT_BYTES", 8 * 3000 * 7)  # seven vectors in a task
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(40, 3000))
+    df = spark.createDataFrame([(i, v.tolist(), 1, 2) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, run int, theta int")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in mips.report(df, every=5).collect()}
+    whole = np.floor(256 * vectors).astype(np.int64)
+    for q in range(0, 40, 5):
+        best = sorted((-int(whole[q] @ whole[c]), c) for c in range(40) if c != q)[:5]
+        assert [got[q, n + 1] for n in range(5)] == [(c, -s) for s, c in best]
+
+
 def test_search_without_vectors(spark):
     assert mips.report(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
