@@ -1,11 +1,15 @@
 """Licence scan by a positional index of rare tokens (operator 8).
 
 Templates of licence wording are indexed: word -> (template, position). Inverse document
-frequencies of their words are counted over the whole corpus. Of each file and template,
-the `N_RARE` words of highest IDF that the file holds are looked up; each occurrence votes
-for the template at a relative position. An alignment with enough votes is checked word by word,
-and a template counts if enough of it stands there and all its key phrases occur. The
-template table is fixed, so what is sent to the tasks doesn't grow with the corpus.
+frequencies of their words are counted over the whole corpus. A template of L words is in a file
+at s if `LEAST_SHARE` of its words, in their order, and all its key phrases stand in the file's words
+from s - d to s + L + d (d: `BAND` of L), so words may be left out, changed or put in between.
+Of each file and template, the words of highest IDF that the file holds are looked up, as many as
+cover more positions than may be missing and `VOTES` more; each occurrence votes for a relative
+position. A place with so few votes within d of it can't hold the template; the others are checked
+word by word. So the votes lose nothing. The template table is fixed, so what is sent to the
+tasks doesn't grow with the corpus: wording of the licences most used, whole where it is short, else
+the notices that files carry; a licence that isn't listed has no label.
 
 Base places are those where a listed phrase's words stand consecutively; they stay,
 whatever the method adds.
@@ -32,6 +36,7 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 #: Wording that licences and their notices use, as they are published: label, wording, key phrases.
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ["permission is hereby granted free of charge", "without restriction"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", ["this permission notice shall be included", "provided as is"]),
     ("mit", "released under the mit license", ["mit license"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
     ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["neither the name of", "endorse or promote products"]),
@@ -41,15 +46,23 @@ TEMPLATES = [
     ("gpl-3.0", "licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license"]),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistributions of source code must retain", "redistributions in binary form must reproduce"]),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", ["gnu affero general public license"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ["without any express or implied warranty", "redistribute it freely"]),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ["eclipse public license 2 0"]),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright and related or neighboring rights"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike"]),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ["creative commons attribution noncommercial"]),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc 4 0"]),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ["cc by sa 4 0"]),
     ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
 ]
-N_RARE = 8
-LEAST_SHARE = 0.75  # of a template's words in their places
+LEAST_SHARE = 0.75  # of a template's words that must stand in their order
+BAND = 0.1  # of its length by which they may be moved, two words at least
+VOTES = 3
 PHRASE_SCORE = 0.5  # of a file with a base phrase but no template
 
 _TABLE = bytes(
@@ -72,9 +85,11 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     line = b" " + b" ".join(words) + b" "
     found = []
     for phrase, label in PHRASES.items():
-        at = line.find(needle := b" " + phrase.encode() + b" ")
+        at, counted, words_before = line.find(needle := b" " + phrase.encode() + b" "), 0, 0
         while at >= 0:
-            found.append((line.count(b" ", 0, at), label))
+            words_before += line.count(b" ", counted, at)
+            counted = at
+            found.append((words_before, label))
             at = line.find(needle, at + 1)
     return sorted(found)
 
@@ -98,34 +113,78 @@ def document_frequencies(docs: DataFrame) -> tuple[int, dict[bytes, int]]:
     return found.pop(b"", 0), found
 
 
+def in_order(tokens: list[bytes], words: list[bytes]) -> int:
+    """How many of tokens stand in words in their order, others between: the longest common subsequence, in bit vectors."""
+    places: dict[bytes, int] = {}
+    for i, t in enumerate(tokens):
+        places[t] = places.get(t, 0) | 1 << i
+    full = free = (1 << len(tokens)) - 1
+    for w in words:
+        if (at := places.get(w)) is not None:
+            used = free & at
+            free = ((free + used) | (free - used)) & full
+    return len(tokens) - free.bit_count()
+
+
+def band(tokens: list[bytes]) -> int:
+    return max(2, int(BAND * len(tokens)))
+
+
+def share_at(n: int, words: list[bytes], at: int) -> float:
+    """The share of template n that stands at a place; 0 below the least, or without its key phrases."""
+    tokens, d = TOKENS[n], band(TOKENS[n])
+    there = words[max(0, at - d) : max(0, at + len(tokens) + d)]
+    share = in_order(tokens, there) / len(tokens)
+    if share < LEAST_SHARE:
+        return 0.0
+    line = b" " + b" ".join(there) + b" "
+    return share if all(b" " + k.encode() + b" " in line for k in TEMPLATES[n][2]) else 0.0
+
+
+def candidates(n: int, words: list[bytes], known: set[bytes], idf: dict[bytes, float]) -> list[int]:
+    """The places that the votes leave for template n."""
+    tokens, d = TOKENS[n], band(TOKENS[n])
+    absent = sum(w not in known for w in tokens)
+    spare = len(tokens) - math.ceil(LEAST_SHARE * len(tokens) - 1e-9) - absent  # known words that may be out of place
+    if spare < 0:
+        return []
+    rare: set[bytes] = set()
+    covered = 0
+    for w in sorted(known.intersection(tokens), key=lambda w: (-idf[w], w)):
+        if covered >= spare + VOTES:
+            break
+        rare.add(w)
+        covered += tokens.count(w)
+    votes: Counter = Counter()
+    for at, w in enumerate(words):
+        if w in rare:
+            votes.update(at - p for m, p in POSTINGS[w] if m == n)
+    # A sliding sum of the votes at most d from a place.
+    shifts, left, lo, hi, found = sorted(votes), 0, 0, 0, []
+    near = sorted({s for v in shifts for s in range(v - d, v + d + 1)})
+    for s in near:
+        while hi < len(shifts) and shifts[hi] <= s + d:
+            left += votes[shifts[hi]]
+            hi += 1
+        while shifts[lo] < s - d:
+            left -= votes[shifts[lo]]
+            lo += 1
+        if left >= max(1, covered - spare):
+            found.append(s)
+    return found
+
+
 def scan(text: bytes, idf: dict[bytes, float]) -> tuple[list[bytes], list[tuple[int, str]], dict[str, float]]:
     """The words, the base places, and the method's labels with their scores."""
     words = words_of(text)
     base = base_places(words)
-    held = set(words)
-    line = None
+    known = POSTINGS.keys() & set(words)
     labels: dict[str, float] = {}
-    known = POSTINGS.keys() & held
-    # A template of which too many words are missing can't reach the share anywhere.
-    for n, tokens in enumerate(TOKENS):
-        if sum(w in known for w in tokens) < LEAST_SHARE * len(tokens):
-            continue
-        rare = set(sorted(known.intersection(tokens), key=lambda w: (-idf[w], w))[:N_RARE])
-        votes: Counter = Counter()
-        for at, w in enumerate(words):
-            if w in rare:
-                votes.update(at - p for m, p in POSTINGS[w] if m == n)
-        # At most 1 - share of the words may be out of place, rare ones among them.
-        least = max(1, sum(w in rare for w in tokens) - math.floor((1 - LEAST_SHARE) * len(tokens)))
-        label, _, keys = TEMPLATES[n]
-        for shift, v in votes.items():
-            if v < least:
-                continue
-            share = sum(0 <= shift + i < len(words) and words[shift + i] == t for i, t in enumerate(tokens)) / len(tokens)
-            if share < LEAST_SHARE or share <= labels.get(label, 0):
-                continue
-            line = line if line is not None else b" " + b" ".join(words) + b" "
-            if all(b" " + k.encode() + b" " in line for k in keys):
+    for n, (label, _, _) in enumerate(TEMPLATES):
+        for at in candidates(n, words, known, idf):
+            if labels.get(label, 0.0) == 1.0:
+                break
+            if (share := share_at(n, words, at)) > labels.get(label, 0.0):
                 labels[label] = share
     return words, base, labels
 

@@ -11,8 +11,8 @@ Neither labels, lang, source nor ids are inputs of a score.
 
 Defined cases: null and empty texts have zeros for statistics and a score like others;
 labels that are null, or whose document is missing, are not learnt from; without labels, or
-with one class only, all scores are the share of ones, smoothed; repeated rows are rows as
-any other; null ids are never held out and never learnt from; an empty table gives an empty
+with one class only, all scores are the share of ones, smoothed; an id is learnt from once, by the
+least of its labels and of its documents' statistics; repeated rows are scored as any other; null ids are never held out and never learnt from; an empty table gives an empty
 result; other columns are handed through by `keep_good`.
 """
 
@@ -132,10 +132,12 @@ def fit(x: np.ndarray, y: np.ndarray) -> dict:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """Fit on at most `sample` labelled rows, which are collected with their statistics."""
     chosen = labels.select(F.col("doc_id").alias("l_id"), F.col("quality").cast("int").alias("y")).filter("l_id is not null and y in (0, 1)").filter(~held_out(F.col("l_id")))
-    chosen = F.broadcast(chosen.orderBy(F.xxhash64("l_id"), "l_id", "y").limit(sample))  # bounded by the parameter
+    chosen = chosen.groupBy("l_id").agg(F.min("y").alias("y"))
+    chosen = F.broadcast(chosen.orderBy(F.xxhash64("l_id"), "l_id").limit(sample))  # bounded by the parameter
     rows = with_statistics(docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("l_id")))
-    rows = rows.select("y", "doc_id", *[f"s_{k}" for k in FEATURES]).toPandas()
-    rows = rows.sort_values(["doc_id", "y", *[f"s_{k}" for k in FEATURES]])
+    # One row for each id, however often documents repeat it: no more than the sample comes to the driver.
+    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min(F.struct(*[f"s_{k}" for k in FEATURES])).alias("s")).select("y", "doc_id", "s.*").toPandas()
+    rows = rows.sort_values("doc_id")
     return fit(rows[[f"s_{k}" for k in FEATURES]].to_numpy(float), rows["y"].to_numpy(float))
 
 

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -301,6 +302,37 @@ def test_keep_one_finds_every_near_copy(spark):
     assert all(any(like(i, k) for k in kept) for i in range(len(texts)))
 
 
+def plain_statistics(t):
+    t = t or ""
+    space, solid = r"[ \t\n\x0B\f\r]", r"[^ \t\n\x0B\f\r]"
+    count = lambda p: len(regex.findall(p, t))
+    chars, w = max(len(t), 1), max(count(solid + "+"), 1)
+    fresh = regex.split(space + "+", t)
+    return [
+        np.log1p(len(t)), np.log1p(w), count(solid) / w, count(r"\p{Lu}") / chars, count(rf"[^\p{{L}}\p{{N}} \t\n\x0B\f\r]") / chars, count("[0-9]") / chars,
+        count(r"([!%*#&$?~^=_<>@])\1") / w, count(rf"(?<!{solid})[|/\\•·–-](?!{solid})") / w, sum(1 for _ in regex.finditer(rf"(?<!{solid})({solid}+){space}+(?=\1(?!{solid}))", t)) / w,
+        count(rf"[.!?](?={space}|$)") / w, t.count("\n") / w, len(set(fresh)) / w,
+    ]
+
+
+def test_quality_against_numpy(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["word ", "Word. ", "again again ", "!!", " | ", "12 ", "É", "\n", "x%%% ", "- "]) for _ in range(rng.randrange(60))) for _ in range(300)] + [None, "", "word " * 20_000]
+    docs = spark.createDataFrame([(n, t, 1) for n, t in enumerate(texts)], "doc_id long, text string, s_upper int")
+    x = np.array([plain_statistics(t) for t in texts])
+    got = np.array([list(r) for r in quality.with_statistics(docs.select("doc_id", "text")).orderBy("doc_id").select(*[f"s_{k}" for k in quality.FEATURES]).collect()])
+    assert np.allclose(got, x, atol=1e-12)
+    y = [int(x[n, 3] < 0.08 or rng.random() < 0.1) for n in range(len(texts))]
+    labels = spark.createDataFrame([(n, v) for n, v in enumerate(y)] * 2, "doc_id long, quality int")
+    learnt = [n for n in range(len(texts)) if zlib.crc32(str(n).encode()) % 5]
+    model = quality.fit(x[learnt], np.array([float(y[n]) for n in learnt]))
+    assert model["rules"]
+    margin = model["bias"] + sum(w * np.all([(x[:, f] <= at) == low for f, low, at in rule], axis=0) for w, rule in model["rules"])
+    # Documents in many copies of an id, and labels given twice, teach no more than once.
+    rows = quality.report(docs.unionByName(docs), labels).collect()
+    assert len(rows) == 2 * len(texts) and all(abs(r["score"] - 1 / (1 + np.exp(-margin[r["doc_id"]]))) < 1e-9 for r in rows)
+
+
 def test_quality_learns_a_rule(spark):
     rng = random.Random(3)
     rows, labels = [], []

@@ -141,6 +141,65 @@ def test_licences(spark):
     assert licences.report(documents(spark, [])).count() == 0
 
 
+def plain_subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def plain_labels(text):
+    """Labels and scores by trying every place of every template."""
+    w, found = [x.encode() for x in words(text)], {}
+    for n, (label, _, keys) in enumerate(licences.TEMPLATES):
+        tokens = licences.TOKENS[n]
+        d = licences.band(tokens)
+        for at in range(-len(tokens) - d, len(w) + d):
+            there = w[max(0, at - d) : max(0, at + len(tokens) + d)]
+            if len(set(tokens) & set(there)) < 0.5 * len(set(tokens)):
+                continue
+            share = plain_subsequence(tokens, there) / len(tokens)
+            line = b" " + b" ".join(there) + b" "
+            if share >= licences.LEAST_SHARE and all(b" " + k.encode() + b" " in line for k in keys):
+                found[label] = max(found.get(label, 0), share)
+    return found
+
+
+def test_licences_against_every_alignment(spark):
+    rng = random.Random(7)
+    texts = []
+    for _, wording, _ in licences.TEMPLATES:
+        w = wording.split()
+        if len(w) > 60:
+            w = w[:60]
+        for change in range(4):
+            v = list(w)
+            for _ in range(change * max(1, len(w) // 20)):
+                at = rng.randrange(len(v))
+                if rng.random() < 0.4:
+                    v[at] = rng.choice(["software", "changed", "license"])
+                elif rng.random() < 0.5:
+                    v.insert(at, rng.choice(["inserted", "the"]))
+                else:
+                    del v[at]
+            texts.append(" ".join(["before", "it"] * rng.randrange(3) + v + ["after"] * rng.randrange(3)))
+    texts += [texts[0] + " filler " * 30 + texts[9], "mit license " * 20, None, ""]
+    rows = {r["doc_id"]: r for r in licences.report(documents(spark, texts).withColumn("words", F.lit(1))).collect()}
+    labelled = 0
+    for n, t in enumerate(texts):
+        expected = plain_labels(t)
+        base = {label for phrase, label in licences.PHRASES.items() if f" {phrase} " in f" {' '.join(words(t))} "}
+        assert rows[n]["labels"] == ",".join(sorted(base | set(expected))), t
+        assert abs(rows[n]["score"] - max(expected.values(), default=0.5 if base else 0.0)) < 1e-12
+        labelled += bool(expected)
+    assert labelled > 40
+    long = documents(spark, ["cc by mit license " * 60_000, "cc by", "cc by"])
+    assert [r["n_base"] for r in licences.report(long).orderBy("doc_id").collect()] == [120_000, 1, 1]
+
+
 TEXTS = [None, "", " ", "  two  spaces ", "hello world", "日本語 😀\n\ttab", "a" * 500, "é" * 60, "Don't stop -- 1234567!", "\x00odd\x7f", "word " * 300, "ﬁ ligature ① ½", "mixed space"]
 
 
