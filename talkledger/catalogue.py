@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import labels as L
 from .functions import text as T
@@ -417,7 +418,7 @@ def word_counts(spark: SparkSession, sf: str) -> DataFrame:
 _MARKERS = " + ".join(f"cast(contains(h, '{m}') as integer)" for m in T.LEAK_MARKERS)
 
 
-@query(rf"with a as (select conv_id, turn, {strip_sql('text')} as a from conversations where text is not null), b as (select *, lower(substr(a, 1, 500)) as h from a) select conv_id, turn, a <> '' and (regexp_matches(a, '(?i)^\s*(?:{"|".join(T.LEAK_LEADS)})\b') or ({_MARKERS}) >= 2) as leaks from b")
+@query(rf"with a as (select conv_id, turn, {strip_sql('text')} as a from conversations where text is not null), b as (select *, lower(substr(a, 1, 500)) as h from a) select conv_id, turn, a <> '' and (regexp_matches(a, '{T.LEAK_LEAD}') or ({_MARKERS}) >= 2) as leaks from b")
 def reasoning_leak(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").filter("text is not null").select("conv_id", "turn", T.leaks_reasoning(F.col("text")).alias("leaks"))
 
@@ -668,10 +669,10 @@ _DIAGNOSED = f"""with {_CASES}, rk as (select *, want = label as same, row_numbe
     a as (select item_id, count(*) filter (where same) as n_same, count(*) filter (where not same) as n_opposite, coalesce(max(sim) filter (where same), 0.0) as max_same, coalesce(max(sim) filter (where not same), 0.0) as max_opposite,
       coalesce(string_agg(cast(pos as varchar), ',' order by rank) filter (where same and rank <= 3), '') as same_examples, coalesce(string_agg(cast(pos as varchar), ',' order by rank) filter (where not same and rank <= 3), '') as opposite_examples from rk group by item_id)
     select item_id, coalesce(n_same, 0) as n_same, coalesce(n_opposite, 0) as n_opposite, coalesce(max_same, 0.0) as max_same, coalesce(max_opposite, 0.0) as max_opposite, coalesce(same_examples, '') as same_examples, coalesce(opposite_examples, '') as opposite_examples,
-      concat(case when coalesce(n_same, 0) = 0 then 'missing' when n_same <= 2 then 'thin' else 'THIRD' end, case when coalesce(max_opposite, 0.0) >= 0.74 then ',possible_label_noise' else '' end) as causes from it left join a using (item_id)"""
+      concat(case when coalesce(n_same, 0) = 0 then 'missing_coverage' when n_same <= 2 then 'thin_coverage' else 'THIRD' end, case when coalesce(max_opposite, 0.0) >= 0.74 then ',possible_label_noise' else '' end) as causes from it left join a using (item_id)"""
 
 
-@query(_DIAGNOSED.replace("THIRD", "underweighted"))
+@query(_DIAGNOSED.replace("THIRD", "underweighted_pattern"))
 def label_changed_diagnosis(spark: SparkSession, sf: str) -> DataFrame:
     items, rows = _cases(spark, sf)
     return coverage.diagnose(items, rows, similar=coverage.token_jaccard)
@@ -807,17 +808,243 @@ def chat_history(spark: SparkSession, sf: str) -> DataFrame:
     return present.chat_history(c.select(F.col("conv_id").alias("chat_id"), F.col("turn").alias("pos"), "role", F.col("text").alias("content")))
 
 
-OUTCOME_ROWS = [("Too few", "missing"), ("label-noise", "thin"), ("?", "thin,possible_label_noise"), (None, "underweighted,possible_label_noise"), ("", "missing"), ("boundary", "thin"), ("x", "underweighted")]
+# --- investigations ------------------------------------------------------------------------
 
+_ANSWERED = """a(answer, causes) as (values ('Thin coverage', ['missing_coverage']), ('label-noise', ['thin_coverage']), ('?', ['thin_coverage', 'possible_label_noise']), (null, ['underweighted_pattern', 'possible_label_noise']), ('', ['missing_coverage']),
+    ('Covered-But Boundary Confusing', []), ('post_retrain_boundary_regression', ['thin_coverage']), ('UNDER_REPRESENTED', ['x']), ('boundary_regression', ['missing_coverage']), ('under_represented_pattern', ['possible_label_noise']), ('missing_coverage', ['thin_coverage']))"""
+ANSWERED = [
+    ("Thin coverage", ["missing_coverage"]), ("label-noise", ["thin_coverage"]), ("?", ["thin_coverage", "possible_label_noise"]), (None, ["underweighted_pattern", "possible_label_noise"]), ("", ["missing_coverage"]),
+    ("Covered-But Boundary Confusing", []), ("post_retrain_boundary_regression", ["thin_coverage"]), ("UNDER_REPRESENTED", ["x"]), ("boundary_regression", ["missing_coverage"]), ("under_represented_pattern", ["possible_label_noise"]), ("missing_coverage", ["thin_coverage"]),
+]
+_SPELT_ANSWER = "replace(replace(lower(trim(coalesce(answer, ''))), '-', '_'), ' ', '_')"
+
+
+def _outcome_sql(aliases: str, known: str, fallback: str) -> str:
+    return f"""with {_ANSWERED}, n as (select *, {_SPELT_ANSWER} as s from a), m as (select *, coalesce((select t.name from (values {aliases}) t(other, name) where t.other = s), s) as k from n)
+    select answer, array_to_string(causes, ',') as causes, case when k in ({known}) then k else {fallback} end as outcome from m"""
 
-@query("select * from (values ('Too few', 'missing', 'thin'), ('label-noise', 'thin', 'noise'), ('?', 'thin,possible_label_noise', 'thin'), (null, 'underweighted,possible_label_noise', 'noise'), ('', 'missing', 'missing'), ('boundary', 'thin', 'boundary'), ('x', 'underweighted', 'boundary')) t(answer, causes, outcome)")
+
+@query(
+    _outcome_sql(
+        "('thin_coverage', 'covered_but_under_represented'), ('under_represented', 'covered_but_under_represented'), ('underrepresented', 'covered_but_under_represented'), ('covered_underrepresented', 'covered_but_under_represented'), ('boundary_confusing', 'covered_but_boundary_confusing'), ('label_noise', 'possible_label_noise')",
+        "'missing_coverage', 'covered_but_under_represented', 'covered_but_boundary_confusing', 'possible_label_noise'",
+        "case when list_contains(causes, 'missing_coverage') then 'missing_coverage' when list_contains(causes, 'thin_coverage') then 'covered_but_under_represented' else 'covered_but_boundary_confusing' end",
+    )
+)
 def investigated_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(OUTCOME_ROWS, "answer string, causes string")
-    return rows.withColumn("outcome", samples.outcome(F.col("answer"), F.col("causes")))
+    rows = spark.createDataFrame(ANSWERED, "answer string, causes array<string>")
+    return rows.select("answer", F.array_join("causes", ",").alias("causes"), samples.outcome(F.col("answer"), F.col("causes")).alias("outcome"))
+
+
+@query(
+    _outcome_sql(
+        "('thin_coverage', 'under_represented_pattern'), ('under_represented', 'under_represented_pattern'), ('underrepresented', 'under_represented_pattern'), ('covered_but_under_represented', 'under_represented_pattern'), ('covered_but_boundary_confusing', 'boundary_regression'), ('post_retrain_boundary_regression', 'boundary_regression'), ('boundary_confusing', 'boundary_regression'), ('label_noise', 'possible_label_noise')",
+        "'missing_coverage', 'under_represented_pattern', 'boundary_regression', 'possible_label_noise'",
+        "case when list_contains(causes, 'missing_coverage') then 'missing_coverage' when list_contains(causes, 'thin_coverage') then 'under_represented_pattern' when list_contains(causes, 'possible_label_noise') then 'possible_label_noise' else 'boundary_regression' end",
+    )
+)
+def regressed_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame(ANSWERED, "answer string, causes array<string>")
+    return rows.select("answer", F.array_join("causes", ",").alias("causes"), samples.regression_outcome(F.col("answer"), F.col("causes")).alias("outcome"))
 
 
-@query("select * from (values (1, 0, 'a rebooking fee  is due'.replace('  ', ' '), 'answer'), (1, 1, 'Just so you know, a change fee applies when we move this booking.', 'template'), (2, 0, 'We can skip that part.', 'template')) t(item_id, n, text, source)".replace("'a rebooking fee  is due'.replace('  ', ' ')", "'a rebooking fee is due'"))
+GAPS = [
+    (1, "A change fee applies", L.PASS, "there is a fee to make the change", ["missing_coverage"], 0, 1),
+    (2, "unknown anchor", L.FAIL, "x", ["thin_coverage"], 2, 0),
+    (3, "verify your identity first", L.FAIL, "After I unlock your account, I will verify your identity for our records.", ["underweighted_pattern", "possible_label_noise"], 5, 1),
+    (4, "fare difference or travel credit", L.PASS, "no", ["missing_coverage"], 0, 0),
+]
+GAP_SCHEMA = "item_id int, anchor string, label string, phrase string, causes array<string>, n_same int, n_opposite int"
+GAP_ANSWERS = [
+    (1, '<think>so</think>{"outcome": "Missing Coverage", "rationale": " none ", "generated_samples": ["the fee is waived", " a rebooking  fee is due", "A rebooking fee is due", "There is a fee to make the change"]}'),
+    (2, '{"outcome": "nonsense", "generated_samples": [" ", "Kept as it is"]}'),
+    (4, '{"outcome": "label_noise", "generated_samples": ["you pay the fare difference"]}'),
+]
+
+
+@query(
+    """select * from (values
+    (1, 0, 'a rebooking fee is due', 'qwen'), (1, 1, 'There will be a fee to make the change before I confirm the new flight for you.', 'fallback'), (1, 2, 'There is a fee to make this change, and I need to disclose that before I confirm the new itinerary.', 'fallback'),
+    (2, 0, 'Kept as it is', 'qwen'), (3, 0, 'Once I unlock your account, I will verify your identity for our records.', 'fallback'), (3, 1, 'I will verify your identity for our records after I unlock your account.', 'fallback')) t(item_id, n, text, source)"""
+)
 def gap_samples(spark: SparkSession, sf: str) -> DataFrame:
-    items = spark.createDataFrame([(1, "a change fee", L.PASS, "there is a change fee"), (2, "unknown anchor", L.FAIL, "x")], "item_id int, anchor string, label string, phrase string")
-    answers = spark.createDataFrame([(1, 0, "the fee is waived"), (1, 1, " a rebooking  fee is due"), (1, 2, "A rebooking fee is due"), (1, 3, "There is a change fee"), (2, 0, " ")], "item_id int, pos int, text string")
+    items = spark.createDataFrame(GAPS, GAP_SCHEMA).withColumn("outcome", F.when(F.col("item_id") == 4, "possible_label_noise").otherwise("missing_coverage"))
+    answers = spark.createDataFrame([(1, 0, "the fee is waived"), (1, 1, " a rebooking  fee is due"), (1, 2, "A rebooking fee is due"), (1, 3, "There is a fee to make the change"), (2, 0, " "), (2, 1, "Kept as it is"), (4, 0, "you pay the fare difference")], "item_id int, pos int, text string")
     return samples.samples(items, answers)
+
+
+@query(
+    """select * from (values
+    (1, 'missing_coverage', 'none', 'missing_coverage', 3, 'mixed', 'Generate targeted examples for this missing pattern; optionally add the exact reviewed phrase too.'),
+    (2, 'covered_but_under_represented', 'Qwen outcome `covered_but_under_represented` was used with deterministic coverage evidence: 2 same-label sample(s), 0 opposite-label sample(s).', 'covered_but_under_represented', 1, 'qwen', 'Coverage exists but is too thin, so add targeted generated phrases to strengthen this pattern before retraining.'),
+    (3, 'covered_but_boundary_confusing', 'Qwen outcome `covered_but_boundary_confusing` was used with deterministic coverage evidence: 5 same-label sample(s), 1 opposite-label sample(s).', 'covered_but_boundary_confusing,possible_label_noise', 2, 'fallback', 'Coverage exists, but the model still needs targeted boundary examples for this failed prediction before retraining.'),
+    (4, 'possible_label_noise', 'Qwen outcome `possible_label_noise` was used with deterministic coverage evidence: 0 same-label sample(s), 0 opposite-label sample(s).', 'possible_label_noise', 0, '', 'Inspect similar opposite-label synthetic examples before adding more data.')) t(item_id, outcome, rationale, causes, n_samples, source, recommendation)"""
+)
+def investigations(spark: SparkSession, sf: str) -> DataFrame:
+    out = samples.investigate(spark.createDataFrame(GAPS, GAP_SCHEMA), spark.createDataFrame(GAP_ANSWERS, "item_id int, answer string"))
+    return out.select("item_id", "outcome", "rationale", F.array_join("causes", ",").alias("causes"), F.size("samples").alias("n_samples"), "source", "recommendation")
+
+
+@query(
+    """select * from (values
+    (1, 'missing_coverage', 'none', 'Generate more same-label examples for this exact pattern before the next retrain.'),
+    (2, 'under_represented_pattern', 'Agent review completed from the before/after movement and nearby dataset examples.', 'Keep the reviewed phrase in training and add a few nearby same-label variants before retraining again.'),
+    (3, 'possible_label_noise', 'Agent review completed from the before/after movement and nearby dataset examples.', 'Inspect nearby opposite-label samples before another retrain because the dataset may be sending mixed signals.'),
+    (4, 'possible_label_noise', 'Agent review completed from the before/after movement and nearby dataset examples.', 'Inspect nearby opposite-label samples before another retrain because the dataset may be sending mixed signals.')) t(item_id, outcome, rationale, recommendation)"""
+)
+def investigated_regressions(spark: SparkSession, sf: str) -> DataFrame:
+    return samples.investigate_regressions(spark.createDataFrame(GAPS, GAP_SCHEMA), spark.createDataFrame(GAP_ANSWERS, "item_id int, answer string"))
+
+
+@query(f"select 0 as part, * from ({_DIAGNOSED.replace('THIRD', 'underweighted_pattern')}) union all select 1 as part, * from ({_DIAGNOSED.replace('THIRD', 'post_retrain_boundary_regression')})")
+def merged_diagnoses(spark: SparkSession, sf: str) -> DataFrame:
+    return samples.merge_diagnoses(label_changed_diagnosis(spark, sf), regression_diagnosis(spark, sf))
+
+
+@query("select * from (values ('a', 'gap', 'fine', '', 'few', 2), ('b', '', '', '', '', 0), ('c', 'covered', '', 'hard', '', 0)) t(key, coverage_status, positive_quality_note, negative_quality_note, reason, n_variants)")
+def dataset_audit(spark: SparkSession, sf: str) -> DataFrame:
+    answers = [("a", 'Well: {"coverage_status": " GAP ", "positive_quality_note": "fine ", "reason": "few", "generated_variants": ["x", " ", "y"]}'), ("b", "no json"), ("c", '```json\n{"coverage_status": "covered", "negative_quality_note": "hard"}\n```')]
+    return samples.audit_answers(spark.createDataFrame(answers, "key string, answer string")).withColumn("n_variants", F.size("generated_variants")).drop("generated_variants")
+
+
+GATES = [("never", False, None), ("never", True, 0.1), ("if_missing", True, None), ("if_missing", False, None), (" Always ", True, 0.89994), ("always", False, 0.9), (None, False, 0.95), ("odd", True, 0.95)]
+
+
+@query(
+    """select mode, models_exist, metric, status, message from (values
+    ('never', false, null, 'blocked', 'Bootstrap was disabled, but the active retriever/verifier models do not exist yet.'), ('never', true, 0.1, 'skipped', 'Bootstrap training gate skipped because active models already exist.'),
+    ('if_missing', true, null, 'skipped', 'Bootstrap training gate skipped because active models already exist.'), ('if_missing', false, null, 'blocked', 'Synthetic dataset is empty, so bootstrap training cannot start.'),
+    (' Always ', true, 0.89994, 'blocked', 'Synthetic gate failed: macro_f1=0.8999 is below 0.9000.'), ('always', false, 0.9, 'ready', 'Synthetic gate passed: macro_f1=0.9000. Full synthetic training completed.'),
+    (null, false, 0.95, 'ready', 'Synthetic gate passed: macro_f1=0.9500. Full synthetic training completed.'), ('odd', true, 0.95, 'skipped', 'Bootstrap training gate skipped because active models already exist.')) t(mode, models_exist, metric, status, message)"""
+)
+def training_gate(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame(GATES, "mode string, models_exist boolean, metric double")
+    return rows.withColumn("g", metrics.training_gate(F.col("mode"), F.col("models_exist"), F.col("metric"))).select("mode", "models_exist", F.col("metric").cast("decimal(6,5)").alias("metric"), "g.status", "g.message")
+
+
+# --- summaries and answers -----------------------------------------------------------------
+
+_LINE = "concat('Rule ', rule_id, ': ', case when passed then 'PASS' else 'FAIL' end, ', score ', printf('%.3f', cast(score as double)))"
+
+
+@query(f"{RULE_ROWS} select transcript_id, concat(string_agg({_LINE}, chr(10) order by rule_pos), '.') as summary from rr group by transcript_id")
+def short_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return present.short_summary(rule_rows(spark, sf))
+
+
+@query(
+    f"""{RULE_ROWS}, n as (select transcript_id, rule_id, count(*) as n, count(*) filter (where passed) as k from cr group by all),
+    l as (select rr.transcript_id, rule_pos, concat({_LINE.replace('rule_id', 'rr.rule_id')}, case when n = 1 and k = 1 then ' - required evidence was found' when n = 1 then ' - required evidence was not found' when n > 1 then concat(' - ', k, '/', n, ' required disclosures passed') else '' end, '.') as line
+      from rr left join n on n.transcript_id = rr.transcript_id and n.rule_id = rr.rule_id)
+    select transcript_id, concat('Current inference summary:', chr(10), string_agg(line, chr(10) order by rule_pos)) as summary from l group by transcript_id"""
+)
+def inference_summary(spark: SparkSession, sf: str) -> DataFrame:
+    said, r, c = scored(spark, sf)
+    return present.inference_summary(scoring.rule_results(said, r, c), c)
+
+
+@query(f"{RULE_ROWS} select transcript_id, rule_id, case rule_id when '101' then 'Identity verification' when '102' then 'Change of Booking' else description end as name from rr join rules using (rule_id)")
+def rule_names(spark: SparkSession, sf: str) -> DataFrame:
+    rows = rule_rows(spark, sf).join(F.broadcast(demo_rules(spark).select("rule_id", "description")), "rule_id")
+    return rows.select("transcript_id", "rule_id", present.rule_name(F.col("rule_id"), F.col("description")).alias("name"))
+
+
+def _cut_sql(n: int) -> str:
+    t = collapse_sql("text")
+    return f"case when length({t}) <= {n} then {t} else concat(rtrim(substr({t}, 1, {n - 3})), '...') end"
+
+
+@query(
+    f"""{BASE}, {ITEMS} select transcript_id, claim_order, concat('Review item ', claim_order + 1, ': Rule ', rule_id, chr(10), '  Anchor: ', anchor, chr(10), '  Best text: ', case when {_cut_sql(220)} = '' then 'No matched text available.' else {_cut_sql(220)} end, chr(10),
+    '  Score: ', printf('%.3f', cast(ver as double)), chr(10), '  Model label: ', case when ver >= 0.5 then 'Compliant' else 'Non-Compliant' end, case when claim_order % 2 = 0 then concat(chr(10), '  Qwen label: Pass') else '' end) as lines from items"""
+)
+def review_item_lines(spark: SparkSession, sf: str) -> DataFrame:
+    items = review.review_items(scored(spark, sf)[2])
+    line = present.item_lines(F.col("claim_order") + 1, F.col("rule_id"), F.col("anchor"), F.col("text"), F.col("ver"), F.when(F.col("claim_order") % 2 == 0, " Pass"))
+    return items.select("transcript_id", "claim_order", line.alias("lines"))
+
+
+@query(
+    f"""{BASE}, {ITEMS}, l as (select transcript_id, claim_order, concat('Rule ', rule_id, ', score ', printf('%.3f', cast(ver as double)), ', Qwen label: ', case when claim_order % 2 = 0 then 'Fail' else 'not labeled yet' end, '.', chr(10), '   Anchor: ', anchor, chr(10), '   Phrase: ', case when {_cut_sql(180)} = '' then 'No phrase available.' else {_cut_sql(180)} end) as line from items where review_type = 'borderline'),
+    n as (select *, row_number() over (partition by transcript_id order by claim_order) as n from l) select transcript_id, string_agg(concat(n, '. ', line), chr(10) order by n) as lines from n group by transcript_id"""
+)
+def explained_borderline(spark: SparkSession, sf: str) -> DataFrame:
+    items = review.review_items(scored(spark, sf)[2]).filter("review_type = 'borderline'")
+    line = present.explanation(F.col("rule_id"), F.col("ver"), F.when(F.col("claim_order") % 2 == 0, "non_compliant").otherwise(""), F.col("anchor"), F.col("text"))
+    return present.numbered_lines(items, "transcript_id", "claim_order", line)
+
+
+@query(
+    f"""{RULE_ROWS}, n as (select transcript_id, rule_id, count(*) as n, count(*) filter (where passed) as k from cr group by all)
+    select rr.transcript_id, rr.rule_id, case when passed then 'PASS' else 'FAIL' end as status, round(score, 4) as score, description, cast(coalesce(n, 0) as integer) as n_claims, cast(coalesce(k, 0) as integer) as n_passed
+    from rr join rules using (rule_id) left join n on n.transcript_id = rr.transcript_id and n.rule_id = rr.rule_id"""
+)
+def chat_context(spark: SparkSession, sf: str) -> DataFrame:
+    said, r, c = scored(spark, sf)
+    made = present.chat_context(scoring.rule_results(said, r, c), c, r)
+    schema = "rules array<struct<rule_id: string, status: string, score: double, description: string, claims: array<struct<passed: boolean>>>>"
+    back = made.select("transcript_id", F.explode(F.from_json("context", schema)["rules"]).alias("r"))
+    of = F.coalesce("r.claims", F.array().cast("array<struct<passed:boolean>>"))
+    return back.select("transcript_id", "r.rule_id", "r.status", "r.score", "r.description", F.size(of).alias("n_claims"), F.size(F.filter(of, lambda x: x["passed"])).alias("n_passed"))
+
+
+QUESTIONS = [
+    (1, " Hello ", 0, "S"), (2, "Any borderline phrase?", 0, "S"), (3, "Explain the  borderline phrases!", 2, "S"), (4, "Please suggest a final label for borderline items.", 2, "S"), (5, "Why did it fail?", 1, "<think>hm</think> It failed."),
+    (6, "Why?", 0, "Okay, the user is asking why. Let me check."), (7, "Why?", 0, ""), (8, None, 0, "Yes."), (9, "borderline", 3, "A model's answer"),
+]
+
+
+@query(
+    """select * from (values (1, 'Hi. I can help explain the current inference result, borderline phrases, or Qwen labels.'), (2, 'There are no borderline phrases in the current review queue.' || chr(10) || 'SUM'), (3, 'EXPLAINED'), (4, 'SUGGESTED'), (5, 'It failed.'),
+    (6, 'SUM'), (7, 'I can help explain the current inference result or review labels.'), (8, 'Yes.'), (9, 'A model''s answer')) t(id, answer)"""
+)
+def chat_answers(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame(QUESTIONS, "id int, question string, n_items int, said string")
+    return rows.select("id", present.chat_answer(F.col("question"), F.col("n_items"), F.lit("SUM"), F.lit("SUGGESTED"), F.lit("EXPLAINED"), F.col("said")).alias("answer"))
+
+
+@query("select * from (values (1, '{\"101\":{\"status\":\"PASS\"}}'), (2, '{\"101\":{\"status\":\"FAIL\"}}'), (3, '{\"results\":[1]}')) t(id, results)")
+def results_only(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, '{"results":{"101":{"status":"PASS"}},"x":1}'), (2, '{"101":{"status":"FAIL"}}'), (3, '{"results":[1]}')], "id int, payload string")
+    return rows.select("id", present.results_only(F.col("payload")).alias("results"))
+
+
+# --- rules, orders, and what a reader gives back -------------------------------------------
+
+
+@query("select rule_id, cast(row_number() over (order by try_cast(rule_id as bigint) is null, try_cast(rule_id as bigint), rule_id) as integer) as n, cast(row_number() over (order by rule_id) as integer) as by_text from (values ('10'), ('9'), ('x'), ('101'), ('a'), ('2')) t(rule_id)")
+def rule_order(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(x,) for x in ("10", "9", "x", "101", "a", "2")], "rule_id string")
+    w = Window.orderBy(*T.rule_order(F.col("rule_id")))
+    return rows.select("rule_id", F.row_number().over(w).alias("n"), F.row_number().over(Window.orderBy("rule_id")).alias("by_text"))
+
+
+@query("select * from (values ('1.2', 1), ('1.10', 2), ('2', 3), ('10.1', 4), ('Calm', 5), ('x.1', 6)) t(scenario, n)")
+def scenario_order(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(x,) for x in ("10.1", "x.1", "1.10", "Calm", "2", "1.2")], "scenario string")
+    return rows.select("scenario", F.row_number().over(Window.orderBy(*T.dotted_order(F.col("scenario")))).alias("n"))
+
+
+@query(
+    """select rule_id, description, concat('Description: ', description, chr(10), 'Purpose: ', purpose, chr(10), 'Criteria: ', criteria, chr(10), 'Anchor meanings that count as compliant:', chr(10), listed) as rubric from (values
+    ('101', 'speaks English', 'language', 'english words', '- the of and by'), ('102', 'speaks German', 'language', 'german words', concat('- der die und', chr(10), '- in zu von')), ('103', 'speaks French', 'language', 'french words', ''), ('104', 'speaks both', 'language', 'mixed words', '- the and'), ('105', 'has no claim', 'none', '', ''), ('106', 'falls back', 'language', 'que los por', '- ')) t(rule_id, description, purpose, criteria, listed)"""
+)
+def rule_rubrics(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.rubric(demo_rules(spark))
+
+
+@query(f"with {RULES} select rule_id from rules where rule_id in ('101', '104')")
+def included_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.select_rules(demo_rules(spark), include=["101", "103", "104", "999"], exclude=["103"]).select("rule_id")
+
+
+@query(
+    f"""{BASE}, {ITEMS}, f as (select *, case claim_order % 3 when 0 then 'Compliant' when 1 then 'Non-Compliant' else '' end as final_label from items)
+    select transcript_id, rule_id, claim_order, review_type, final_label, model_label from f where final_label <> '' and (review_type = 'borderline' or final_label <> model_label)"""
+)
+def compared_items(spark: SparkSession, sf: str) -> DataFrame:
+    items = review.review_items(scored(spark, sf)[2])
+    final = F.when(F.col("claim_order") % 3 == 0, L.PASS).when(F.col("claim_order") % 3 == 1, L.FAIL).otherwise("")
+    items = items.withColumn("final_label", final)
+    kept = items.filter(review.to_compare(F.col("review_type"), F.col("final_label"), F.lit(""), F.col("model_label"), F.col("ver")))
+    return kept.select("transcript_id", "rule_id", "claim_order", "review_type", "final_label", "model_label")

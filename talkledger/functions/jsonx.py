@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Hidden thoughts and fences around JSON in answers.
 _THINK = re.compile(r"<think>.*?</think>", re.I | re.S)
 _FENCE = re.compile(r"```json\s*|```", re.I)
-_PLAIN = re.compile(r'[^"\[\]{}]+')
 
 
 def balanced(text: str | None, opening: str) -> str | None:

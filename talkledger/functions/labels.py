@@ -5,6 +5,7 @@ accepts another rejects."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -93,10 +94,8 @@ FAMILIES = [
 
 
 def _has(x: Column, terms: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for t in terms:
-        out = out | F.contains(x, F.lit(t))
-    return out
+    """Whether x has any of the terms: one pattern, so that x is evaluated once."""
+    return F.contains(x, F.lit(terms[0])) if len(terms) == 1 else x.rlike("|".join(re.escape(t) for t in terms))
 
 
 def family(anchor: Column) -> Column:

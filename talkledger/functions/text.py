@@ -19,9 +19,7 @@ LEAK_MARKERS = (
     "the current context", "from the context", "let me draft", "we can say", "wait,",
 )
 #: How such answers start.
-LEAK_LEADS = (
-    "okay", "alright", "let me", "i need to", "the user", "looking at", "first,", "wait,", "we need to", "we are given", "rules to follow", "from the context",
-)
+LEAK_LEAD = r"(?i)^\s*(?:okay|alright|let me|i need to|the user|looking at|first,|wait,|we need to|we are given|rules to follow|from the context)\b"
 
 
 def strip(x: Column) -> Column:
@@ -84,11 +82,10 @@ def cjk_count(x: Column) -> Column:
 
 def leaks_reasoning(x: Column) -> Column:
     """Reasoning at the start, or at least two markers in the first 500 characters."""
-    lead = rf"(?i)^\s*(?:{'|'.join(LEAK_LEADS)})\b"
     answer = strip(F.coalesce(x, F.lit("")))
     head = F.lower(F.substring(answer, 1, 500))
     n = sum((F.contains(head, F.lit(m)).cast("int") for m in LEAK_MARKERS), F.lit(0))
-    return (answer != "") & (answer.rlike(lead) | (n >= 2))
+    return (answer != "") & (answer.rlike(LEAK_LEAD) | (n >= 2))
 
 
 def sigmoid(x: Column) -> Column:

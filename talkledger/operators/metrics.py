@@ -87,3 +87,19 @@ def outcome_counts(compared: DataFrame) -> DataFrame:
 def promote(candidate: Column, active: Column) -> Column:
     """Without an active version, or if the candidate is no worse."""
     return active.isNull() | (candidate >= active - 1e-9)
+
+
+def training_gate(mode: Column, models_exist: Column, metric: Column, threshold: float = 0.9, name: str = "macro_f1") -> Column:
+    """status and message of the gate before training: blocked, skipped or ready.
+
+    mode: always trains, never doesn't, anything else trains if the models don't exist. metric: null if there is nothing to measure."""
+    m = F.lower(F.trim(F.coalesce(mode, F.lit("if_missing"))))
+    trains = (m == "always") | (m != "never") & ~models_exist
+    of = lambda status, message: F.struct(F.lit(status).alias("status"), message.alias("message"))
+    return (
+        F.when((m == "never") & ~models_exist, of("blocked", F.lit("Bootstrap was disabled, but the active retriever/verifier models do not exist yet.")))
+        .when(~trains, of("skipped", F.lit("Bootstrap training gate skipped because active models already exist.")))
+        .when(metric.isNull(), of("blocked", F.lit("Synthetic dataset is empty, so bootstrap training cannot start.")))
+        .when(metric < threshold, of("blocked", F.format_string(f"Synthetic gate failed: {name}=%.4f is below {threshold:.4f}.", metric)))
+        .otherwise(of("ready", F.format_string(f"Synthetic gate passed: {name}=%.4f. Full synthetic training completed.", metric)))
+    )

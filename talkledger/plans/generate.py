@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import snippets
+from ..sources.readers import exists
 
 #: Takes (system instruction, prompt, hint, round) and returns an answer's text.
 Client = Callable[[str, str, str, int], str]
@@ -37,10 +38,7 @@ def generate(prompts: DataFrame, client: Client, output: str, least_kept: int =
     schema = "rule_id string, scenario string, prompt_index int, label string, text string, round int"
     hints = prompts.withColumn("hint", F.lit(""))
     for number in range(rounds):
-        try:
-            done = spark.read.schema(schema).parquet(output)
-        except Exception:  # noqa: BLE001  nothing was written yet
-            done = spark.createDataFrame([], schema)
+        done = spark.read.schema(schema).parquet(output) if exists(spark, output) else spark.createDataFrame([], schema)
         open_ = snippets.remaining(hints, done)
         if open_.isEmpty():
             break

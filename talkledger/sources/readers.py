@@ -12,9 +12,10 @@ from ..functions.text import pass_labels, strip
 from ..operators import segment
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, wherever Spark reads from; other errors are raised."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -24,7 +25,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 def read_text_folder(spark: SparkSession, folder: str) -> DataFrame:
     """transcript_id, transcript of each *.txt: the id is the file's name; empty ones are left out."""
-    if not _exists(spark, folder):
+    if not exists(spark, folder):
         raise FileNotFoundError(folder)
     raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt")
     raw = raw.select(F.regexp_replace("_metadata.file_name", r"\.txt$", "").alias("transcript_id"), F.col("value").alias("transcript"))
@@ -33,7 +34,7 @@ def read_text_folder(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_structured_folder(spark: SparkSession, folder: str) -> DataFrame:
     """transcript_id, sca, client of each *.txt with diarised headers."""
-    if not _exists(spark, folder):
+    if not exists(spark, folder):
         raise FileNotFoundError(folder)
     raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.txt")
     return segment.structured_sides(raw.select(F.regexp_replace("_metadata.file_name", r"\.txt$", "").alias("transcript_id"), F.col("value").alias("transcript")))
@@ -58,7 +59,7 @@ def read_json_transcripts(spark: SparkSession, path: str, role: str = "incoming"
 
 def read_incoming(spark: SparkSession, path: str) -> DataFrame:
     """A folder of texts, a .json, or one .txt."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     if path.endswith(".json"):
         return read_json_transcripts(spark, path)
@@ -93,7 +94,7 @@ def expected_rows(holdout: DataFrame) -> DataFrame:
 
 def read_json_or(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON array of objects; empty if the file is missing or broken."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     raw = spark.read.text(path, wholetext=True).select(F.explode(F.coalesce(F.from_json("value", "array<string>"), F.array().cast("array<string>"))).alias("one"))
     return raw.select(F.from_json("one", schema).alias("f")).filter("f is not null").select("f.*")
