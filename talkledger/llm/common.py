@@ -3,6 +3,7 @@ and ranks that never gather one key in one task."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -12,22 +13,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+_OWN: set[tuple[str, str]] = set()  # application, folder
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else (local runs) our own."""
+    """The folder that all executors share: spark.checkpoint.dir, else (local runs only) our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/talkledger/{tag}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, within one of this application that goes when Python ends.
+
+    Results are lazy and read from these tables, so they can't go earlier; `drop_tables` is for callers that are done."""
+    own = f"{shared_dir(spark)}/talkledger/{spark.sparkContext.applicationId}"
+    if (spark.sparkContext.applicationId, own) not in _OWN:
+        _OWN.add((spark.sparkContext.applicationId, own))
+        atexit.register(drop_tables, spark)
+    return f"{own}/{tag}-{uuid.uuid4().hex}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables that this application's operators wrote on the way, once their results were read."""
+    if spark.sparkContext._jsc is None:  # the session has ended, and nobody can delete any more
+        return
+    for own in [o for o in _OWN if o[0] == spark.sparkContext.applicationId]:
+        drop_folder(spark, own[1])
+        _OWN.discard(own)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

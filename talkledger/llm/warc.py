@@ -72,7 +72,11 @@ class _Out:
 
     def close(self) -> None:
         self.stream.close()
-        self.fs.move(self.temp, self.path)
+        try:
+            self.fs.move(self.temp, self.path)
+        except OSError:  # some file systems don't replace what a lost task left; a repeated task writes the same
+            self.fs.delete_file(self.path)
+            self.fs.move(self.temp, self.path)
 
 
 def _manifest(rows: list[tuple[str, int]]) -> pa.RecordBatch:
