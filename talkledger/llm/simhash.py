@@ -22,7 +22,7 @@ through by `keep_one`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -321,7 +321,17 @@ def prefix_links(texts: DataFrame, least: float, most: int = 32) -> DataFrame:
     return star.unionByName(near.filter("x.fp <> y.fp").select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, errors: int = 7, batch: int = 256, batch_bytes: int = 32 << 20) -> DataFrame:
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def _distinguished(rows: DataFrame, by: DataFrame) -> DataFrame:
+    """rows (tkey, other, ...) with another tkey for texts that share theirs with a different text."""
+    own = F.when(F.col("clash"), F.xxhash64("tkey", "other")).otherwise(F.col("tkey"))
+    return rows.join(by, "tkey", "left").withColumn("tkey", own).drop("clash")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, errors: int = 7, batch: int = 256, batch_bytes: int = 32 << 20, key: Callable[[Column], Column] = text_hash) -> DataFrame:
     """docs with one row of each group of near copies.
 
     Candidates are components of two kinds of links: word-set fingerprints that differ in at most
@@ -334,11 +344,19 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, errors: int
     so on. The `batch` most central texts (`batch_bytes` at most) are settled in one task, then the
     rest of the component is held against what they keep, in parts of as many, round by round until
     all are settled. Equal texts are one from the start, under their smallest doc_id. Rows of equal
-    doc_id and text are one, too."""
+    doc_id and text are one, too.
+
+    Texts are told apart by `key`, 64 bits, and where two share it by 64 more of another seed: of 10^10
+    texts a few pairs do, which are found by comparing the other hash within each key."""
     spark = docs.sparkSession
     bound_batches(spark)
-    did, tkey = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.xxhash64(F.coalesce("text", F.lit("")))
-    raw = docs.select(did.alias("did"), tkey.alias("tkey"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    did, said = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.coalesce(F.col("text"), F.lit(""))
+    other = F.xxhash64(F.lit("talkledger"), said)
+    clashes = docs.select(key(said).alias("tkey"), other.alias("other")).groupBy("tkey").agg((F.min("other") != F.max("other")).alias("clash")).filter("clash")
+    clashes = materialize(clashes, "dedup-clashes")
+    alike = not clashes.isEmpty()
+    raw = docs.select(did.alias("did"), key(said).alias("tkey"), other.alias("other"), said.cast("binary").alias("text"))
+    raw = (_distinguished(raw, clashes) if alike else raw).select("did", "tkey", "text")
 
     common = _common(raw, shingle)
     by_hash = np.argsort(common)
@@ -400,6 +418,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, errors: int
     if copies is not None:
         kept = kept.join(copies, "tkey", "left_anti")
     kept = materialize(kept.select(F.col("did").alias("k_did"), F.col("tkey").alias("k_tkey")), "dedup-kept")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), did.alias("did"), tkey.alias("tkey"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), did.alias("did"), key(said).alias("tkey"), other.alias("other"))
+    packed = _distinguished(packed, clashes) if alike else packed
     out = packed.join(kept, (F.col("did") == F.col("k_did")) & (F.col("tkey") == F.col("k_tkey"))).dropDuplicates(["did", "tkey"])
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -278,6 +278,10 @@ def test_keep_one(spark):
     # Small batches: the rest of a component is held against what each keeps.
     assert sorted(r["doc_id"] for r in simhash.keep_one(df, batch=1).collect()) == [0, 3, 4, 5, 7]
     assert simhash.keep_one(df.limit(0)).count() == 0
+    # Different texts under one key are told apart by the other hash.
+    assert sorted(r["doc_id"] for r in simhash.keep_one(df, key=lambda t: F.length(t) % 3).collect()) == [0, 3, 4, 5, 7]
+    ids = spark.createDataFrame([(None, "same text here"), (None, "same text here"), (4, "same text here"), (None, "other")], "doc_id long, text string")
+    assert sorted(map(str, simhash.keep_one(ids).collect())) == ["Row(doc_id=4, text='same text here')", "Row(doc_id=None, text='other')"]
 
 
 def test_keep_one_finds_every_near_copy(spark):
