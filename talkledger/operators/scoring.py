@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import sigmoid, words
 
-#: Claims are configuration; beyond this size they are joined, not broadcast.
+#: Claims, rules and queries are stated sets, sent to the tasks in blocks of at most so many rows.
 BROADCAST_CLAIMS = 100_000
 
 
@@ -46,12 +47,23 @@ def lexical_verifier(claim: Column, chunk: Column) -> Column:
     return F.round(sigmoid(8 * share - 4), 6)
 
 
+def against(rows: DataFrame, stated: DataFrame, size: int | None = None, most: int = BROADCAST_CLAIMS) -> DataFrame:
+    """Every row beside every row of a stated set, which is counted and sent to the tasks, in blocks if it is large."""
+    size = stated.count() if size is None else size
+    blocks = max(1, -(-size // most))
+    if blocks == 1:
+        return rows.crossJoin(F.broadcast(stated))
+    of = F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in stated.columns]), F.lit(2 * blocks))  # twice as many, so that none is too large by chance
+    parts = [rows.crossJoin(F.broadcast(stated.filter(of == n))) for n in range(2 * blocks)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, size: int) -> DataFrame:
     """query_id, vec_id, score, rank of each query's most similar candidates. size: how many queries there are, checked by the caller.
 
-    Queries are a small set, sent to all tasks if so; the window's limit is applied before its shuffle as well."""
+    The window's limit is applied before its shuffle as well."""
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = candidates.crossJoin(F.broadcast(q) if size <= BROADCAST_CLAIMS else q).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    pairs = against(candidates, q, size).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -62,8 +74,7 @@ def hits(chunks: DataFrame, claims: DataFrame, s: Settings = Settings(), retriev
     Retriever and verifier see the different words of either side. Only what the retriever keeps meets the verifier."""
     c = claims.select("claim_id", F.array_distinct(words(F.lower("anchor"))).alias("claim_words"))
     w = chunks.withColumn("chunk_words", F.array_distinct(words(F.lower("chunk"))))
-    # Claims of a few rules against the chunks of a transcript: claims are sent to the tasks.
-    pairs = w.crossJoin(F.broadcast(c)).withColumn("retr", retrieve(F.col("claim_words"), F.col("chunk_words")))
+    pairs = against(w, c).withColumn("retr", retrieve(F.col("claim_words"), F.col("chunk_words")))
     rank = F.row_number().over(Window.partitionBy("transcript_id", "claim_id").orderBy(F.desc("retr"), "chunk_id"))
     best = pairs.withColumn("rank", rank).filter(F.col("rank") <= s.top_k)
     return best.select("transcript_id", "claim_id", "chunk_id", "chunk", "retr", "rank", verify(F.col("claim_words"), F.col("chunk_words")).alias("ver"))
@@ -75,7 +86,7 @@ def claim_results(transcripts: DataFrame, claims: DataFrame, hits: DataFrame, s:
     best = F.max_by(F.struct("ver", "retr", "chunk"), F.struct("ver", -F.col("rank")))
     review = F.transform(F.array_sort(F.collect_list(F.when(in_band, F.struct("rank", "chunk", "retr", "ver")))), lambda x: F.struct(x["chunk"].alias("text"), x["retr"].alias("retr"), x["ver"].alias("ver")))
     found = hits.groupBy("transcript_id", "claim_id").agg(best.alias("best"), review.alias("for_review"))
-    every = transcripts.select("transcript_id").crossJoin(F.broadcast(claims))
+    every = against(transcripts.select("transcript_id"), claims)
     out = every.join(found, ["transcript_id", "claim_id"], "left")
     ver = F.coalesce("best.ver", F.lit(0.0))
     return out.select(
@@ -104,7 +115,7 @@ def rule_results(transcripts: DataFrame, rules: DataFrame, claim_rows: DataFrame
         flat(one).alias("r_one"), flat(mand).alias("r_m"), flat(std).alias("r_s"),
     )
     kind = F.when(F.col("single").isNotNull(), "single").when((F.col("n_m") > 0) & (F.col("n_s") > 0), "mixed").when(F.col("n_m") > 0, "mandatory").when(F.col("n_s") > 0, "standard").otherwise("empty")
-    every = transcripts.select("transcript_id").crossJoin(F.broadcast(rules.select("rule_id", "rule_pos")))
+    every = against(transcripts.select("transcript_id"), rules.select("rule_id", "rule_pos"))
     out = every.join(a, ["transcript_id", "rule_id"], "left").withColumn("kind", kind)
     k = F.col("kind")
     passed = F.when(k == "single", F.col("single.passed")).when(k == "mandatory", F.col("m_pass")).when(k == "standard", F.col("s_pass")).when(k == "mixed", F.col("m_pass") & F.col("s_pass")).otherwise(F.lit(False))

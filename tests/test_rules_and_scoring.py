@@ -77,3 +77,10 @@ def test_band_edges(spark):
 
     df = spark.createDataFrame([(x,) for x in (0.2999, 0.30, 0.4999, 0.6999, 0.70)], "v double")
     assert [r[0] for r in df.select(in_band(F.col("v"))).collect()] == [False, True, True, True, False]
+
+
+def test_stated_sets_in_blocks(spark):
+    rows, stated = spark.range(7).toDF("a"), spark.createDataFrame([(n, f"t{n}") for n in range(10)], "b int, c string")
+    whole = sorted(map(tuple, scoring.against(rows, stated).collect()))
+    assert len(whole) == 70 and sorted(map(tuple, scoring.against(rows, stated, most=3).collect())) == whole
+    assert scoring.against(rows, stated.limit(0), most=3).count() == 0
