@@ -261,7 +261,9 @@ def _join_short(model: Model, index: Index, starts: np.ndarray, sizes: np.ndarra
         moved = np.cumsum(keep) - 1
         at, length, part, pair = at[keep], length[keep], part[keep], pair[keep]
         hit = moved[hit]
-        redo = np.unique(np.concatenate([hit, hit[hit > 0] - 1]))
+        beside = np.zeros(len(at), bool)
+        beside[hit] = beside[hit[hit > 0] - 1] = True
+        redo = np.flatnonzero(beside)
         pair[redo] = -np.inf
         redo = redo[redo < len(at) - 1]
         redo = redo[part[redo] == part[redo + 1]]
@@ -376,7 +378,7 @@ def encode_parts(model: Model, parts: list[str]) -> list[np.ndarray]:
                 ids = [x for p, s, n in zip(piece[a:b], at[a:b], length[a:b]) for x in ([p] if p >= 0 else _spell(model, index.text[s : s + n]))]  # noqa: B905
                 found[i] = np.array(ids, np.int32)
             else:
-                found[i] = narrow[a:b].copy()
+                found[i] = narrow[a:b]
     for i, p in enumerate(parts):
         if found[i] is None:
             found[i] = np.array(_join_long(model, p), np.int32)
