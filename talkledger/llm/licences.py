@@ -208,3 +208,13 @@ def report(docs: DataFrame) -> DataFrame:
 
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     return raw.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+
+
+def base_sql() -> str:
+    """The words and base places of documents, in DuckDB's SQL."""
+    at = [f"list_transform(list_filter(range(0, greatest(len(w) - {len(p.split()) - 1}, 0)), lambda i: w[i + 1 : i + {len(p.split())}] = {p.split()!r}), lambda i: {{'at': i, 'label': '{label}'}})" for p, label in PHRASES.items()]
+    return rf"""
+    with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+    b as (select doc_id, len(w) as n_words, list_concat(list_concat({at[0]}, {at[1]}), list_concat({at[2]}, {at[3]})) as found from d)
+    select doc_id, cast(n_words as bigint) as n_words, cast(len(found) as bigint) as n_base, cast(list_min(list_transform(found, lambda x: x.at)) as bigint) as first_word,
+      cast(list_max(list_transform(found, lambda x: x.at)) as bigint) as last_word, array_to_string(list_sort(list_distinct(list_transform(found, lambda x: x.label))), ',') as base_labels from b"""

@@ -231,3 +231,18 @@ def sanitise(docs: DataFrame, **limits) -> DataFrame:
     tail = F.substring(F.col("text"), F.get("merged", F.size("merged") - 1)["end"] + 1, F.length("text"))
     clean = F.when(F.col("cuts").isNotNull(), F.concat(F.array_join(parts, ""), tail)).otherwise(F.col("text"))
     return out.withColumn("clean", clean).select(*[(F.col("clean") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def base_sql() -> str:
+    """How many base spans of each kind documents have, in DuckDB's SQL."""
+    digits = "list_transform(range(1, length(g) + 1), lambda i: cast(substr(g, length(g) - i + 1, 1) as integer) * (case when i % 2 = 0 then 2 else 1 end))"
+    return rf"""
+    with t as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+    ips as (select r, unnest(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)')) as m from t),
+    ip as (select r, count(*) as n from ips where len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 or cast(concat('0', right(p, 3)) as integer) > 255)) = 0 group by r),
+    cards as (select r, regexp_replace(unnest(regexp_extract_all(t, '[0-9]([ -]?[0-9])+')), '[ -]', '', 'g') as g from t),
+    card as (select r, count(*) as n from cards where length(g) between 14 and 19 and list_sum(list_transform({digits}, lambda d: case when d > 9 then d - 9 else d end)) % 10 = 0 group by r),
+    phones as (select r, regexp_replace(unnest(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]')), '[^0-9]', '', 'g') as g from t),
+    phone as (select r, count(*) as n from phones where length(g) between 10 and 15 group by r)
+    select doc_id, cast(len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) as bigint) as n_email, cast(coalesce(ip.n, 0) as bigint) as n_ip, cast(coalesce(card.n, 0) as bigint) as n_card, cast(coalesce(phone.n, 0) as bigint) as n_phone
+    from t left join ip using (r) left join card using (r) left join phone using (r)"""

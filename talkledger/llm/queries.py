@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, licences, mips, pii, quality, sentencepieces, sharding, simhash, sitetree, warc
 from .common import table
@@ -50,6 +51,24 @@ def op10_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def licence_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of operator 8: words, base places and their labels."""
+    return op8_licence_scan(spark, sf_dir).drop("labels", "score")
+
+
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of operator 3: how many base spans of each kind a text has."""
+    return op3_pii_sanitisation(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def sharding_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of operator 10: sizes, how far counts are apart, and that slots have no gaps."""
+    s = op10_balanced_sharding(spark, sf_dir)
+    per = s.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots"))
+    whole = (F.max("n") - F.min("n") <= 1) & (F.min("shard") >= 0) & (F.max("shard") < 24)
+    return per.agg(F.sum("n").alias("n"), F.sum("size").alias("size"), whole.alias("even"), F.bool_and((F.col("last") == F.col("n") - 1) & (F.col("slots") == F.col("n"))).alias("gapless"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_from_arc": op1_warc_from_arc,
     "op2_norm_bucketed_search": op2_norm_bucketed_search,
@@ -61,10 +80,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licence_scan": op8_licence_scan,
     "op9_decontamination": op9_decontamination,
     "op10_balanced_sharding": op10_balanced_sharding,
+    "licence_base_places": licence_base_places,
+    "pii_base_counts": pii_base_counts,
+    "sharding_laws": sharding_laws,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc_from_arc": warc.oracle_sql(),
     "op2_norm_bucketed_search": mips.oracle_sql(),
     "op9_decontamination": decontaminate.oracle_sql(),
+    "licence_base_places": licences.base_sql(),
+    "pii_base_counts": pii.base_sql(),
+    "sharding_laws": """
+        select count(*) as n, cast(sum(octet_length(encode(coalesce(text, ''))) + 8) as bigint) as size, true as even, true as gapless from documents""",
 }
