@@ -145,14 +145,22 @@ def _meet(queries: pa.Table, candidates: pa.Table, k: int, bucket: int) -> pa.Ta
     return pa.table([pa.array([x for f in found for x in f[n]], pa.int64()) for n in range(3)], names=["query_id", "vec_id", "score"])
 
 
+def _ranges(df: DataFrame, parts: int, order: list[Column | str], name: str) -> DataFrame:
+    """df, written, with a column `name`: in which of `parts` ranges of the order a row is.
+
+    A cluster may split into more partitions than asked for; neighbours then share a range."""
+    df = materialize(df.repartitionByRange(parts, *order).withColumn("pid", F.spark_partition_id()), f"mips-{name}")
+    top = df.agg(F.max("pid")).first()[0]
+    return df.withColumn(name, F.floor(F.col("pid") * F.lit(parts) / F.lit(max(parts, (top or 0) + 1))).cast("int")).drop("pid")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, bucket: int = BUCKET, block: int = BLOCK, run: int = RUN) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best among all other vectors (vec_id, v, norm)."""
     vectors = materialize(vectors, "mips-vectors")
     n, wide = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     fit = max(1, UNIT_BYTES // (8 * max(1, wide)))
     parts = max(1, -(-n // min(run, fit)))
-    ordered = vectors.repartitionByRange(parts, F.desc("norm"), F.asc("vec_id"))
-    ordered = materialize(ordered.withColumn("run", F.spark_partition_id()), "mips-runs")
+    ordered = _ranges(vectors, parts, [F.desc("norm"), F.asc("vec_id")], "run")
     queries = vectors.filter(is_query)
     blocks = max(1, -(-queries.count() // min(block, fit)))
     bounds = materialize(ordered.groupBy("run").agg(F.max("norm").alias("longest")), "mips-bounds")
@@ -174,7 +182,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, bucket: int = BUCKET
     queries = queries.join(kth, "vec_id", "left").withColumn("theta", F.coalesce("theta", F.lit(float("-inf"))))
     # The least length that a query can use; blocks are ranges of it.
     queries = queries.withColumn("need", F.when(F.col("norm") > 0, F.col("theta") / F.col("norm")).when(F.col("theta") > 0, F.lit(float("inf"))).otherwise(F.lit(float("-inf"))))
-    queries = materialize(queries.repartitionByRange(blocks, "need", "vec_id").withColumn("block", F.spark_partition_id()), "mips-queries")
+    queries = _ranges(queries, blocks, ["need", "vec_id"], "block")
     need = queries.groupBy("block").agg(F.min("need").alias("need"))
     others = bounds.join(first, "run", "left_anti")
     runs = F.broadcast(others) if parts <= 100_000 else others  # two numbers for each run
