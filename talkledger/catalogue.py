@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import json
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import config
 from .functions import labels as L
 from .functions import text as T
 from .functions.jsonx import first_array_udf, judge_object_udf, llm_object_udf, similarity_udf
 from .operators import coverage, metrics, present, review, rules, samples, scoring, segment, snippets, training
 from .plans import loop
 from .session import table
+from .sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1048,3 +1055,111 @@ def compared_items(spark: SparkSession, sf: str) -> DataFrame:
     items = items.withColumn("final_label", final)
     kept = items.filter(review.to_compare(F.col("review_type"), F.col("final_label"), F.lit(""), F.col("model_label"), F.col("ver")))
     return kept.select("transcript_id", "rule_id", "claim_order", "review_type", "final_label", "model_label")
+
+
+# --- readers and writers -------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, tag: str) -> str:
+    """A fresh folder that all executors see: in spark.checkpoint.dir, else (local runs only) in a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="talkledger-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    return f"{shared.rstrip('/')}/talkledger-files/{tag}-{uuid.uuid4().hex}"
+
+
+def _put(spark: SparkSession, path: str, text: str) -> str:
+    """Write a small file wherever Spark reads from."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    return path
+
+
+@query("select * from (values ('one', 'hello there' || chr(10) || 'and on'), ('two', 'Agent: plain')) t(transcript_id, transcript)")
+def source_text_folder(spark: SparkSession, sf: str) -> DataFrame:
+    f = _folder(spark, "texts")
+    for name, text in (("one.txt", "SPEAKER_00 [0.0s - 1.0s]: hello there\n\n and on \n"), ("two.txt", "Agent: plain"), ("three.txt", " \n"), ("four.md", "no")):
+        _put(spark, f"{f}/{name}", text)
+    return readers.read_text_folder(spark, f)
+
+
+@query("select * from (values ('call', 'hello | bye', 'yes and more')) t(transcript_id, sca, client)")
+def source_structured_folder(spark: SparkSession, sf: str) -> DataFrame:
+    f = _folder(spark, "calls")
+    _put(spark, f"{f}/call.txt", "before\nSPEAKER_00 [0.0s - 1.0s]: hello\nSPEAKER_01 [1.0s - 2.0s]: yes\nand more\nSPEAKER_02 [2.0s - 3.0s]: bye")
+    return readers.read_structured_folder(spark, f).select("transcript_id", F.array_join("sca", " | ").alias("sca"), F.array_join("client", " | ").alias("client"))
+
+
+_JSON_ROWS = '[{"transcript_id": "a", "title": "First", "transcript": "Agent: x"}, 7, {"transcript": "no id"}, {"transcript_id": "b", "transcript": " "}, {"transcript_id": " ", "title": "T", "transcript": "y"}]'
+
+
+@query("select * from (values ('a', 'First', 'Agent: x', 'incoming'), ('transcript_3', '', 'no id', 'incoming'), ('transcript_5', 'T', 'y', 'incoming')) t(transcript_id, title, transcript, dataset_role)")
+def source_json_transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.read_incoming(spark, _put(spark, f"{_folder(spark, 'json')}/in.json", _JSON_ROWS))
+
+
+@query("select * from (values ('one', 'one', 'hello', 'incoming')) t(transcript_id, title, transcript, dataset_role)")
+def source_incoming_text(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.read_incoming(spark, _put(spark, f"{_folder(spark, 'text')}/one.txt", "SPEAKER_01 [0.0s - 1.0s]: hello"))
+
+
+@query("select * from (values ('h', '101', '', 'anchor', 'Compliant', 0), ('h', '102', 'mandatory', 'other', 'Non-Compliant', 1)) t(transcript_id, rule_id, claim_type, anchor, label, pos)")
+def source_holdout(spark: SparkSession, sf: str) -> DataFrame:
+    labels = '[{"disclaimer_id": "101", "anchor": "anchor", "label": "Compliant"}, {"disclaimer_id": "102", "claim_type": "mandatory", "anchor": "other", "label": "Non-Compliant"}, {"disclaimer_id": "1", "anchor": "x", "label": "odd"}, {"disclaimer_id": " ", "anchor": "x", "label": "Compliant"}]'
+    path = _put(spark, f"{_folder(spark, 'holdout')}/h.json", f'[{{"transcript_id": "h", "title": "H", "transcript": "Agent: x", "expected_labels": {labels}}}]')
+    return readers.expected_rows(readers.read_holdout(spark, path))
+
+
+@query("select * from (values ('a', '101, 102'), ('b', ''), ('c', '7')) t(transcript_id, passed)")
+def source_report_csv(spark: SparkSession, sf: str) -> DataFrame:
+    path = _put(spark, f"{_folder(spark, 'csv')}/report.csv", '﻿transcript_id,rule_101,COMPLIANT\na,0.5,"101, 102, 101"\n b ,0.1,NONE\na,0.9,7\nc,1.0,7\n,1.0,8\n')
+    return readers.read_report(spark, path).select("transcript_id", F.array_join("labels", ", ").alias("passed"))
+
+
+@query("select * from (values ('rows', 1, 'x'), ('rows', 2, null)) t(source, a, b)")
+def source_json_or_default(spark: SparkSession, sf: str) -> DataFrame:
+    f = _folder(spark, "default")
+    paths = {"rows": _put(spark, f"{f}/rows.json", '[{"a": 1, "b": "x"}, {"a": 2}]'), "broken": _put(spark, f"{f}/broken.json", "[{"), "missing": f"{f}/missing.json"}
+    every = [readers.read_json_or(spark, p, "a int, b string").select(F.lit(k).alias("source"), "a", "b") for k, p in paths.items()]
+    return every[0].unionByName(every[1]).unionByName(every[2])
+
+
+@query("select * from (values ('a.txt', 1, 'a.txt'), ('a.txt', 2, 'a_2.txt'), ('b', 3, 'b'), ('a.txt', 4, 'a_3.txt'), ('b', 5, 'b_2')) t(name, pos, \"unique\")")
+def source_upload_names(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.distinct_names(spark.createDataFrame([("a.txt", 1), ("a.txt", 2), ("b", 3), ("a.txt", 4), ("b", 5)], "name string, pos int"))
+
+
+@query(f"{RULE_ROWS} select transcript_id, rule_id, passed, round(score, 6) as score, case when passed then 'passed' when n_rev > 0 then 'borderline' else 'report' end as part from rr")
+def sink_run(spark: SparkSession, sf: str) -> DataFrame:
+    f = _folder(spark, "run")
+    sinks.write_run(rule_rows(spark, sf), f)
+    of = lambda part: spark.read.parquet(f"{f}/{part}").select("transcript_id", "rule_id", "passed", F.round("score", 6).alias("score"))
+    passed, borderline = of("passed"), of("borderline")
+    rest = of("report").join(passed.unionByName(borderline), ["transcript_id", "rule_id"], "left_anti")
+    return passed.withColumn("part", F.lit("passed")).unionByName(borderline.withColumn("part", F.lit("borderline"))).unionByName(rest.withColumn("part", F.lit("report")))
+
+
+@query(f"{RULE_ROWS} select transcript_id, coalesce(string_agg(rule_id, ', ' order by rule_pos) filter (where passed), '') as passed from rr group by transcript_id")
+def sink_report_csv(spark: SparkSession, sf: str) -> DataFrame:
+    f = _folder(spark, "report")
+    sinks.write_report(report_pivot(spark, sf), f)
+    return readers.read_report(spark, f).select("transcript_id", F.array_join("labels", ", ").alias("passed"))
+
+
+@query(f"{RULE_ROWS} select transcript_id, rule_id, passed from rr")
+def sink_json(spark: SparkSession, sf: str) -> DataFrame:
+    f = _folder(spark, "json")
+    sinks.write_json(rule_rows(spark, sf).select("transcript_id", "rule_id", "passed"), f)
+    return spark.read.schema("transcript_id string, rule_id string, passed boolean").json(f)
+
+
+@query("select * from (values ('low', '0.3'), ('top_k', '9'), ('speakers', '[\"Agent\"]'), ('other', 'null'), ('added', '1')) t(key, value)")
+def merged_config(spark: SparkSession, sf: str) -> DataFrame:
+    c = config.deep_merge(config.DEFAULTS, {"inference": {"top_k": 9, "added": 1}})
+    found = {k: config.dotted(c, f"inference.{k}") for k in ("low", "top_k", "speakers", "other", "added")}
+    return spark.createDataFrame([(k, json.dumps(v)) for k, v in found.items()], "key string, value string")
