@@ -372,3 +372,23 @@ def test_shards(spark):
     assert {r["law"] for r in rows} == {"rows"} and sharding.assign_shards(df.limit(0)).count() == 0
     few = sharding.assign_shards(df.limit(3)).collect()
     assert len({r["shard"] for r in few}) == 3
+
+
+def test_shards_cut_few_links(spark):
+    """Against dealing documents by a hash of their ids: far fewer members of a group stand away from its largest part."""
+    rng = random.Random(9)
+    texts = [f"group {g}" for g in range(150) for _ in range(rng.randint(2, 12))] + [f"single {n}" for n in range(900)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sharding.assign_shards(df).collect()
+
+    def away(shard):
+        parts = {}
+        for n, t in enumerate(texts):
+            parts.setdefault(t, Counter())[shard[n]] += 1
+        return sum(sum(c.values()) - max(c.values()) for c in parts.values())
+
+    simple = away({n: zlib.crc32(str(n).encode()) % 24 for n in range(len(texts))})
+    assert away({r["doc_id"]: r["shard"] for r in rows}) < 0.1 * simple
+    sizes = Counter(r["shard"] for r in rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
