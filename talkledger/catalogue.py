@@ -183,7 +183,14 @@ def report_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.report_pivot(rule_rows(spark, sf), ids)
 
 
-@query()
+_ABOUT = "description := description, purpose_of_control := purpose, criteria := criteria"
+
+
+@query(
+    f"""{RULE_ROWS}, cl as (select transcript_id, rule_id, list(struct_pack(claim_type := claim_type, anchor := anchor, best_text := text, verification_score := ver) order by claim_id) as claims from cr group by all)
+    select rr.transcript_id, rr.rule_id, rr.kind, cast(case rr.kind when 'single' then to_json(struct_pack({_ABOUT}, claims := claims[1])) when 'empty' then to_json(struct_pack({_ABOUT}, verification_score := score)) else to_json(struct_pack({_ABOUT}, claims := claims)) end as varchar) as payload
+    from rr join (select rule_id, description, purpose, criteria from rules) using (rule_id) left join cl on cl.transcript_id = rr.transcript_id and cl.rule_id = rr.rule_id"""
+)
 def annotation_payload(spark: SparkSession, sf: str) -> DataFrame:
     said, r, c = scored(spark, sf)
     return scoring.annotation_payload(scoring.rule_results(said, r, c), r, c)
@@ -757,7 +764,11 @@ def resume_prompts(spark: SparkSession, sf: str) -> DataFrame:
     return snippets.remaining(p, spark.createDataFrame([("101", "Busy", 0)], "rule_id string, scenario string, prompt_index int")).select("rule_id", "scenario", "system_instruction", "prompt_index", "user_prompt")
 
 
-@query()
+@query(
+    """select * from (values ('x [1, [2, "]"]] y [3]', '[1, [2, "]"]]', null, '{}'), ('```json' || chr(10) || '[{"a": 1}]' || chr(10) || '```', '[{"a": 1}]', '{"a": 1}', '{"a": 1}'),
+    ('<think>[0]</think> {"a": {"b": "}"}} tail', null, '{"a": {"b": "}"}}', '{"a": {"b": "}"}}'), ('[1, 2', null, null, '{}'), ('{"a": 1', null, null, '{}'), ('none', null, null, '{}'), ('', null, null, '{}'),
+    ('<think>x</think>{"label": "Compliant"} and more', null, '{"label": "Compliant"}', '{"label": "Compliant"}')) t(x, as_array, as_object, as_answer)"""
+)
 def json_extract_balanced(spark: SparkSession, sf: str) -> DataFrame:
     texts = ['x [1, [2, "]"]] y [3]', "```json\n[{\"a\": 1}]\n```", "<think>[0]</think> {\"a\": {\"b\": \"}\"}} tail", "[1, 2", '{"a": 1', "none", "", "<think>x</think>{\"label\": \"Compliant\"} and more"]
     s = spark.createDataFrame([(x,) for x in texts], "x string")
