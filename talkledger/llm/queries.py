@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licences, mips, pii, quality, sentencepieces, sharding, simhash, sitetree, warc
+from . import decontaminate, langid, licences, maxscore, mips, pii, quality, repair, sentencepieces, sharding, simhash, sitetree, warc
 from .common import table
 
 
@@ -51,6 +51,18 @@ def op10_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
 def licence_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of operator 8: words, base places and their labels."""
     return op8_licence_scan(spark, sf_dir).drop("labels", "score")
@@ -80,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licence_scan": op8_licence_scan,
     "op9_decontamination": op9_decontamination,
     "op10_balanced_sharding": op10_balanced_sharding,
+    "op11_maxscore_search": op11_maxscore_search,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_language_id": op13_language_id,
     "licence_base_places": licence_base_places,
     "pii_base_counts": pii_base_counts,
     "sharding_laws": sharding_laws,
@@ -89,6 +104,7 @@ ORACLES: dict[str, str] = {
     "op1_warc_from_arc": warc.oracle_sql(),
     "op2_norm_bucketed_search": mips.oracle_sql(),
     "op9_decontamination": decontaminate.oracle_sql(),
+    "op11_maxscore_search": maxscore.oracle_sql(),
     "licence_base_places": licences.base_sql(),
     "pii_base_counts": pii.base_sql(),
     "sharding_laws": """
