@@ -21,6 +21,6 @@ assert queries.QUERIES["op11_maxscore_search"](spark, "/root/testdata/sf0.001").
 
 
 def test_plain_session(tmp_path):
-    env = {k: v for k, v in os.environ.items() if not k.startswith("SPARK_")} | {"SPARK_CONF_DIR": str(tmp_path), "TMPDIR": str(tmp_path)}
+    env = {k: v for k, v in os.environ.items() if not k.startswith("SPARK_")} | {"SPARK_CONF_DIR": str(tmp_path), "TMPDIR": str(tmp_path), "PYTHONPATH": HERE}
     done = subprocess.run([sys.executable, "-c", SCRIPT, HERE], env=env, capture_output=True, text=True, timeout=300, cwd=tmp_path)
     assert done.returncode == 0, done.stderr[-3000:]
