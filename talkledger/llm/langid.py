@@ -237,8 +237,13 @@ def crops_of(docs: DataFrame, per_language: int = PER_LANGUAGE, crops: int = CRO
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
     named = docs.filter(~held_out() & F.col("lang").isNotNull() & _readable()).select("lang", "text")
     # Keys first: the texts of a language are ranked by hashes alone.
-    keys = named.select("lang", F.sha2(F.concat(F.lit(f"{seed}:"), "text").cast("binary"), 256).alias("key")).distinct()
-    best = keys.withColumn("rank", rank).filter(F.col("rank") <= per_language).drop("rank")  # a bounded sample
+    keys = named.select("lang", F.sha2(F.concat(F.lit(f"{seed}:"), "text").cast("binary"), 256).alias("key"))
+    # What is ranked is some six times the sample: keys are even, so the smallest lie below a share of them. There is
+    # a row for each language, of which the network has an output each.
+    seen = keys.groupBy("lang").agg(F.approx_count_distinct("key").alias("seen"))
+    low = F.conv(F.substring("key", 1, 12), 16, 10).cast("double") / 2.0**48 <= 6.0 * per_language / F.greatest(F.col("seen"), F.lit(1))
+    best = keys.join(F.broadcast(seen), "lang").filter(low).select("lang", "key").distinct()
+    best = best.withColumn("rank", rank).filter(F.col("rank") <= per_language).drop("rank")  # a bounded sample
     named = named.withColumn("key", F.sha2(F.concat(F.lit(f"{seed}:"), "text").cast("binary"), 256))
     chosen = named.join(F.broadcast(best), ["lang", "key"])
 
