@@ -18,7 +18,6 @@ from .functions import labels as L
 from .functions import text as T
 from .functions.jsonx import first_array_udf, judge_object_udf, llm_object_udf, similarity_udf
 from .operators import coverage, metrics, present, review, rules, samples, scoring, segment, snippets, training
-from .plans import loop
 from .session import table
 from .sources import readers, sinks
 
@@ -572,14 +571,6 @@ def union_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return review.first_of(both, [F.col("k")], [F.col("part"), F.col("doc_id")]).select("doc_id")
 
 
-@query(f"with k as (select doc_id % 2 as part, lower({collapse_sql('text')}) as k from documents), old as (select distinct k from k where part = 0), new as (select k from k where part = 1 and k not in (select k from old)) select (select count(*) from old) + (select count(distinct k) from new) as n_rows, (select count(*) from new) as added, (select count(distinct k) from new) as added_distinct")
-def merge_extensions(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select((F.col("doc_id") % 2).alias("part"), F.md5(T.collapse(F.col("text"), lower=True).cast("binary")).alias("k"))
-    by = d.groupBy("k").agg(F.count_if(F.col("part") == 0).alias("old"), F.count_if(F.col("part") == 1).alias("new"))
-    fresh = F.col("old") == 0
-    return by.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.when(fresh, F.col("new"))), F.lit(0)).alias("added"), F.count_if(fresh).alias("added_distinct"))
-
-
 ANCHOR_ROWS = [("1", None, None, "101"), ("2", " given ", "0", "102"), ("3", "", "0", "102"), ("4", None, "1", "102"), ("5", None, "2", "102"), ("6", None, "-1", "102"), ("7", None, None, "102"), ("8", None, "x", "103"), ("9", None, "1", "104"), ("10", None, "2", "104"), ("11", None, "0", "999"), ("12", None, "0", "105")]
 
 
@@ -775,11 +766,6 @@ def json_extract_balanced(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("x", first_array_udf("x").alias("as_array"), judge_object_udf("x").alias("as_object"), llm_object_udf("x").alias("as_answer"))
 
 
-@query()
-def closed_loop(spark: SparkSession, sf: str) -> DataFrame:
-    return loop.closed_loop(spark, spoken(spark, sf), demo_rules(spark))
-
-
 # --- what people read ----------------------------------------------------------------------
 
 

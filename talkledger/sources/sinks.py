@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: What a run of the loop leaves behind.
-ARTIFACTS = ("split", "gate", "before", "items", "reviewed", "coverage", "audit", "extensions", "approved", "training", "after", "compared", "diagnosis", "regressions", "promotion", "summary")
+ARTIFACTS = (
+    "gate_train_split", "gate_eval_split", "gate_model_dir", "gate_metrics", "synthetic_quality_report", "incoming_inference", "review_items", "coverage_analysis", "synthetic_extensions",
+    "holdout_inference_before", "holdout_predictions_before", "holdout_metrics_before", "holdout_inference_after", "holdout_predictions_after", "holdout_metrics_after", "summary",
+)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -37,45 +40,3 @@ def write_run(rule_rows: DataFrame, folder: str) -> None:
 
 def write_split(rows: DataFrame, folder: str) -> None:
     rows.write.mode("overwrite").partitionBy("split").parquet(folder)
-
-
-def artifact_paths(folder: str) -> dict[str, str]:
-    return {name: f"{folder}/{n:02d}-{name}" for n, name in enumerate(ARTIFACTS, 1)}
-
-
-class Versions:
-    """Versions of a model: folders that never change, and a pointer that is replaced in one step."""
-
-    def __init__(self, root: str) -> None:
-        self.root = Path(root)
-        self.root.mkdir(parents=True, exist_ok=True)
-
-    @property
-    def active(self) -> str | None:
-        p = self.root / "ACTIVE"
-        return p.read_text().strip() if p.exists() else None
-
-    def add(self, name: str, parameters: dict) -> None:
-        folder = self.root / name
-        folder.mkdir()
-        (folder / "parameters.json").write_text(json.dumps(parameters))
-
-    def load(self, name: str) -> dict:
-        return json.loads((self.root / name / "parameters.json").read_text())
-
-    def promote(self, name: str) -> None:
-        self.load(name)
-        temp = self.root / "ACTIVE.new"
-        temp.write_text(name)
-        temp.replace(self.root / "ACTIVE")
-
-    def freeze(self) -> None:
-        """Remember the active version as the baseline."""
-        if self.active:
-            (self.root / "BASELINE").write_text(self.active)
-
-    def reset(self) -> None:
-        """Back to the baseline."""
-        base = self.root / "BASELINE"
-        if base.exists():
-            self.promote(base.read_text().strip())

@@ -47,19 +47,11 @@ def test_orders_and_names(spark):
     assert sorted(r["unique"] for r in readers.distinct_names(files).collect()) == ["a.txt", "a_2.txt", "b"]
 
 
-def test_config_and_versions(tmp_path):
+def test_config(tmp_path):
     p = tmp_path / "c.json"
     p.write_text('{"inference": {"top_k": 9}}')
     assert config.settings(config.load(str(p))).top_k == 9
     assert config.dotted(config.DEFAULTS, "inference.low") == 0.3 and config.dotted({}, "a.b", 1) == 1
-    v = sinks.Versions(str(tmp_path / "m"))
-    v.add("one", {"offset": -4})
-    v.promote("one")
-    v.freeze()
-    v.add("two", {"offset": -3})
-    v.promote("two")
-    v.reset()
-    assert v.active == "one" and v.load(v.active) == {"offset": -4}
 
 
 def test_stream(spark, tmp_path):
