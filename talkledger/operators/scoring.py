@@ -129,11 +129,11 @@ def rule_results(transcripts: DataFrame, rules: DataFrame, claim_rows: DataFrame
 
 def report_pivot(rule_rows: DataFrame, rule_ids: list[str]) -> DataFrame:
     """transcript_id, a score for each rule, and the ids of passed rules or NONE. Missing rules score 0."""
-    scores = rule_rows.groupBy("transcript_id").pivot("rule_id", rule_ids).agg(F.first("score"))
-    scores = scores.select("transcript_id", *[F.round(F.coalesce(F.col(f"`{r}`"), F.lit(0.0)), 4).alias(f"rule_{r}") for r in rule_ids])
-    passed = rule_rows.groupBy("transcript_id").agg(F.array_sort(F.collect_list(F.when(F.col("passed"), F.struct("rule_pos", "rule_id")))).alias("p"))
+    of = lambda r: F.round(F.coalesce(F.first(F.when(F.col("rule_id") == r, F.col("score")), ignorenulls=True), F.lit(0.0)), 4).alias(f"rule_{r}")
+    passed = F.array_sort(F.collect_list(F.when(F.col("passed"), F.struct("rule_pos", "rule_id"))))
+    out = rule_rows.groupBy("transcript_id").agg(*[of(r) for r in rule_ids], passed.alias("p"))
     listed = F.array_join(F.transform("p", lambda x: x["rule_id"]), ", ")
-    return scores.join(passed, "transcript_id").withColumn("COMPLIANT", F.when(F.size("p") > 0, listed).otherwise(F.lit("NONE"))).drop("p")
+    return out.withColumn("COMPLIANT", F.when(F.size("p") > 0, listed).otherwise(F.lit("NONE"))).drop("p")
 
 
 def annotation_payload(rule_rows: DataFrame, rules: DataFrame, claim_rows: DataFrame) -> DataFrame:
