@@ -1,16 +1,19 @@
 """Information-theoretic sanitisation (operator 3): DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers, found by
-pattern. Each different value is a protected entity c. Terms (runs of three letters or
-more, outside e-mail addresses) of the texts that hold it are counted over the whole corpus,
+pattern. Protected entities are what recurs of their values: the value itself, the groups it belongs to (an
+address's domain and name, a network, an issuer, a dial code) and its kind. Terms (runs of three letters or
+more, outside e-mail addresses) of the texts that hold an entity are counted over the whole corpus,
 wherever they stand, and the pointwise mutual information of term and entity is held against the entity's information content:
 
-    disclosure(c, t) = PMI(c; t) / IC(c) = log2(N n(c,t) / (n(c) df(t))) / log2(N / n(c))
+    PMI(c; t) / IC(c) = log2(N n(c,t) / (n(c) df(t))) / log2(N / n(c))
 
 It is 1 if t occurs in texts with c only, 0 if they are independent. All four are counts of
-different texts, so copies of a text count once. A term that at least `support` texts share
-with an entity is generalised to its class (a name, an acronym, a word) from `generalise_at` on and removed from
-`remove_at` on, at every place in each text that holds the entity.
+different texts, so copies of a text count once. Few texts tell little: the ratio is smoothed by the factor
+n(c,t) / (n(c,t) + 1) * m / (m + 1), m the smaller of n(c) and df(t), which makes the disclosure. A term goes up a hierarchy as
+it discloses more, at every place in each text that holds the entity: from `generalise_at` on its class stands for it (a name, an acronym,
+a word), from `kind_at` on the kind of what it discloses, and from `remove_at` on nothing. How few texts can pass the
+first threshold follows from the factor.
 
 Matches are found by patterns that need no backtracking over groups, so very long runs
 neither recurse nor take quadratic time; they give the same matches as the plain ones.
@@ -21,6 +24,8 @@ the same doc_id and text get the same spans; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +46,7 @@ MUST_HAVE = {"email": "@", "ip": ".", "phone": "+"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IP_PARTS = rf"^(?:{_PART}\.){{3}}{_PART}$"
 TERM = r"\p{L}{3,}"
-SUPPORT, GENERALISE_AT, REMOVE_AT = 3, 0.9, 0.98
+GENERALISE_AT, KIND_AT, REMOVE_AT = 0.55, 0.7, 0.85
 #: Up to so many different terms are broadcast (some 40 bytes each).
 BROADCAST_TERMS = 500_000
 SPAN = "struct<start:int,ord:int,end:int,kind:string,value:string>"
@@ -117,16 +122,37 @@ def _entities(docs: DataFrame) -> DataFrame:
     return based.select("doc_id", F.xxhash64("text").alias("tkey"), "spans", terms.alias("terms"))
 
 
-def disclosures(docs: DataFrame, copies: DataFrame, held: DataFrame, terms: DataFrame, total: int, support: int, generalise_at: float, remove_at: float) -> DataFrame:
-    """kind, value, term, disclosure, action of the pairs beyond the threshold.
+def least_texts(threshold: float) -> int:
+    """The fewest texts with an entity and a term for which the smoothed ratio can reach the threshold: (n / (n + 1)) ** 2 is its most."""
+    root = min(threshold, 1.0) ** 0.5
+    return max(1, math.ceil(root / (1 - root) - 1e-9)) if root < 1 else 1 << 30
+
+
+def units(span: Column) -> Column:
+    """The entities of a value, as (kind, value) with kind:group for groups: what several values share recurs where values don't."""
+    v, kind = span["value"], span["kind"]
+    digits = F.regexp_replace(v, "[^0-9]", "")
+    of = lambda group, x: F.struct(F.concat(kind, F.lit(f":{group}")).alias("kind"), x.alias("value"))
+    groups = (
+        F.when(kind == "email", F.array(of("domain", F.lower(F.substring_index(v, "@", -1))), of("name", F.lower(F.regexp_extract(v, "^[A-Za-z]*", 0)))))
+        .when(kind == "ip", F.array(of("network", F.substring_index(v, ".", 2)), of("block", F.substring_index(v, ".", 1))))
+        .when(kind == "card", F.array(of("issuer", F.substring(digits, 1, 6))))
+        .otherwise(F.array(of("country", F.substring(digits, 1, 2)), of("area", F.substring(digits, 1, 5))))
+    )
+    own = F.array(F.struct(kind.alias("kind"), v.alias("value")), of("any", F.lit("")))
+    return F.filter(F.concat(own, groups), lambda u: (u["value"] != "") | F.endswith(u["kind"], F.lit(":any")))
+
+
+def disclosures(docs: DataFrame, copies: DataFrame, held: DataFrame, terms: DataFrame, total: int, generalise_at: float) -> DataFrame:
+    """kind, value, term, disclosure of the pairs beyond the threshold.
 
     copies: tkey, copies, of texts in several rows; held: kind, value, tkey, n_c; terms: tkey, term, beside (how many texts with any entity have it); total: the number of different texts."""
-    # The threshold bounds a term's frequency: df <= n_ct (N / n_c)^(1 - threshold). The texts with any
+    # The threshold bounds a term's frequency, smoothing aside: df <= n_ct (N / n_c)^(1 - threshold). The texts with any
     # entity are a lower bound of df, so pairs beyond that can't pass and needn't be counted.
     room = F.pow(F.lit(float(max(total, 1))) / F.col("n_c"), F.lit(1 - generalise_at)) * (1 + 1e-9)
     pairs = held.join(terms, "tkey").filter(F.col("beside") <= F.col("n_c") * room)
     pairs = pairs.groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.max("n_c").alias("n_c"), F.max("beside").alias("beside"))
-    pairs = pairs.filter((F.col("n_ct") >= support) & (F.col("beside") <= F.col("n_ct") * room)).drop("beside")
+    pairs = pairs.filter((F.col("n_ct") >= least_texts(generalise_at)) & (F.col("beside") <= F.col("n_ct") * room)).drop("beside")
     pairs = materialize(pairs, "pii-pairs")
     candidates = materialize(pairs.select("term").distinct(), "pii-terms")
     n_terms = candidates.count()
@@ -143,10 +169,25 @@ def disclosures(docs: DataFrame, copies: DataFrame, held: DataFrame, terms: Data
     df = has.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("df"))
     scored = pairs.join(df, "term").withColumn("df", F.greatest("df", "n_ct"))  # a few letters change the length of a run in lower case
     content = F.log2(F.lit(float(max(total, 1))) / F.col("n_c"))
-    score = F.log2(F.lit(float(max(total, 1))) * F.col("n_ct") / (F.col("n_c") * F.col("df"))) / content
+    few = F.least("n_c", "df")
+    smooth = F.col("n_ct") / (F.col("n_ct") + 1) * few / (few + 1)
+    score = smooth * F.log2(F.lit(float(max(total, 1))) * F.col("n_ct") / (F.col("n_c") * F.col("df"))) / content
     scored = scored.withColumn("disclosure", F.when(content > 0, score)).filter(F.col("disclosure") >= generalise_at)
-    action = F.when(F.col("disclosure") >= remove_at, F.lit("remove")).otherwise(F.lit("generalise"))
-    return scored.select("kind", "value", "term", "disclosure", action.alias("action"))
+    return scored.select("kind", "value", "term", "disclosure")
+
+
+def shown_terms(docs: DataFrame, base: DataFrame, copies: DataFrame, total: int, generalise_at: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities that recur (kind, value, tkey, n_c), what discloses them (kind, value, term, disclosure), and the terms of their texts (tkey, term)."""
+    least = least_texts(generalise_at)
+    of = base.filter(F.size("spans") > 0).select("tkey", F.explode(F.array_distinct(F.flatten(F.transform("spans", units)))).alias("u"))
+    held = of.select("u.kind", "u.value", "tkey").distinct()
+    often = held.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_c")).filter(F.col("n_c") >= least)
+    held = materialize(held.join(often, ["kind", "value"]), "pii-held")
+    terms = base.filter(F.size("terms") > 0).join(held.select("tkey").distinct(), "tkey", "left_semi").select("tkey", F.explode("terms").alias("term")).distinct()
+    terms = materialize(terms, "pii-near")
+    beside = terms.groupBy("term").agg(F.count(F.lit(1)).alias("beside")).filter(F.col("beside") >= least)
+    terms = terms.join(beside, "term")
+    return held, materialize(disclosures(docs, copies, held, terms, total, generalise_at), "pii-shown"), terms
 
 
 def _general(term: Column) -> Column:
@@ -155,7 +196,7 @@ def _general(term: Column) -> Column:
 
 
 def _places(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """doc_id, tkey, added: every place of the terms (tkey, actions: a map by term) in the texts."""
+    """doc_id, tkey, added: every place of the terms (tkey, actions: action and kind by term) in the texts."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey")).join(hits, "tkey").dropDuplicates(["doc_id", "tkey"])
     rows = rows.withColumn("m", _masked(F.col("text")))
     # The very forms of the terms, as whole runs of letters: few places, whatever the text's length.
@@ -163,26 +204,24 @@ def _places(docs: DataFrame, hits: DataFrame) -> DataFrame:
     rows = rows.withColumn("one", F.concat(F.lit(r"(?<!\p{L})(?:"), forms, F.lit(r")(?!\p{L})")))
     rows = rows.withColumn("found", F.regexp_extract_all("m", F.col("one"), F.lit(0))).withColumn("between", F.split("m", F.col("one"), -1))
     at = _located(F.col("between"), F.col("found"))
-    added = F.transform(at, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at("actions", F.lower(s["value"])).alias("action"), _general(s["value"]).alias("put")))
+    does = lambda s: F.element_at("actions", F.lower(s["value"]))
+    put = lambda s: F.when(does(s)["action"] == "remove", F.lit("")).when(does(s)["action"] == "kind", F.concat(F.lit("["), F.upper(does(s)["kind"]), F.lit(" CONTEXT]"))).otherwise(_general(s["value"]))
+    added = F.transform(at, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), does(s)["action"].alias("action"), put(s).alias("put")))
     return rows.select("doc_id", "tkey", added.alias("added"))
 
 
-def find_spans(docs: DataFrame, support: int = SUPPORT, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
-    """doc_id, tkey, spans (base), added (the method's: start, end, action, put: the term's class): a row for each row of docs."""
+def find_spans(docs: DataFrame, generalise_at: float = GENERALISE_AT, kind_at: float = KIND_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+    """doc_id, tkey, spans (base), added (the method's: start, end, action, put: what stands for the term): a row for each row of docs."""
     base = materialize(_entities(docs), "pii-base")
     total = base.select("tkey").distinct().count()
     copies = materialize(base.groupBy("tkey").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "pii-copies")
-    held = base.filter(F.size("spans") > 0).select("tkey", F.explode("spans").alias("s")).select("s.kind", "s.value", "tkey").distinct()
-    often = held.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_c")).filter(F.col("n_c") >= support)
-    held = materialize(held.join(often, ["kind", "value"]), "pii-held")
-    terms = base.filter(F.size("terms") > 0).join(held.select("tkey").distinct(), "tkey", "left_semi").select("tkey", F.explode("terms").alias("term")).distinct()
-    terms = materialize(terms, "pii-near")
-    beside = terms.groupBy("term").agg(F.count(F.lit(1)).alias("beside")).filter(F.col("beside") >= support)
-    terms = terms.join(beside, "term")
-    shown = materialize(disclosures(docs, copies, held, terms, total, support, generalise_at, remove_at), "pii-shown")
-    # The strongest action on a term in a text, whichever entities call for it.
+    held, shown, terms = shown_terms(docs, base, copies, total, generalise_at)
+    # The strongest disclosure of a term in a text, whichever entities call for it.
     hits = held.join(terms.join(shown.select("term").distinct(), "term", "left_semi"), "tkey").join(shown, ["kind", "value", "term"])
-    hits = hits.groupBy("tkey", "term").agg(F.max("action").alias("action")).groupBy("tkey").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions"))
+    action = F.when(F.col("most.disclosure") >= remove_at, "remove").when(F.col("most.disclosure") >= kind_at, "kind").otherwise("generalise")
+    hits = hits.groupBy("tkey", "term").agg(F.max(F.struct("disclosure", "kind")).alias("most"))
+    hits = hits.select("tkey", "term", F.struct(action.alias("action"), F.substring_index("most.kind", ":", 1).alias("kind")).alias("does"))
+    hits = hits.groupBy("tkey").agg(F.map_from_entries(F.collect_list(F.struct("term", "does"))).alias("actions"))
     added = _places(docs, materialize(hits, "pii-hits")).withColumnsRenamed({"doc_id": "a_id", "tkey": "a_key"})
     out = base.join(added, base["doc_id"].eqNullSafe(added["a_id"]) & base["tkey"].eqNullSafe(added["a_key"]), "left")
     bare = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), s["kind"].alias("kind")))
@@ -210,7 +249,7 @@ def sanitise(docs: DataFrame, **limits) -> DataFrame:
     """docs with a placeholder for each base span and each generalised term, and without removed terms."""
     found = find_spans(docs.select("doc_id", "text"), **limits)
     labelled = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put")))
-    labelled_more = F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", F.lit("")).otherwise(s["put"]).alias("put")))
+    labelled_more = F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["put"].alias("put")))
     cuts = found.filter((F.size("spans") > 0) | (F.size("added") > 0)).select(F.col("doc_id").alias("c_id"), F.col("tkey").alias("c_key"), F.array_sort(F.concat(labelled, labelled_more)).alias("cuts"))
     cuts = cuts.dropDuplicates(["c_id", "c_key"])
     last = lambda a: F.get(a, F.size(a) - 1)

@@ -63,6 +63,8 @@ SCOPE = frozenset("ul ol dl table select article section div body html main td t
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside widget widgets footer masthead topbar header cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus replies reply respond pagination pager search toolbar skip legal copyright disclaimer tagcloud outbrain taboola paywall".split()
 )
+#: Words that may stand beside those in a compound name, which say where or what kind of box it is and nothing of its contents.
+BESIDE = frozenset("area bar block bottom box btn button buttons col column container content cta feed form global group holder icon icons inner item items js left link links list local main mobile module outer page panel post posts primary right row secondary section site slot social sticky top unit user wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog alert form toolbar".split())
 _START = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
 _ATTR = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
@@ -162,10 +164,16 @@ def _names(attrs: dict[str, str]) -> list[str]:
 
 
 def _noise_words(tag: str, attrs: dict[str, str]) -> set[str]:
-    """The words of its class and id that mark noise. Of an article only whole names count: it may have comments without being one."""
+    """The words of its class and id that mark noise. A compound name counts if all its words do, or say where a box is: `menu-recipes`
+    is an article's as likely as not. Of an article only whole names count: it may have comments without being one."""
     if tag in ("article", "main"):
         return {n.lower() for n in _names(attrs)} & NOISE
-    return {w.lower() for n in _names(attrs) if not _NEGATED.match(n) for w in _WORD.findall(n)} & NOISE
+    found: set[str] = set()
+    for n in _names(attrs):
+        words = {w.lower() for w in _WORD.findall(n)}
+        if words <= NOISE | BESIDE and not _NEGATED.match(n):
+            found |= words & NOISE
+    return found
 
 
 def _is_noise(tag: str, attrs: dict[str, str]) -> bool:
@@ -342,19 +350,28 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, names: bool = True
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
     noise = materialize(style_tree(pages, least_pages, names), "style-noise")
     n = noise.count()
-    by_host = noise.groupBy("host").agg(F.collect_list(F.struct("path", "content", "importance")).alias("noise"))  # bounded for each host, see above
-    raw = _raw(pages).join(F.broadcast(by_host) if n <= BROADCAST_ROWS else by_host, "host", "left").select("host", "page_id", "url", "html", "noise")
+    key = lambda path, content: (path % (1 << 64), content if content is None else content % (1 << 64))
+    raw, trees = _raw(pages), None
+    if n <= BROADCAST_ROWS:  # counted: every task gets the trees once
+        small: dict[int, dict] = {}
+        for r in noise.collect():
+            small.setdefault(r["host"], {})[key(r["path"], r["content"])] = r["importance"]
+        trees = pages.sparkSession.sparkContext.broadcast(small)
+        raw = raw.select("host", "page_id", "url", "html")
+    else:
+        by_host = noise.groupBy("host").agg(F.collect_list(F.struct("path", "content", "importance")).alias("noise"))  # bounded for each host, see above
+        raw = raw.join(by_host, "host", "left").select("host", "page_id", "url", "html", "noise")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict] = {}  # the trees of the hosts in hand
+        held: dict[int, dict] = {} if trees is None else trees.value  # the trees of the hosts in hand
         for b in batches:
             texts = []
-            for host, source, noise in zip(b.column(0).to_pylist(), b.column(3), b.column(4)):  # noqa: B905
-                if host not in held:
+            for n, (host, source) in enumerate(zip(b.column(0).to_pylist(), b.column(3), strict=True)):
+                if trees is None and host not in held:
                     if len(held) >= 256:
                         held.clear()
-                    held[host] = {(x["path"] % (1 << 64), x["content"] if x["content"] is None else x["content"] % (1 << 64)): x["importance"] for x in noise.as_py() or []}
-                texts.append(main_text(parse(source.as_py()), held[host], names))
+                    held[host] = {key(x["path"], x["content"]): x["importance"] for x in b.column(4)[n].as_py() or []}
+                texts.append(main_text(parse(source.as_py()), held.get(host), names))
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return raw.mapInArrow(run, "page_id long, url string, text string, n_chars long")

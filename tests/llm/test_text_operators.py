@@ -1,6 +1,7 @@
 """Operators 3, 7, 8, 9 on whole texts, held against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -67,6 +68,79 @@ def test_pii_copies_count_once(spark):
     assert all("term:0:9" in s for s in spans[:80]) and not any(spans[80:])
 
 
+def plain_disclosures(texts, threshold):
+    """(kind, value, term): disclosure, by counting over sets of texts."""
+    ids = {}
+    for t in set(texts):
+        found = set()
+        for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t):
+            v = m.group()
+            name = re.match("[A-Za-z]*", v).group().lower()
+            found |= {("email", v), ("email:any", ""), ("email:domain", v.split("@")[1].lower())} | ({("email:name", name)} if name else set())
+        for start, _, kind, end in base_spans(t):
+            v, digits = t[start:end], re.sub("[^0-9]", "", t[start:end])
+            if kind == "ip":
+                found |= {("ip", v), ("ip:any", ""), ("ip:network", ".".join(v.split(".")[:2])), ("ip:block", v.split(".")[0])}
+            if kind == "card":
+                found |= {("card", v), ("card:any", ""), ("card:issuer", digits[:6])}
+            if kind == "phone":
+                found |= {("phone", v), ("phone:any", ""), ("phone:country", digits[:2]), ("phone:area", digits[:5])}
+        ids[t] = found
+    terms = {t: {w.lower() for w in re.findall(r"[^\W\d_]{3,}", re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", " ", t))} for t in ids}
+    every = {t: {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)} for t in ids}
+    df = {}
+    for t in ids:
+        for w in every[t]:
+            df[w] = df.get(w, 0) + 1
+    out = {}
+    for c in set().union(*ids.values()):
+        of = [t for t in ids if c in ids[t]]
+        content = math.log2(len(ids) / len(of))
+        for w in set().union(*(terms[t] for t in of)):
+            n = sum(w in terms[t] for t in of)
+            m = min(len(of), df[w])
+            d = n / (n + 1) * m / (m + 1) * math.log2(len(ids) * n / (len(of) * df[w])) / content if content else 0
+            if d >= threshold:
+                out[(*c, w)] = d
+    return out
+
+
+def test_pii_disclosures_equal_plain_counts(spark):
+    from talkledger.llm.common import materialize
+
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "token", "boss", "desk"]
+    texts = []
+    for n in range(220):
+        t = " ".join(rng.choices(words[:6], k=5)) + f" w{n}x"
+        if n % 9 == 0:
+            t += f" token mail {rng.choice('ab')}nn.{n % 7}@{rng.choice(['x', 'y'])}.example.com"
+        if n % 11 == 0:
+            t += f" desk 10.{n % 3}.{n}.1"
+        if n % 13 == 0:
+            t += f" +1 (20{n % 2}) 555-77{n % 10}{n % 10} boss"
+        texts.append(t)
+    texts += texts[:30]
+    df = documents(spark, texts)
+    base = materialize(pii._entities(df), "t")
+    copies = base.groupBy("tkey").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    _, shown, _ = pii.shown_terms(df, base, copies, len(set(texts)), 0.55)
+    got = {(r["kind"], r["value"], r["term"]): r["disclosure"] for r in shown.collect()}
+    want = plain_disclosures(texts, 0.55)
+    assert got.keys() == want.keys() and len(want) > 4 and {"token", "desk", "boss"} <= {k[2] for k in want}
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+    assert pii.least_texts(0.55) == 3 and (2 / 3) ** 2 < 0.55 <= (3 / 4) ** 2
+
+
+def test_pii_terms_on_the_tables(spark):
+    """What the corpus discloses is marked, and only that."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    allowed = plain_disclosures(list(texts.values()), 0.55)
+    found = [(r["doc_id"], x.split(":")) for r in pii.report(docs).collect() for x in r["spans"].split(",") if x.startswith("term:")]
+    assert found and {texts[i][int(a) : int(b)].lower() for i, (_, a, b) in found} <= {k[2] for k in allowed}
+
+
 def test_pii_terms_go_wherever_they_stand(spark):
     far = " ".join(f"filling{chr(97 + n % 26)}" for n in range(60))
     shown = [f"Zebrafish came first {far} mail boss@zebrafish.example word{n} {far} (ZEBRAFISH) zebrafishes" for n in "abcd"]
