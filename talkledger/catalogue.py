@@ -210,12 +210,6 @@ def rule_counts(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.status_counts(rule_rows(spark, sf))
 
 
-@query(f"with {CLAIMS} select * from claims where rule_id <> '103'")
-def claim_index(spark: SparkSession, sf: str) -> DataFrame:
-    every = rules.claims(demo_rules(spark))
-    return every.join(rules.select_rules(demo_rules(spark), exclude=["103"]).select("rule_id"), "rule_id", "left_semi")
-
-
 @query(
     """with q as (select vec_id as query_id, embedding as q from embeddings where vec_id % 100 = 0),
     s as (select query_id, vec_id, round(list_cosine_similarity(list_transform(q, lambda x: cast(x as double)), list_transform(embedding, lambda x: cast(x as double))), 6) as score from embeddings, q)
@@ -350,7 +344,6 @@ def queue_refresh(spark: SparkSession, sf: str) -> DataFrame:
 # --- labels and scalars --------------------------------------------------------------------
 
 SPELLINGS = ["Pass", " passed ", "positive", "Compliant", "yes", "Y", "true", "1", "Fail", "failed", "negative", "Non-Compliant", "non compliant", "non_compliant", "noncompliant", "not compliant", "No", "n", "false", "0", "skip", "Skipped", "ambiguous", "unclear", "nonsense", "", "  ", "odd", "compliant!", "NON-COMPLIANCE"]
-_SPELT = "s(x) as (values " + ", ".join(f"('{x}')" for x in SPELLINGS) + ", (null))"
 _T = {"_": "replace(lower(trim(coalesce(x, ''))), '_', '-')", "_ ": "replace(replace(lower(trim(coalesce(x, ''))), '_', '-'), ' ', '-')", "": "lower(trim(coalesce(x, '')))"}
 _LABEL_SQL = {
     "review": ("_ ", "case when t in ('pass','passed','positive','compliant','yes','true','1') then 'Compliant' when t in ('fail','failed','negative','non-compliant','noncompliant','no','false','0') then 'Non-Compliant' when t like '%non-compliant%' or t like '%noncompliant%' then 'Non-Compliant' when t like '%compliant%' then 'Compliant' else '' end"),
@@ -365,20 +358,6 @@ _LABEL_SQL = {
 }
 
 
-def _dialect(name: str) -> None:
-    def f(spark: SparkSession, sf: str) -> DataFrame:
-        s = spark.createDataFrame([(x,) for x in [*SPELLINGS, None]], "x string")
-        return s.select("x", L.normalise(F.col("x"), name).alias("label"))
-
-    f.__name__ = f"label_normalise_{name}"
-    replaced, case = _LABEL_SQL[name]
-    query(f"with {_SPELT}, n as (select x, {_T[replaced]} as t from s) select x, {case} as label from n")(f)
-
-
-for _name in _LABEL_SQL:
-    _dialect(_name)
-
-
 @query("select doc_id, case when round(n_chars / 5000.0, 6) >= 0.5 then 'Compliant' else 'Non-Compliant' end as by_score, case when quality = 1 then 'Compliant' else 'Non-Compliant' end as by_bit from documents join labels using (doc_id)")
 def label_from_numbers(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
@@ -396,22 +375,6 @@ def _like(column: str, terms: tuple[str, ...]) -> str:
     return "(" + " or ".join("contains({}, '{}')".format(column, t.replace("'", "''")) for t in terms) + ")"
 
 
-def _override_sql() -> str:
-    case = ""
-    for f in L.FAMILIES:
-        satisfied = " or ".join("(" + " and ".join(_like("t", g) for g in groups) + ")" for groups in f["for"])
-        case += f" when {_like('a', f['anchor'])} and {_like('t', f['against'])} then 'Non-Compliant' when {_like('a', f['anchor'])} and ({satisfied}) then 'Compliant'"
-    fam = " ".join(f"when {_like('a', f['anchor'])} then '{f['name']}'" for f in L.FAMILIES)
-    values = ", ".join(f"('{a}', '{t}')" for a, t in OVERRIDE_ROWS)
-    return f"with s(anchor, text) as (values {values}), n as (select *, lower(trim(anchor)) as a, lower({collapse_sql('text')}) as t from s) select anchor, text, case {case} end as label, case {fam} else 'other' end as family from n"
-
-
-@query(_override_sql())
-def keyword_override(spark: SparkSession, sf: str) -> DataFrame:
-    s = spark.createDataFrame(OVERRIDE_ROWS, "anchor string, text string")
-    return s.select("anchor", "text", L.keyword_override(F.col("anchor"), F.col("text")).alias("label"), L.family(F.col("anchor")).alias("family"))
-
-
 @query("select doc_id, cast(len(regexp_extract_all(coalesce(text, ''), '[㐀-䶿一-鿿]')) as integer) as n_cjk from documents where len(regexp_extract_all(coalesce(text, ''), '[㐀-䶿一-鿿]')) < 100")
 def cjk_filter(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", T.cjk_count(F.col("text")).alias("n_cjk")).filter("n_cjk < 100")
@@ -439,29 +402,9 @@ def reasoning_leak(spark: SparkSession, sf: str) -> DataFrame:
 SCALARS = ["Agent: RM: hello\nthere", "<think>a\nb</think> yes", "rm: advisor: x", "plain", "  Relationship Manager: Agent: y  ", "<THINK>q</THINK><think>r</think>z", "x</think>y"]
 
 
-@query(
-    "with s(x) as (values " + ", ".join("('" + x.replace("\n", "' || chr(10) || '") + "')" for x in SCALARS) + """),
-    p0 as (select x, trim(x) as o from s), p1 as (select x, case when starts_with(lower(o), 'rm:') then trim(substr(o, 4)) else o end as o from p0), p2 as (select x, case when starts_with(lower(o), 'relationship manager:') then trim(substr(o, 22)) else o end as o from p1),
-    p3 as (select x, case when starts_with(lower(o), 'agent:') then trim(substr(o, 7)) else o end as o from p2), p4 as (select x, case when starts_with(lower(o), 'advisor:') then trim(substr(o, 9)) else o end as o from p3)
-    select x, trim(replace(o, chr(10), ' ')) as turn, trim(regexp_replace(x, '(?is)<think>.*?</think>', '', 'g')) as bare from p4"""
-)
-def scalar_text(spark: SparkSession, sf: str) -> DataFrame:
-    s = spark.createDataFrame([(x,) for x in SCALARS], "x string")
-    return s.select("x", T.single_turn(F.col("x")).alias("turn"), T.strip_think(F.col("x")).alias("bare"))
-
-
 NUMBERS = ["0.8", "90", "-1", "x", "", "3", "0", "-3", "2.5", "250"]
 
 
-@query(
-    "with s(x) as (values " + ", ".join(f"('{x}')" for x in NUMBERS) + """, (null)), n as (select x, try_cast(x as double) as d, case when regexp_matches(x, '^-?[0-9]+$') then try_cast(x as integer) end as i from s)
-    select x, least(0.75, greatest(0.0, least(1.0, case when coalesce(d, 0) > 1 then d / 100 else coalesce(d, 0) end))) as conf, greatest(1, coalesce(nullif(i, 0), 1)) as weight, round(1 / (1 + exp(-coalesce(d, 0.0) / 100)), 6) as sig from n"""
-)
-def scalar_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    s = spark.createDataFrame([(x,) for x in [*NUMBERS, None]], "x string")
-    return s.select("x", T.confidence(F.col("x"), 0.0, 0.75).alias("conf"), T.weight(F.col("x")).alias("weight"), F.round(T.sigmoid(T.score_or(F.col("x")) / 100), 6).alias("sig"))
-
-
 # --- measures ------------------------------------------------------------------------------
 
 
@@ -540,12 +483,6 @@ def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.outcome_counts(_compared(spark, sf))
 
 
-@query("with g(name, candidate, active) as (values ('none', 0.4, null), ('same', 0.9, 0.9), ('worse', 0.8, 0.9), ('better', 0.95, 0.9), ('edge', 0.8999999999, 0.9)) select name, active is null or candidate >= active - 1e-9 as promoted from g")
-def promotion_gate(spark: SparkSession, sf: str) -> DataFrame:
-    g = spark.createDataFrame([("none", 0.4, None), ("same", 0.9, 0.9), ("worse", 0.8, 0.9), ("better", 0.95, 0.9), ("edge", 0.8999999999, 0.9)], "name string, candidate double, active double")
-    return g.select("name", metrics.promote(F.col("candidate"), F.col("active")).alias("promoted"))
-
-
 # --- training data -------------------------------------------------------------------------
 
 
@@ -574,16 +511,6 @@ def union_dedupe(spark: SparkSession, sf: str) -> DataFrame:
 ANCHOR_ROWS = [("1", None, None, "101"), ("2", " given ", "0", "102"), ("3", "", "0", "102"), ("4", None, "1", "102"), ("5", None, "2", "102"), ("6", None, "-1", "102"), ("7", None, None, "102"), ("8", None, "x", "103"), ("9", None, "1", "104"), ("10", None, "2", "104"), ("11", None, "0", "999"), ("12", None, "0", "105")]
 
 
-@query(
-    "with a(id, anchor, prompt_index, disclaimer_id) as (values " + ", ".join("(" + ", ".join("null" if x is None else f"'{x}'" for x in r) + ")" for r in ANCHOR_ROWS) + """),
-    r(rid, txt, lst) as (values ('101', 'the of and by', null), ('102', null, ['der die und', 'in zu von']), ('103', null, ['le la des', 'qui que dans']), ('104', null, ['the and', 'is that with', 'les une']), ('105', null, []))
-    select id, coalesce(nullif(trim(anchor), ''), txt, case when try_cast(prompt_index as integer) >= 0 then lst[try_cast(prompt_index as integer) + 1] end) as resolved from a left join r on rid = disclaimer_id"""
-)
-def anchor_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    a = spark.createDataFrame(ANCHOR_ROWS, "id string, anchor string, prompt_index string, disclaimer_id string")
-    return rules.resolve_anchor(a, demo_rules(spark)).select("id", "resolved")
-
-
 @query(f"with {_ROWS}, w as (select *, row_id % 4 as w from rws) select anchor, dialogue, case label when 'compliant' then 1.0::double else 0.0::double end as label from (select *, unnest(range(0, greatest(1, w))) from w) where dialogue <> ''")
 def weighted_pairs(spark: SparkSession, sf: str) -> DataFrame:
     r = _rows(spark, sf).withColumn("sample_weight", (F.col("row_id") % 4).cast("string")).withColumnRenamed("label", "type").withColumn("resolved", F.col("anchor"))
@@ -715,57 +642,6 @@ def text_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- generated text ------------------------------------------------------------------------
 
-ANSWERS = [
-    ("a", '[{"label": "Compliant", "text": "before I reset it I will verify you"}, {"label": "compliant", "text": "one two three four five"}, {"label": "Non-Compliant", "text": "too short"}]'),
-    ("b", '[{"label": "Compliant", "text": "Agent: I will say this now please"}, {"label": "Compliant", "text": "well client: I will say this now"}, {"label": "Compliant", "text": 5}, {"label": "Compliant"}, 7, {"label": "Compliant", "text": "a b c d e", "more": 1}]'),
-    ("c", "[]"),
-]
-_ANSWERS = "ans(answer_id, answer) as (values " + ", ".join(f"('{i}', '{a}')" for i, a in ANSWERS) + ")"
-_JUDGED = f"""with {_ANSWERS}, el as (select answer_id, unnest(cast(answer as json[])) as e, generate_subscripts(cast(answer as json[]), 1) - 1 as pos from ans),
-    sh as (select *, json_type(e) = 'OBJECT' and list_sort(json_keys(e)) = ['label', 'text'] and json_type(e, '$.label') = 'VARCHAR' and json_type(e, '$.text') = 'VARCHAR' as shaped from el),
-    tx as (select *, trim(e ->> '$.label') as label, case when starts_with(lower(trim(e ->> '$.text')), 'agent:') then trim(substr(trim(e ->> '$.text'), 7)) else trim(e ->> '$.text') end as text from sh),
-    jd as (select answer_id, cast(pos as integer) as pos, case when shaped then label end as label, case when shaped then text end as text,
-      case when not shaped then 'schema' when label not in ('Compliant', 'Non-Compliant') then 'label' when regexp_matches(lower(text), 'client:|rm:|advisor:|agent:') then 'multi_speaker' when len(string_split(text, ' ')) < 5 then 'too_short' when len(string_split(text, ' ')) > 60 then 'kept_long' else 'kept' end as reason from tx)"""
-
-
-@query(f"{_JUDGED} select * from jd")
-def snippet_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return snippets.judged_snippets(spark.createDataFrame(ANSWERS, "answer_id string, answer string"))
-
-
-@query(f"{_JUDGED} select answer_id, count(*) as input_len, count(*) filter (where reason in ('kept', 'kept_long')) as kept, count(*) filter (where reason = 'schema') as dropped_schema, count(*) filter (where reason = 'label') as dropped_label, count(*) filter (where reason = 'multi_speaker') as dropped_multi_speaker, count(*) filter (where reason = 'too_short') as dropped_too_short, count(*) filter (where reason = 'kept_long') as kept_too_long from jd group by answer_id")
-def snippet_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return snippets.snippet_stats(snippets.judged_snippets(spark.createDataFrame(ANSWERS, "answer_id string, answer string")))
-
-
-JUDGEMENTS = ['{"pass": true, "score": 9}', '{"pass": true, "score": 8.5}', '{"pass": false, "score": 10}', '{"score": 10}', "broken"]
-
-
-@query("with j(x) as (values " + ", ".join(f"('{x}')" for x in JUDGEMENTS) + ") select x, coalesce(case when json_valid(x) then (x ->> '$.pass') = 'true' and cast(x ->> '$.score' as double) >= 9 end, false) as accepted from j")
-def judge_accept(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in JUDGEMENTS], "x string").select("x", snippets.judge_accepts(F.col("x")).alias("accepted"))
-
-
-PROMPTS = '{"101": {"Calm": {"system_instruction": "be calm", "user_prompt": "one"}, "Busy": {"system_instruction": "be brisk", "user_prompt": ["two", " ", "three"]}, "x_qa": {"user_prompt": "no"}}, "102": {"Odd": {"user_prompt": 5}, "Plain": {"user_prompt": "four"}}}'
-
-
-@query("select * from (values ('101', 'Calm', 'be calm', 0, 'one'), ('101', 'Busy', 'be brisk', 1, 'three'), ('102', 'Plain', '', 0, 'four')) t(rule_id, scenario, system_instruction, prompt_index, user_prompt)")
-def resume_prompts(spark: SparkSession, sf: str) -> DataFrame:
-    p = rules.prompts(spark.createDataFrame([(PROMPTS,)], "value string"))
-    return snippets.remaining(p, spark.createDataFrame([("101", "Busy", 0)], "rule_id string, scenario string, prompt_index int")).select("rule_id", "scenario", "system_instruction", "prompt_index", "user_prompt")
-
-
-@query(
-    """select * from (values ('x [1, [2, "]"]] y [3]', '[1, [2, "]"]]', null, '{}'), ('```json' || chr(10) || '[{"a": 1}]' || chr(10) || '```', '[{"a": 1}]', '{"a": 1}', '{"a": 1}'),
-    ('<think>[0]</think> {"a": {"b": "}"}} tail', null, '{"a": {"b": "}"}}', '{"a": {"b": "}"}}'), ('[1, 2', null, null, '{}'), ('{"a": 1', null, null, '{}'), ('none', null, null, '{}'), ('', null, null, '{}'),
-    ('<think>x</think>{"label": "Compliant"} and more', null, '{"label": "Compliant"}', '{"label": "Compliant"}')) t(x, as_array, as_object, as_answer)"""
-)
-def json_extract_balanced(spark: SparkSession, sf: str) -> DataFrame:
-    texts = ['x [1, [2, "]"]] y [3]', "```json\n[{\"a\": 1}]\n```", "<think>[0]</think> {\"a\": {\"b\": \"}\"}} tail", "[1, 2", '{"a": 1', "none", "", "<think>x</think>{\"label\": \"Compliant\"} and more"]
-    s = spark.createDataFrame([(x,) for x in texts], "x string")
-    return s.select("x", first_array_udf("x").alias("as_array"), judge_object_udf("x").alias("as_object"), llm_object_udf("x").alias("as_answer"))
-
-
 # --- what people read ----------------------------------------------------------------------
 
 
@@ -788,12 +664,6 @@ def suggested_labels(spark: SparkSession, sf: str) -> DataFrame:
     return present.numbered_lines(items, "transcript_id", "claim_order", line)
 
 
-@query("select * from (values (0, 'Compliant', true), (1, 'Non-Compliant', false), (2, 'Compliant', true)) t(pos, final_label, approved)")
-def merge_edits(spark: SparkSession, sf: str) -> DataFrame:
-    items = spark.createDataFrame([(0, "", False), (1, "Compliant", True), (2, "Compliant", True)], "pos int, final_label string, approved boolean")
-    return present.merge_edits(items, spark.createDataFrame([(0, "Pass", "Yes"), (1, "fail", "no")], "pos int, label string, approved string"))
-
-
 @query("with s as (select doc_id, round(n_chars / (n_chars + 1000.0), 6) as after, quality, case doc_id % 3 when 0 then 0.1 when 1 then -0.1 else 0.0001 end as delta from documents join labels using (doc_id)) select doc_id, concat(case when (after >= 0.5) = (quality = 1) then 'success' else 'open' end, ':', case when delta > 0.0005 then 'up' when delta < -0.0005 then 'down' else 'flat' end) as status from s")
 def compare_status(spark: SparkSession, sf: str) -> DataFrame:
     delta = F.when(F.col("doc_id") % 3 == 0, 0.1).when(F.col("doc_id") % 3 == 1, -0.1).otherwise(0.0001)
@@ -828,28 +698,18 @@ def _outcome_sql(aliases: str, known: str, fallback: str) -> str:
     select answer, array_to_string(causes, ',') as causes, case when k in ({known}) then k else {fallback} end as outcome from m"""
 
 
-@query(
-    _outcome_sql(
+_CHANGED_SQL = _outcome_sql(
         "('thin_coverage', 'covered_but_under_represented'), ('under_represented', 'covered_but_under_represented'), ('underrepresented', 'covered_but_under_represented'), ('covered_underrepresented', 'covered_but_under_represented'), ('boundary_confusing', 'covered_but_boundary_confusing'), ('label_noise', 'possible_label_noise')",
         "'missing_coverage', 'covered_but_under_represented', 'covered_but_boundary_confusing', 'possible_label_noise'",
         "case when list_contains(causes, 'missing_coverage') then 'missing_coverage' when list_contains(causes, 'thin_coverage') then 'covered_but_under_represented' else 'covered_but_boundary_confusing' end",
     )
-)
-def investigated_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(ANSWERED, "answer string, causes array<string>")
-    return rows.select("answer", F.array_join("causes", ",").alias("causes"), samples.outcome(F.col("answer"), F.col("causes")).alias("outcome"))
 
 
-@query(
-    _outcome_sql(
+_REGRESSED_SQL = _outcome_sql(
         "('thin_coverage', 'under_represented_pattern'), ('under_represented', 'under_represented_pattern'), ('underrepresented', 'under_represented_pattern'), ('covered_but_under_represented', 'under_represented_pattern'), ('covered_but_boundary_confusing', 'boundary_regression'), ('post_retrain_boundary_regression', 'boundary_regression'), ('boundary_confusing', 'boundary_regression'), ('label_noise', 'possible_label_noise')",
         "'missing_coverage', 'under_represented_pattern', 'boundary_regression', 'possible_label_noise'",
         "case when list_contains(causes, 'missing_coverage') then 'missing_coverage' when list_contains(causes, 'thin_coverage') then 'under_represented_pattern' when list_contains(causes, 'possible_label_noise') then 'possible_label_noise' else 'boundary_regression' end",
     )
-)
-def regressed_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(ANSWERED, "answer string, causes array<string>")
-    return rows.select("answer", F.array_join("causes", ",").alias("causes"), samples.regression_outcome(F.col("answer"), F.col("causes")).alias("outcome"))
 
 
 GAPS = [
@@ -866,38 +726,23 @@ GAP_ANSWERS = [
 ]
 
 
-@query(
-    """select * from (values
+_GAP_SAMPLES_SQL = """select * from (values
     (1, 0, 'a rebooking fee is due', 'qwen'), (1, 1, 'There will be a fee to make the change before I confirm the new flight for you.', 'fallback'), (1, 2, 'There is a fee to make this change, and I need to disclose that before I confirm the new itinerary.', 'fallback'),
     (2, 0, 'Kept as it is', 'qwen'), (3, 0, 'Once I unlock your account, I will verify your identity for our records.', 'fallback'), (3, 1, 'I will verify your identity for our records after I unlock your account.', 'fallback')) t(item_id, n, text, source)"""
-)
-def gap_samples(spark: SparkSession, sf: str) -> DataFrame:
-    items = spark.createDataFrame(GAPS, GAP_SCHEMA).withColumn("outcome", F.when(F.col("item_id") == 4, "possible_label_noise").otherwise("missing_coverage"))
-    answers = spark.createDataFrame([(1, 0, "the fee is waived"), (1, 1, " a rebooking  fee is due"), (1, 2, "A rebooking fee is due"), (1, 3, "There is a fee to make the change"), (2, 0, " "), (2, 1, "Kept as it is"), (4, 0, "you pay the fare difference")], "item_id int, pos int, text string")
-    return samples.samples(items, answers)
 
 
-@query(
-    """select * from (values
+_INVESTIGATIONS_SQL = """select * from (values
     (1, 'missing_coverage', 'none', 'missing_coverage', 3, 'mixed', 'Generate targeted examples for this missing pattern; optionally add the exact reviewed phrase too.'),
     (2, 'covered_but_under_represented', 'Qwen outcome `covered_but_under_represented` was used with deterministic coverage evidence: 2 same-label sample(s), 0 opposite-label sample(s).', 'covered_but_under_represented', 1, 'qwen', 'Coverage exists but is too thin, so add targeted generated phrases to strengthen this pattern before retraining.'),
     (3, 'covered_but_boundary_confusing', 'Qwen outcome `covered_but_boundary_confusing` was used with deterministic coverage evidence: 5 same-label sample(s), 1 opposite-label sample(s).', 'covered_but_boundary_confusing,possible_label_noise', 2, 'fallback', 'Coverage exists, but the model still needs targeted boundary examples for this failed prediction before retraining.'),
     (4, 'possible_label_noise', 'Qwen outcome `possible_label_noise` was used with deterministic coverage evidence: 0 same-label sample(s), 0 opposite-label sample(s).', 'possible_label_noise', 0, '', 'Inspect similar opposite-label synthetic examples before adding more data.')) t(item_id, outcome, rationale, causes, n_samples, source, recommendation)"""
-)
-def investigations(spark: SparkSession, sf: str) -> DataFrame:
-    out = samples.investigate(spark.createDataFrame(GAPS, GAP_SCHEMA), spark.createDataFrame(GAP_ANSWERS, "item_id int, answer string"))
-    return out.select("item_id", "outcome", "rationale", F.array_join("causes", ",").alias("causes"), F.size("samples").alias("n_samples"), "source", "recommendation")
 
 
-@query(
-    """select * from (values
+_REGRESSIONS_SQL = """select * from (values
     (1, 'missing_coverage', 'none', 'Generate more same-label examples for this exact pattern before the next retrain.'),
     (2, 'under_represented_pattern', 'Agent review completed from the before/after movement and nearby dataset examples.', 'Keep the reviewed phrase in training and add a few nearby same-label variants before retraining again.'),
     (3, 'possible_label_noise', 'Agent review completed from the before/after movement and nearby dataset examples.', 'Inspect nearby opposite-label samples before another retrain because the dataset may be sending mixed signals.'),
     (4, 'possible_label_noise', 'Agent review completed from the before/after movement and nearby dataset examples.', 'Inspect nearby opposite-label samples before another retrain because the dataset may be sending mixed signals.')) t(item_id, outcome, rationale, recommendation)"""
-)
-def investigated_regressions(spark: SparkSession, sf: str) -> DataFrame:
-    return samples.investigate_regressions(spark.createDataFrame(GAPS, GAP_SCHEMA), spark.createDataFrame(GAP_ANSWERS, "item_id int, answer string"))
 
 
 @query(f"select 0 as part, * from ({_DIAGNOSED.replace('THIRD', 'underweighted_pattern')}) union all select 1 as part, * from ({_DIAGNOSED.replace('THIRD', 'post_retrain_boundary_regression')})")
@@ -905,25 +750,19 @@ def merged_diagnoses(spark: SparkSession, sf: str) -> DataFrame:
     return samples.merge_diagnoses(label_changed_diagnosis(spark, sf), regression_diagnosis(spark, sf))
 
 
-@query("select * from (values ('a', 'gap', 'fine', '', 'few', 2), ('b', '', '', '', '', 0), ('c', 'covered', '', 'hard', '', 0)) t(key, coverage_status, positive_quality_note, negative_quality_note, reason, n_variants)")
-def dataset_audit(spark: SparkSession, sf: str) -> DataFrame:
-    answers = [("a", 'Well: {"coverage_status": " GAP ", "positive_quality_note": "fine ", "reason": "few", "generated_variants": ["x", " ", "y"]}'), ("b", "no json"), ("c", '```json\n{"coverage_status": "covered", "negative_quality_note": "hard"}\n```')]
-    return samples.audit_answers(spark.createDataFrame(answers, "key string, answer string")).withColumn("n_variants", F.size("generated_variants")).drop("generated_variants")
-
-
 GATES = [("never", False, None), ("never", True, 0.1), ("if_missing", True, None), ("if_missing", False, None), (" Always ", True, 0.89994), ("always", False, 0.9), (None, False, 0.95), ("odd", True, 0.95)]
 
 
-@query(
-    """select mode, models_exist, metric, status, message from (values
+GATE_SQL = """select mode, models_exist, metric, status, message from (values
     ('never', false, null, 'blocked', 'Bootstrap was disabled, but the active retriever/verifier models do not exist yet.'), ('never', true, 0.1, 'skipped', 'Bootstrap training gate skipped because active models already exist.'),
     ('if_missing', true, null, 'skipped', 'Bootstrap training gate skipped because active models already exist.'), ('if_missing', false, null, 'blocked', 'Synthetic dataset is empty, so bootstrap training cannot start.'),
     (' Always ', true, 0.89994, 'blocked', 'Synthetic gate failed: macro_f1=0.8999 is below 0.9000.'), ('always', false, 0.9, 'ready', 'Synthetic gate passed: macro_f1=0.9000. Full synthetic training completed.'),
     (null, false, 0.95, 'ready', 'Synthetic gate passed: macro_f1=0.9500. Full synthetic training completed.'), ('odd', true, 0.95, 'skipped', 'Bootstrap training gate skipped because active models already exist.')) t(mode, models_exist, metric, status, message)"""
-)
-def training_gate(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(GATES, "mode string, models_exist boolean, metric double")
-    return rows.withColumn("g", metrics.training_gate(F.col("mode"), F.col("models_exist"), F.col("metric"))).select("mode", "models_exist", F.col("metric").cast("decimal(6,5)").alias("metric"), "g.status", "g.message")
+
+
+OUTCOME_SQL = {"investigated_outcomes": _CHANGED_SQL, "regressed_outcomes": _REGRESSED_SQL}
+GAP_SQL = {"gap_samples": _GAP_SAMPLES_SQL, "investigations": _INVESTIGATIONS_SQL, "investigated_regressions": _REGRESSIONS_SQL}
+GAP_TEXTS = [(1, 0, "the fee is waived"), (1, 1, " a rebooking  fee is due"), (1, 2, "A rebooking fee is due"), (1, 3, "There is a fee to make the change"), (2, 0, " "), (2, 1, "Kept as it is"), (4, 0, "you pay the fare difference")]
 
 
 # --- summaries and answers -----------------------------------------------------------------
@@ -998,50 +837,13 @@ QUESTIONS = [
 ]
 
 
-@query(
-    """select * from (values (1, 'Hi. I can help explain the current inference result, borderline phrases, or Qwen labels.'), (2, 'There are no borderline phrases in the current review queue.' || chr(10) || 'SUM'), (3, 'EXPLAINED'), (4, 'SUGGESTED'), (5, 'It failed.'),
+CHAT_SQL = """select * from (values (1, 'Hi. I can help explain the current inference result, borderline phrases, or Qwen labels.'), (2, 'There are no borderline phrases in the current review queue.' || chr(10) || 'SUM'), (3, 'EXPLAINED'), (4, 'SUGGESTED'), (5, 'It failed.'),
     (6, 'SUM'), (7, 'I can help explain the current inference result or review labels.'), (8, 'Yes.'), (9, 'A model''s answer')) t(id, answer)"""
-)
-def chat_answers(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(QUESTIONS, "id int, question string, n_items int, said string")
-    return rows.select("id", present.chat_answer(F.col("question"), F.col("n_items"), F.lit("SUM"), F.lit("SUGGESTED"), F.lit("EXPLAINED"), F.col("said")).alias("answer"))
-
-
-@query("select * from (values (1, '{\"101\":{\"status\":\"PASS\"}}'), (2, '{\"101\":{\"status\":\"FAIL\"}}'), (3, '{\"results\":[1]}')) t(id, results)")
-def results_only(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, '{"results":{"101":{"status":"PASS"}},"x":1}'), (2, '{"101":{"status":"FAIL"}}'), (3, '{"results":[1]}')], "id int, payload string")
-    return rows.select("id", present.results_only(F.col("payload")).alias("results"))
 
 
 # --- rules, orders, and what a reader gives back -------------------------------------------
 
 
-@query("select rule_id, cast(row_number() over (order by try_cast(rule_id as bigint) is null, try_cast(rule_id as bigint), rule_id) as integer) as n, cast(row_number() over (order by rule_id) as integer) as by_text from (values ('10'), ('9'), ('x'), ('101'), ('a'), ('2')) t(rule_id)")
-def rule_order(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("10", "9", "x", "101", "a", "2")], "rule_id string")
-    w = Window.orderBy(*T.rule_order(F.col("rule_id")))
-    return rows.select("rule_id", F.row_number().over(w).alias("n"), F.row_number().over(Window.orderBy("rule_id")).alias("by_text"))
-
-
-@query("select * from (values ('1.2', 1), ('1.10', 2), ('2', 3), ('10.1', 4), ('Calm', 5), ('x.1', 6)) t(scenario, n)")
-def scenario_order(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(x,) for x in ("10.1", "x.1", "1.10", "Calm", "2", "1.2")], "scenario string")
-    return rows.select("scenario", F.row_number().over(Window.orderBy(*T.dotted_order(F.col("scenario")))).alias("n"))
-
-
-@query(
-    """select rule_id, description, concat('Description: ', description, chr(10), 'Purpose: ', purpose, chr(10), 'Criteria: ', criteria, chr(10), 'Anchor meanings that count as compliant:', chr(10), listed) as rubric from (values
-    ('101', 'speaks English', 'language', 'english words', '- the of and by'), ('102', 'speaks German', 'language', 'german words', concat('- der die und', chr(10), '- in zu von')), ('103', 'speaks French', 'language', 'french words', ''), ('104', 'speaks both', 'language', 'mixed words', '- the and'), ('105', 'has no claim', 'none', '', ''), ('106', 'falls back', 'language', 'que los por', '- ')) t(rule_id, description, purpose, criteria, listed)"""
-)
-def rule_rubrics(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.rubric(demo_rules(spark))
-
-
-@query(f"with {RULES} select rule_id from rules where rule_id in ('101', '104')")
-def included_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.select_rules(demo_rules(spark), include=["101", "103", "104", "999"], exclude=["103"]).select("rule_id")
-
-
 @query(
     f"""{BASE}, {ITEMS}, f as (select *, case claim_order % 3 when 0 then 'Compliant' when 1 then 'Non-Compliant' else '' end as final_label from items)
     select transcript_id, rule_id, claim_order, review_type, final_label, model_label from f where final_label <> '' and (review_type = 'borderline' or final_label <> model_label)"""
@@ -1126,11 +928,6 @@ def source_json_or_default(spark: SparkSession, sf: str) -> DataFrame:
     return every[0].unionByName(every[1]).unionByName(every[2])
 
 
-@query("select * from (values ('a.txt', 1, 'a.txt'), ('a.txt', 2, 'a_2.txt'), ('b', 3, 'b'), ('a.txt', 4, 'a_3.txt'), ('b', 5, 'b_2')) t(name, pos, \"unique\")")
-def source_upload_names(spark: SparkSession, sf: str) -> DataFrame:
-    return readers.distinct_names(spark.createDataFrame([("a.txt", 1), ("a.txt", 2), ("b", 3), ("a.txt", 4), ("b", 5)], "name string, pos int"))
-
-
 @query(f"{RULE_ROWS} select transcript_id, rule_id, passed, round(score, 6) as score, case when passed then 'passed' when n_rev > 0 then 'borderline' else 'report' end as part from rr")
 def sink_run(spark: SparkSession, sf: str) -> DataFrame:
     f = _folder(spark, "run")

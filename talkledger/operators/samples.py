@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import labels as L
 from ..functions.jsonx import llm_object_udf
@@ -201,6 +202,40 @@ def merge_diagnoses(changed: DataFrame, regressed: DataFrame) -> DataFrame:
     return changed.withColumn("part", F.lit(0)).unionByName(regressed.withColumn("part", F.lit(1)), allowMissingColumns=True)
 
 
+def audit_inputs(pool: DataFrame, limit: int = 4, least: int = 2, seed: int = 11) -> DataFrame:
+    """rule_id, anchor_key, n_pass, n_fail, positives, negatives, heuristic, prompt of each anchor of the pool (rule_id, anchor_key, label, dialogue, pos).
+
+    A labeller sees at most `limit` examples of each class, drawn by hash, so that a hot anchor's examples are never gathered; the
+    counts are of all. heuristic: gap if either class has fewer than `least`."""
+    rows = pool.filter(F.col("label").isin(L.PASS, L.FAIL)).withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("pos").cast("string")).cast("binary")))
+    keys = ["rule_id", "anchor_key"]
+    n = rows.groupBy(*keys).agg(F.count_if(F.col("label") == L.PASS).alias("n_pass"), F.count_if(F.col("label") == L.FAIL).alias("n_fail"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "label").orderBy("h", "pos"))
+    some = rows.withColumn("rank", rank).filter(F.col("rank") <= limit)
+    of = lambda label: F.transform(F.array_sort(F.collect_list(F.when(F.col("label") == label, F.struct("rank", "dialogue")))), lambda x: x["dialogue"])
+    out = n.join(some.groupBy(*keys).agg(of(L.PASS).alias("positives"), of(L.FAIL).alias("negatives")), keys)
+    heuristic = F.when((F.col("n_pass") < least) | (F.col("n_fail") < least), "gap").otherwise("covered")
+    return out.withColumn("heuristic", heuristic).withColumn("prompt", F.to_json(F.struct("rule_id", F.col("anchor_key").alias("anchor"), "heuristic", F.col("positives").alias("compliant_examples"), F.col("negatives").alias("non_compliant_examples"))))
+
+
+# What an audit says of a class without a labeller's note.
+POOL_NOTES = {
+    ("positive", True): "Positive pool size is acceptable.", ("positive", False): "Positive pool is still thin.",
+    ("negative", True): "Negative pool size is acceptable.", ("negative", False): "Negative pool is still thin.",
+}
+
+
+def audited(inputs: DataFrame, answers: DataFrame, least: int = 2) -> DataFrame:
+    """rule_id, anchor_key, n_pass, n_fail, coverage_status, positive_quality_note, negative_quality_note, source of each audited anchor.
+
+    answers: key (rule_id:anchor_key) and a labeller's answer. An answer without one of the two statuses leaves the heuristic's; source tells whose it is."""
+    a = audit_answers(answers).drop("reason", "generated_variants")
+    known = F.coalesce(F.col("coverage_status").isin("covered", "gap"), F.lit(False))
+    note = lambda kind, n: F.coalesce(F.nullif(F.col(f"{kind}_quality_note"), F.lit("")), F.when(F.col(n) >= least, POOL_NOTES[kind, True]).otherwise(POOL_NOTES[kind, False])).alias(f"{kind}_quality_note")
+    out = inputs.withColumn("key", F.concat_ws(":", "rule_id", "anchor_key")).join(a, "key", "left")
+    return out.select("rule_id", "anchor_key", "n_pass", "n_fail", F.when(known, F.col("coverage_status")).otherwise(F.col("heuristic")).alias("coverage_status"), note("positive", "n_pass"), note("negative", "n_fail"), F.when(known, "labeller").otherwise("heuristic").alias("source"))
+
+
 def audit_answers(answers: DataFrame) -> DataFrame:
     """key, coverage_status, positive_quality_note, negative_quality_note, reason, generated_variants of a labeller's answers (key, answer) on the quality of examples."""
     fields = ("coverage_status", "positive_quality_note", "negative_quality_note", "reason")
