@@ -15,7 +15,7 @@ from .catalogue import collapse_sql, query
 from .functions import labels as L
 from .functions import text as T
 from .functions.jsonx import first_array_udf, judge_object_udf, llm_object_udf
-from .operators import metrics, present, rules, samples, snippets
+from .operators import metrics, payloads, present, rules, samples, snippets
 from .plans import generate
 from .session import table
 from .sources import readers
@@ -424,3 +424,38 @@ def generated_rows(spark: SparkSession, sf: str) -> DataFrame:
     out = c._folder(spark, "generated")
     generate.generate(p, _model, out, least_kept=2, rounds=2, judge=_supervisor)
     return generate.rows_of(spark, out)
+
+
+# --- payloads of tables ------------------------------------------------------------------------
+
+
+def table_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """A table of two rows about every labelled document, in one of six shapes."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    yes, score = F.when(F.col("toxic") == 1, "no").otherwise("Yes"), F.col("n_chars").cast("string")
+    model, human = F.when(F.col("quality") == 1, "Pass").otherwise("fail"), F.when(F.col("doc_id") % 5 == 0, "").when(F.col("quality") == 1, "fail").otherwise("compliant")
+    h = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    cells = {"add": yes, "rule": F.col("source"), "score": score, "text": h, "model_label": model, "qwen_label": F.lit("Skip"), "final_label": human}
+    seven = F.array(*cells.values())
+    eight = F.array(yes, F.col("source"), score, F.col("lang"), h, model, F.lit("Skip"), human)
+    nine = F.array(yes, F.lit("t"), F.col("source"), score, h, model, F.lit("Skip"), human, F.lit("beyond"))
+    bare = F.struct(*[x.alias(n) for n, x in cells.items()])
+    twice = lambda x: F.to_json(F.array(x, x))
+    heads = F.to_json(F.array(*[F.lit(n) for n in cells]))
+    objects = F.concat(F.lit("["), *[F.lit(f'{", " if i else ""}{{"{"name" if i % 2 else "id"}": " {n} "}}') for i, n in enumerate(cells)], F.lit("]"))
+    kind = F.col("doc_id") % 6
+    payload = (
+        F.when(kind == 0, twice(bare)).when(kind == 1, twice(eight)).when(kind == 2, F.concat(F.lit("[7, "), F.to_json(seven), F.lit(", "), F.to_json(nine), F.lit("]")))
+        .when(kind == 3, F.concat(F.lit('{"headers": [], "columns": '), heads, F.lit(', "data": '), twice(seven), F.lit("}")))
+        .when(kind == 4, F.concat(F.lit('{"headers": '), objects, F.lit(', "data": '), twice(seven), F.lit("}"))).otherwise(F.concat(F.lit('{"data": '), twice(bare), F.lit("}")))
+    )
+    return d.select(F.col("doc_id").alias("id"), payload.alias("payload"))
+
+
+@query(
+    """select doc_id as id, cast(n as integer) as row_n, toxic <> 1 as approved, source as rule_id, cast(n_chars as double) as score, md5(coalesce(text, '')) as text, case when quality = 1 then 'Compliant' else 'Non-Compliant' end as model_label, '' as reviewer_label,
+    case when doc_id % 5 = 0 then case when quality = 1 then 'Compliant' else 'Non-Compliant' end when quality = 1 then 'Non-Compliant' else 'Compliant' end as final_label from documents join labels using (doc_id), (values (0), (1)) r(n)"""
+)
+def table_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Review rows of payloads of all shapes, which say the same."""
+    return payloads.review_rows(payloads.records(table_payload(spark, sf)))
