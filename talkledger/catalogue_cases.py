@@ -18,7 +18,7 @@ from .functions.jsonx import first_array_udf, judge_object_udf, llm_object_udf
 from .operators import metrics, payloads, present, rules, samples, snippets
 from .plans import generate
 from .session import table
-from .sources import readers
+from .sources import readers, sinks
 
 #: (rows of a table as id and own text) in Spark, and the same in SQL.
 SOURCES = {
@@ -459,3 +459,34 @@ def table_payload(spark: SparkSession, sf: str) -> DataFrame:
 def table_payloads(spark: SparkSession, sf: str) -> DataFrame:
     """Review rows of payloads of all shapes, which say the same."""
     return payloads.review_rows(payloads.records(table_payload(spark, sf)))
+
+
+# --- measures and tables that had no query of their own ----------------------------------------
+
+
+@query(
+    f"""with y as ({c._metrics_sql("lang")}), {c._LAB}, k as (select * from lab qualify row_number() over (partition by lang order by doc_id) <= 4),
+    x as (select lang, string_agg(concat(doc_id, ':', expected, ':', predicted, ':', md5(coalesce(text, ''))), ',' order by doc_id) as examples from k group by lang) select y.*, examples from y left join x using (lang)"""
+)
+def anchor_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """The measures of each language with its first four documents."""
+    rows = c._labelled(spark, sf).withColumns({"pos": F.col("doc_id"), "phrase": F.md5(F.coalesce("text", F.lit("")).cast("binary"))})
+    said = F.transform("examples", lambda x: F.concat_ws(":", x["pos"].cast("string"), x["expected"], x["predicted"], x["phrase"]))
+    return metrics.with_examples(rows, ["lang"]).withColumn("examples", F.array_join(said, ","))
+
+
+@query("select doc_id, case when quality = 1 then cast(n_chars as double) else least(try_cast(source as double), cast(toxic as double), cast(n_chars as double) / 10) end as cell from (select doc_id, quality, toxic, n_chars, '0' as source from documents join labels using (doc_id))")
+def rule_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """What a table shows for a rule: its score, or the least of its claims' where it has none."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    score = F.when(F.col("quality") == 1, F.col("n_chars").cast("string")).otherwise("n/a")
+    claims = F.array(F.lit("none"), F.col("toxic").cast("string"), (F.col("n_chars") / 10).cast("string"))
+    return d.select("doc_id", present.rule_cell(score, claims).alias("cell"))
+
+
+@query("select doc_id, case when quality = 1 then 'train' else 'test' end as split from labels")
+def split_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels written by split and read again."""
+    f = c._folder(spark, "split")
+    sinks.write_split(table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "train").otherwise("test").alias("split")), f)
+    return spark.read.parquet(f).select("doc_id", "split")

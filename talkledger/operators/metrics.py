@@ -35,6 +35,16 @@ def classification(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def with_examples(rows: DataFrame, by: Sequence[str], n: int = 4) -> DataFrame:
+    """The measures of each key, and its first n rows (pos, phrase, expected, predicted, score) as examples.
+
+    Which rows these are is decided before the shuffle as well, so a hot key is n rows a task."""
+    first = F.row_number().over(Window.partitionBy(*by).orderBy("pos"))
+    one = F.struct("pos", "phrase", "expected", "predicted", F.round("score", 6).alias("score"))
+    listed = rows.filter(F.col("expected").isin(PASS, FAIL)).withColumn("first__", first).filter(F.col("first__") <= n).groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("examples"))
+    return classification(rows, by).join(listed, list(by), "left")
+
+
 def average_precision(rows: DataFrame) -> DataFrame:
     """ap of rows (label 0 or 1, score): the sum of recall steps times precision over distinct scores; 0 with one class.
 
