@@ -143,36 +143,35 @@ def units(span: Column) -> Column:
     return F.filter(F.concat(own, groups), lambda u: (u["value"] != "") | F.endswith(u["kind"], F.lit(":any")))
 
 
-def disclosures(docs: DataFrame, copies: DataFrame, held: DataFrame, terms: DataFrame, total: int, generalise_at: float) -> DataFrame:
-    """kind, value, term, disclosure of the pairs beyond the threshold.
+def term_counts(docs: DataFrame, copies: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, df: how many different texts of the whole corpus have each of the terms.
 
-    copies: tkey, copies, of texts in several rows; held: kind, value, tkey, n_c; terms: tkey, term, beside (how many texts with any entity have it); total: the number of different texts."""
-    # The threshold bounds a term's frequency, smoothing aside: df <= n_ct (N / n_c)^(1 - threshold). The texts with any
-    # entity are a lower bound of df, so pairs beyond that can't pass and needn't be counted.
-    room = F.pow(F.lit(float(max(total, 1))) / F.col("n_c"), F.lit(1 - generalise_at)) * (1 + 1e-9)
-    pairs = held.join(terms, "tkey").filter(F.col("beside") <= F.col("n_c") * room)
-    pairs = pairs.groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.max("n_c").alias("n_c"), F.max("beside").alias("beside"))
-    pairs = pairs.filter((F.col("n_ct") >= least_texts(generalise_at)) & (F.col("beside") <= F.col("n_ct") * room)).drop("beside")
-    pairs = materialize(pairs, "pii-pairs")
-    candidates = materialize(pairs.select("term").distinct(), "pii-terms")
-    n_terms = candidates.count()
-    # How many different texts have each candidate, over the whole corpus; without candidates there is nothing to count.
-    # A row counts for its share among the copies of its text, so that the sums need no list of texts.
+    A row counts for its share among the copies of its text (tkey, copies: of texts in several rows), so that the sums need no list of texts."""
     terms_of = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))
     rows = docs.select(F.xxhash64("text").alias("tkey"), "text")
     rows = rows.join(F.broadcast(copies) if copies.count() <= BROADCAST_TERMS else copies, "tkey", "left")
     has = rows.select((1 / F.coalesce("copies", F.lit(1))).alias("share"), F.explode(terms_of).alias("term"))
-    if n_terms == 0:
-        has = has.limit(0)
-    elif n_terms <= BROADCAST_TERMS:
-        has = has.join(F.broadcast(candidates), "term", "left_semi")
-    df = has.groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("df"))
-    scored = pairs.join(df, "term").withColumn("df", F.greatest("df", "n_ct"))  # a few letters change the length of a run in lower case
-    content = F.log2(F.lit(float(max(total, 1))) / F.col("n_c"))
+    n = terms.count()
+    has = has.join(F.broadcast(terms), "term", "left_semi") if n <= BROADCAST_TERMS else has
+    return (has if n else has.limit(0)).groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("df"))
+
+
+def disclosures(held: DataFrame, terms: DataFrame, total: int, generalise_at: float) -> DataFrame:
+    """kind, value, term, disclosure of the pairs beyond the threshold.
+
+    held: kind, value, tkey, n_c; terms: tkey, term, beside (how many texts with any entity have it), df; total: the number of different texts."""
+    whole = F.lit(float(max(total, 1)))
+    # The threshold bounds what a term's frequency can be beside an entity, smoothing aside: df <= n_ct (N / n_c)^(1 - threshold), and
+    # n_ct is at most n_c and at most beside. That leaves out all words that are as frequent elsewhere, before pairs are counted.
+    room = F.pow(whole / F.col("n_c"), F.lit(1 - generalise_at)) * (1 + 1e-9)
+    pairs = held.join(terms, "tkey").filter(F.col("df") <= F.least("n_c", "beside") * room)
+    pairs = pairs.groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.max("n_c").alias("n_c"), F.max("df").alias("df"))
+    pairs = pairs.filter((F.col("n_ct") >= least_texts(generalise_at)) & (F.col("df") <= F.col("n_ct") * room))
     few = F.least("n_c", "df")
     smooth = F.col("n_ct") / (F.col("n_ct") + 1) * few / (few + 1)
-    score = smooth * F.log2(F.lit(float(max(total, 1))) * F.col("n_ct") / (F.col("n_c") * F.col("df"))) / content
-    scored = scored.withColumn("disclosure", F.when(content > 0, score)).filter(F.col("disclosure") >= generalise_at)
+    content = F.log2(whole / F.col("n_c"))
+    score = smooth * F.log2(whole * F.col("n_ct") / (F.col("n_c") * F.col("df"))) / content
+    scored = pairs.withColumn("disclosure", F.when(content > 0, score)).filter(F.col("disclosure") >= generalise_at)
     return scored.select("kind", "value", "term", "disclosure")
 
 
@@ -185,9 +184,10 @@ def shown_terms(docs: DataFrame, base: DataFrame, copies: DataFrame, total: int,
     held = materialize(held.join(often, ["kind", "value"]), "pii-held")
     terms = base.filter(F.size("terms") > 0).join(held.select("tkey").distinct(), "tkey", "left_semi").select("tkey", F.explode("terms").alias("term")).distinct()
     terms = materialize(terms, "pii-near")
-    beside = terms.groupBy("term").agg(F.count(F.lit(1)).alias("beside")).filter(F.col("beside") >= least)
-    terms = terms.join(beside, "term")
-    return held, materialize(disclosures(docs, copies, held, terms, total, generalise_at), "pii-shown"), terms
+    beside = materialize(terms.groupBy("term").agg(F.count(F.lit(1)).alias("beside")).filter(F.col("beside") >= least), "pii-terms")
+    counts = beside.join(term_counts(docs, copies, beside.select("term")), "term").withColumn("df", F.greatest("df", "beside"))  # a few letters change the length of a run in lower case
+    terms = terms.join(materialize(counts, "pii-counts"), "term")
+    return held, materialize(disclosures(held, terms, total, generalise_at), "pii-shown"), terms
 
 
 def _general(term: Column) -> Column:
