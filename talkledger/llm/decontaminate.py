@@ -1,9 +1,10 @@
 """Benchmark decontamination (operator 9): DataFrame functions only.
 
 The benchmark's windows of `n` consecutive words (an item of fewer words is one window)
-form a hash set. Every document's windows are hashed in one pass over its words: a window's
-hash is that of its first two and last two words. It is looked up in the set, which is broadcast
-if its counted size allows that, else meets all hashes in a shuffle; then all words of the window
+form a hash set. Every document's windows are hashed in one pass over its words: hashes of two, four and
+more words are made of each other, and a window's of the two that cover it, so all its words count and frequent
+words at its ends bring no candidates. It is looked up in the set, which is broadcast
+if its counted size allows that; else what a bit filter of fixed size lets pass meets the set in a shuffle. Then all words of the window
 are compared, for which in the second case only documents with candidates are fetched. Hits mark
 words, or remove spans or documents.
 
@@ -30,6 +31,8 @@ RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Up to so many windows are broadcast: some 200 bytes each, 40 MB in all.
 BROADCAST_WINDOWS = 200_000
+#: Bits of the filter before a shuffle, in words of 64, which are at most as many rows of two numbers: some 20 MB.
+FILTER_BITS = 1 << 25
 
 
 def words_of(text: Column) -> Column:
@@ -48,7 +51,8 @@ def _key(text: Column) -> Column:
 def hashed(df: DataFrame, sizes: list[int]) -> DataFrame:
     """df (words) exploded: len, at, h of each place and size of window.
 
-    h is made of the first two and the last two words, so a word is hashed once, however long the windows; in
+    h is made of the hashes of the first and the last k words, k the largest power of two in the window, which are made of those
+    of half as many: a word is hashed once, however long the windows, in
     lower case beyond ASCII too, which is faster. The last places of a text have windows that end beyond it, and a
     text without words has a row of nulls (outer: else the optimizer asks below for arrays that aren't empty, and
     computes all of this twice). Both match nothing once words are compared."""
@@ -56,8 +60,12 @@ def hashed(df: DataFrame, sizes: list[int]) -> DataFrame:
     both = lambda x, y: F.xxhash64(x, y)
     behind = lambda of, n: F.slice(of, n + 1, F.size("words"))
     df = df.withColumn("h1", F.transform("words", lambda w: F.xxhash64(F.lower(w))))
-    df = df.withColumn("h2", F.zip_with("h1", behind("h1", 1), both))
-    of = lambda n: F.col("h1") if n == 1 else F.col("h2") if n == 2 else F.zip_with("h2", behind("h2", n - 2), both)
+    widest = lambda n: 1 << (n.bit_length() - 1)
+    k = 1
+    while k < widest(max(sizes)):
+        df = df.withColumn(f"h{2 * k}", F.zip_with(f"h{k}", behind(f"h{k}", k), both))
+        k *= 2
+    of = lambda n: F.col(f"h{n}") if n == widest(n) else F.zip_with(f"h{widest(n)}", behind(f"h{widest(n)}", n - widest(n)), both)
     if len(sizes) == 1:
         return df.select(*kept, F.posexplode_outer(of(sizes[0])).alias("at", "h")).withColumn("len", F.lit(sizes[0]))
     parts = [F.transform(of(n), lambda h, i: F.struct(F.lit(n).alias("len"), i.alias("at"), h.alias("h"))) for n in sizes]  # noqa: B023
@@ -73,6 +81,14 @@ def item_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     return w.groupBy("len", "h", "key").agg(F.collect_set("item_id").alias("items"))
 
 
+def passed(rows: DataFrame, windows: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """rows whose h may be one of the windows': the others are sure not to be. The filter is as large for any number of windows."""
+    at = F.pmod(F.col("h"), F.lit(bits))
+    word, bit = F.floor(at / 64).cast("int"), (at % 64).cast("int")
+    held = windows.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("one")).groupBy("word").agg(F.bit_or("one").alias("bits"))
+    return rows.withColumn("word", word).join(F.broadcast(held), "word").filter(F.getbit("bits", bit) == 1).drop("word", "bits")
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, tkey, spans (start, end in words, sorted), items: one row for each document with hits."""
     windows = materialize(item_windows(benchmark, n), "bench-windows")
@@ -83,7 +99,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, broadcast_
         scanned = hashed(tokens, sizes)
         hit = scanned.join(F.broadcast(windows.withColumnRenamed("len", "w_len")), "h")
     else:
-        scanned = hashed(tokens, sizes).select("tkey", "len", "at", "h")
+        scanned = passed(hashed(tokens, sizes).select("tkey", "len", "at", "h"), windows)
         hit = scanned.join(windows.select("h").distinct(), "h", "left_semi").distinct()
         hit = materialize(hit.groupBy("tkey").agg(F.collect_list(F.struct("len", "at", "h")).alias("runs")), "bench-candidates")  # at most a document's words
         hit = tokens.join(hit, "tkey").select("doc_id", "tkey", "words", F.inline("runs")).join(windows.withColumnRenamed("len", "w_len"), "h")

@@ -191,6 +191,22 @@ def test_decontamination(spark, limit):
     assert [r["n_hit"] for r in decontaminate.mark_hits(same, bench, broadcast_windows=limit).collect()] == [2] * 3
 
 
+def test_frequent_ends_of_windows_bring_no_candidates(spark):
+    """Windows that differ anywhere have different hashes; a filter lets all of the set pass, and few others."""
+    rng = random.Random(6)
+    said = [["of", "the"] + [f"m{rng.randint(0, 9)}" for _ in range(n - 4)] + ["in", "the"] for n in (5, 6, 7, 8, 9, 10) for _ in range(60)]
+    df = spark.createDataFrame([(n, w) for n, w in enumerate(said)], "i int, words array<string>")
+    rows = decontaminate.hashed(df, list(range(5, 11))).filter("at = 0 and len = size(words)").collect()
+    assert len(rows) == len(said) and len({r["h"] for r in rows}) == len({tuple(w) for w in said})
+    one = spark.createDataFrame([(["a", "b"],), (["A", "b"],), (["b", "a"],)], "words array<string>")
+    assert decontaminate.hashed(one, [2]).filter("at = 0").select("h").distinct().count() == 2
+    windows = spark.range(1000).select(F.xxhash64("id").alias("h"))
+    rows = windows.withColumn("mine", F.lit(True)).unionByName(spark.range(5000, 25000).select(F.xxhash64("id").alias("h"), F.lit(False).alias("mine")))
+    got = decontaminate.passed(rows, windows, 1 << 16).groupBy("mine").count().collect()
+    got = {r["mine"]: r["count"] for r in got}
+    assert got[True] == 1000 and 0 < got.get(False, 0) < 2000
+
+
 def test_decontamination_removes(spark):
     passage = " ".join(f"w{n}" for n in range(12))
     texts = ["one two three four five six seven eight nine ten eleven twelve, " + passage + ". The end", passage, "clean  text\n", None]
