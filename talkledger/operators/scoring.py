@@ -72,11 +72,14 @@ def hits(chunks: DataFrame, claims: DataFrame, s: Settings = Settings(), retriev
     """transcript_id, claim_id, chunk_id, chunk, retr, rank, ver: the best chunks of each transcript for each claim, scored.
 
     Retriever and verifier see the different words of either side. Only what the retriever keeps meets the verifier."""
-    c = claims.select("claim_id", F.array_distinct(words(F.lower("anchor"))).alias("claim_words"))
-    w = chunks.withColumn("chunk_words", F.array_distinct(words(F.lower("chunk"))))
-    pairs = against(w, c).withColumn("retr", retrieve(F.col("claim_words"), F.col("chunk_words")))
+    different = lambda x: F.array_distinct(words(F.lower(x)))
+    c = claims.select("claim_id", "anchor", different("anchor").alias("claim_words"))
+    w = chunks.withColumn("chunk_words", different("chunk"))
+    pairs = against(w, c).select("transcript_id", "claim_id", "chunk_id", "chunk", "anchor", retrieve(F.col("claim_words"), F.col("chunk_words")).alias("retr"))
     rank = F.row_number().over(Window.partitionBy("transcript_id", "claim_id").orderBy(F.desc("retr"), "chunk_id"))
     best = pairs.withColumn("rank", rank).filter(F.col("rank") <= s.top_k)
+    # The words of what is kept again: cheaper than to sort them with all that is not.
+    best = best.withColumns({"claim_words": different("anchor"), "chunk_words": different("chunk")})
     return best.select("transcript_id", "claim_id", "chunk_id", "chunk", "retr", "rank", verify(F.col("claim_words"), F.col("chunk_words")).alias("ver"))
 
 
