@@ -64,7 +64,7 @@ NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside widget widgets footer masthead topbar header cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus replies reply respond pagination pager search toolbar skip legal copyright disclaimer tagcloud outbrain taboola paywall".split()
 )
 #: Words that may stand beside those in a compound name, which say where or what kind of box it is and nothing of its contents.
-BESIDE = frozenset("area bar block bottom box btn button buttons col column container content cta feed form global group holder icon icons inner item items js left link links list local main mobile module outer page panel post posts primary right row secondary section site slot social sticky top unit user wrap wrapper".split())
+BESIDE = frozenset("area article bar block blog body bottom box btn button buttons col column container content cta entry feed form global group holder icon icons inner item items js left link links list local main mobile module outer page panel post posts primary right row secondary section site slot social sticky story top unit user wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog alert form toolbar".split())
 _START = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
 _ATTR = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+")
