@@ -161,7 +161,9 @@ def report(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
 
 def keep_good(docs: DataFrame, labelled: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject, with all columns. labelled: what it learns from."""
+    """The rows of docs that the classifier doesn't reject, with all columns. labelled: what it learns from.
+
+    Null and empty texts are scored like any other; rows that are equal stay or go together; without labels the score is that of no rule."""
     score = score_column(learn(labelled, labels, sample))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     # A filter would be pushed below the statistics, which would then be computed anew for each rule that

@@ -344,7 +344,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, errors: int
     so on. The `batch` most central texts (`batch_bytes` at most) are settled in one task, then the
     rest of the component is held against what they keep, in parts of as many, round by round until
     all are settled. Equal texts are one from the start, under their smallest doc_id. Rows of equal
-    doc_id and text are one, too.
+    doc_id and text are one, too. Defined cases: null and empty texts are equal texts, so one row of them all stays; a null
+    doc_id stands as the largest number, so another one leads; an empty table gives an empty result; all columns are handed through.
 
     Texts are told apart by `key`, 64 bits, and where two share it by 64 more of another seed: of 10^10
     texts a few pairs do, which are found by comparing the other hash within each key."""
