@@ -266,23 +266,52 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _greedy(frame: pd.DataFrame, shingle: int, least: float) -> pd.DataFrame:
-    """tkey, kept of one component's batch, by rank: a text that is similar to no kept one before it is kept."""
+class SetIndex:
+    """Sorted sets by their members: what they share with another set is counted for all of them at once."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        every = np.concatenate([np.zeros(0, np.uint64), *sets])
+        order = np.argsort(every, kind="stable")
+        self.members, self.owners = every[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def holds_similar(self, own: np.ndarray, least: float) -> bool:
+        """Whether one of the sets has a `similarity` of `least` or more with another one."""
+        if not len(self.sizes):
+            return False
+        if not len(own):
+            return bool((self.sizes == 0).any()) or least <= 0
+        lo, hi = np.searchsorted(self.members, own, "left"), np.searchsorted(self.members, own, "right")
+        n = hi - lo
+        at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+        both = np.bincount(self.owners[at], minlength=len(self.sizes))
+        return bool((both / (self.sizes + len(own) - both) >= least).any())
+
+
+def _greedy(frame: pd.DataFrame, shingle: int, least: float, step: int = 64) -> pd.DataFrame:
+    """tkey, kept of one component's batch, by rank: a text that is similar to no kept one before it is kept.
+
+    Those kept are an index, made anew for every `step` more of them; only these are compared one by one."""
     kept: list[np.ndarray] = []
+    fresh: list[np.ndarray] = []
+    index = SetIndex(kept)
     out = []
     for tkey, text in frame.sort_values("rank")[["tkey", "text"]].itertuples(index=False):
         own = shingle_hashes(bytes(text), shingle)
-        new = not any(similarity(own, k) >= least for k in kept)
+        new = not index.holds_similar(own, least) and not any(similarity(own, k) >= least for k in fresh if min(len(k), len(own)) >= least * max(len(k), len(own)) - 1e-6)
         if new:
-            kept.append(own)
+            fresh.append(own)
+            if len(fresh) >= step:
+                kept, fresh = kept + fresh, []
+                index = SetIndex(kept)
         out.append((tkey, new))
     return pd.DataFrame(out, columns=["tkey", "kept"])
 
 
 def _held_against(rest: pd.DataFrame, leads: pd.DataFrame, shingle: int, least: float) -> pd.DataFrame:
     """tkey, same: whether each text of rest is similar to any of leads."""
-    sets = [shingle_hashes(bytes(t), shingle) for t in leads["text"]]
-    same = [any(similarity(own, k) >= least for k in sets) for own in (shingle_hashes(bytes(t), shingle) for t in rest["text"])]
+    index = SetIndex([shingle_hashes(bytes(t), shingle) for t in leads["text"]])
+    same = [index.holds_similar(shingle_hashes(bytes(t), shingle), least) for t in rest["text"]]
     return pd.DataFrame({"tkey": rest["tkey"].astype("int64"), "same": same})
 
 
@@ -331,7 +360,7 @@ def _distinguished(rows: DataFrame, by: DataFrame) -> DataFrame:
     return rows.join(by, "tkey", "left").withColumn("tkey", own).drop("clash")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, errors: int = 7, batch: int = 256, batch_bytes: int = 32 << 20, key: Callable[[Column], Column] = text_hash) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, errors: int = 7, batch: int = 2048, batch_bytes: int = 32 << 20, key: Callable[[Column], Column] = text_hash) -> DataFrame:
     """docs with one row of each group of near copies.
 
     Candidates are components of two kinds of links: word-set fingerprints that differ in at most

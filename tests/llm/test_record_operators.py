@@ -392,3 +392,26 @@ def test_shards_cut_few_links(spark):
     assert away({r["doc_id"]: r["shard"] for r in rows}) < 0.1 * simple
     sizes = Counter(r["shard"] for r in rows)
     assert max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_batches_are_compared_at_once(monkeypatch):
+    """What is kept is an index: only the last few kept texts are compared one by one."""
+    import pandas as pd
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randint(0, 300)}" for _ in range(rng.choice([0, 3, 30, 31]))).encode() for _ in range(400)]
+    texts += [t + b" more" for t in texts[:100]]
+    sets = [simhash.shingle_hashes(t, 5) for t in texts]
+    kept = []
+    for n, s in enumerate(sets):
+        if not any(simhash.similarity(s, sets[k]) >= 0.8 for k in kept):
+            kept.append(n)
+    asked = []
+    plain = simhash.similarity
+    monkeypatch.setattr(simhash, "similarity", lambda a, b: asked.append(1) or plain(a, b))
+    frame = pd.DataFrame({"tkey": range(len(texts)), "rank": range(len(texts)), "text": texts})
+    got = simhash._greedy(frame, 5, 0.8)
+    assert got.loc[got["kept"], "tkey"].tolist() == kept
+    assert len(asked) < len(texts) * 64  # before, each with all that were kept: some 80,000
+    same = simhash._held_against(frame[300:], frame[:300], 5, 0.8)["same"].tolist()
+    assert same == [any(plain(sets[i], sets[j]) >= 0.8 for j in range(300)) for i in range(300, len(texts))]
