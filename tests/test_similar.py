@@ -81,3 +81,20 @@ def test_coverage_extension_and_merge(spark):
     assert "ZZZ" in {r["dialogue"] for r in merged.collect()}
     none, zero = coverage.merge_extensions(made, made.limit(0))
     assert tuple(zero.first()) == (0, 0) and none.count() == 5
+
+
+def test_common_subsequences_at_once_and_copies_compared_once():
+    import numpy as np
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcde é", k=rng.choice([0, 1, 20, 63, 64, 65, 127, 128, 129, 200]))) for _ in range(120)]
+    index = similar.BlockIndex(texts, np.arange(len(texts)))
+    for a in [t for t in texts if t][:40] + ["zz", "a" * 64, "ab" * 64]:
+        want = [similar.common_subsequence(similar.places(a), len(a), b) for b in index.texts]
+        assert index.common(a, np.arange(len(index.texts))).tolist() == want
+    few = [t for t in dict.fromkeys(texts) if len(t) > 10][:20]
+    index = similar.BlockIndex(few * 50, np.arange(1000))
+    found = index.near("abcde edcba abcde", 3, np.arange(1000))
+    assert index.asked <= 20  # not 50 times as many
+    met = sorted((-float(similar.rounded(ratio("abcde edcba abcde", t))) if t == " ".join(t.lower().split()) else -float(similar.rounded(similar.matching_ratio("abcde edcba abcde", t))), n) for n, t in enumerate(few * 50))
+    assert [(s, p) for s, p, _ in found] == met[:3]
