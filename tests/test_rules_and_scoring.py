@@ -84,3 +84,36 @@ def test_stated_sets_in_blocks(spark):
     whole = sorted(map(tuple, scoring.against(rows, stated).collect()))
     assert len(whole) == 70 and sorted(map(tuple, scoring.against(rows, stated, most=3).collect())) == whole
     assert scoring.against(rows, stated.limit(0), most=3).count() == 0
+
+
+def test_top_k_in_blocks(spark):
+    """Ties, copies and vectors without a cosine, in blocks of a few rows, against every pair."""
+    import random
+
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    from talkledger.operators import scoring
+
+    rng = random.Random(5)
+    rows = [(n, [float(rng.randint(-2, 2)) for _ in range(4)]) for n in range(60)]
+    rows += [(60, None), (61, [0.0] * 4), (62, [1.0, None, 0.0, 0.0]), (63, [1.0, 2.0]), (64, rows[1][1]), (65, rows[1][1]), (66, [float("nan"), 0.0, 1.0, 0.0]), (67, [])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = e.filter("vec_id % 3 = 0 or vec_id > 59")
+    pairs = e.crossJoin(q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))).select("query_id", "vec_id", F.round(scoring.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    want = sorted(map(str, pairs.withColumn("rank", rank).filter("rank <= 4").collect()))
+    for block in (8192, 7):
+        assert sorted(map(str, scoring.top_k(q, e, 4, q.count(), block).select("query_id", "vec_id", "score", "rank").collect())) == want
+    assert scoring.top_k(q.limit(0), e, 4, 0).count() == 0
+
+
+def test_half_up_is_sparks(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from talkledger.operators import scoring
+
+    x = [0.1234565, 0.1234575, -0.0000005, 0.0000005, 0.9999995, 0.12345649999999, 1e-9, -1e-9, 0.0, *np.random.default_rng(1).uniform(-1, 1, 200).tolist()]
+    want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 6)).collect()]
+    assert scoring.half_up(np.array([x])).tolist() == [want]
