@@ -92,7 +92,14 @@ def generate(prompts: DataFrame, client: Client, output: str, least_kept: int =
         open_ = open_.join(last, KEY, "left")
         # Asked once: the answers are a table before anything is computed from them.
         ask(open_, client, number, judge).write.mode("overwrite").parquet(f"{output}/answers-{number}")
+
+        def stored(df: DataFrame, name: str, number: int = number) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{output}/{name}-{number}")
+            return spark.read.schema(df.schema).parquet(f"{output}/{name}-{number}")
+
         tried, kept = assessed(spark.read.schema(_ANSWER).parquet(f"{output}/answers-{number}"), least_kept, min_words)
+        # Both are used more than once, or cost much beside what a join keeps of them: tables, too.
+        tried, kept = stored(tried, "tried"), stored(kept, "judged")
         rows = kept.join(tried.filter("accepted"), "answer_id")
         rows = rows.select(*KEY, F.when(F.col("label") == "Compliant", "compliant").otherwise("non-compliant").alias("type"), strip(F.lower("text")).alias("dialogue"), F.col("input_len").alias("source_batch_size"), F.col("kept").alias("kept_after_filter"), F.col("score").alias("supervisor_score"))
         rows.write.mode("overwrite").parquet(f"{output}/rows/round={number}")

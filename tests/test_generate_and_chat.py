@@ -109,3 +109,19 @@ def test_answers_over_http_are_kept(spark, tmp_path):
     assert {r["id"]: r["answer"] for r in chat.answers(df, client, kept, limits).collect()} == {i: a for i, (a, _) in got.items()}
     assert {b["messages"][1]["content"] for b in Model.asked} == {"down", "odd"}  # only what has no answer
     server.shutdown()
+
+
+def test_a_round_computes_its_parts_once(spark, tmp_path):
+    """What the rows, the attempts and the counts of a round share are tables, written once."""
+    import json
+    import os
+
+    from talkledger.plans import generate
+
+    prompts = spark.createDataFrame([("r", "s", n, "", f"p{n}") for n in range(4)], "rule_id string, scenario string, prompt_index int, system_instruction string, user_prompt string")
+    answer = json.dumps([{"label": "Compliant", "text": "one two three four five"}, {"label": "odd", "text": "dropped"}])
+    out = str(tmp_path / "out")
+    assert generate.generate(prompts, lambda system, prompt, hint, number: answer if prompt != "p3" else "no", out, least_kept=1, rounds=1) == {"done": 3, "left": 1}
+    assert {"judged-0", "tried-0"} <= set(os.listdir(out))
+    assert spark.read.parquet(f"{out}/judged-0").count() == 3 and spark.read.parquet(f"{out}/tried-0").count() == 4
+    assert generate.rows_of(spark, out).count() == 3
