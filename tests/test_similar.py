@@ -98,3 +98,25 @@ def test_common_subsequences_at_once_and_copies_compared_once():
     assert index.asked <= 20  # not 50 times as many
     met = sorted((-float(similar.rounded(ratio("abcde edcba abcde", t))) if t == " ".join(t.lower().split()) else -float(similar.rounded(similar.matching_ratio("abcde edcba abcde", t))), n) for n, t in enumerate(few * 50))
     assert [(s, p) for s, p, _ in found] == met[:3]
+
+
+def test_pairs_are_matched_at_once_as_difflib_does():
+    import numpy as np
+
+    rng = random.Random(5)
+    for said in ("ab", "abcde é", "abcdefghijklmnop ß€"):
+        texts = ["".join(rng.choices(said, k=rng.choice([0, 1, 2, 5, 20, 64, 120, 199, 200, 250]))) for _ in range(60)]
+        index = similar.BlockIndex(texts, np.arange(60))
+        asking = [*texts[:20], "zz", "a" * 300, "ab" * 70]
+        of, some = np.repeat(np.arange(len(asking)), len(index.texts)), np.tile(np.arange(len(index.texts)), len(asking))
+        got = index.matched(asking, of, some).tolist()
+        assert got == [sum(m.size for m in SequenceMatcher(None, asking[a], index.texts[b]).get_matching_blocks()) for a, b in zip(of, some)]
+        assert index.alone == len(asking) * int((index.sizes >= 200).sum())
+        long = [t for t in asking if len(t) > 128]
+        assert all(index.common(a, np.arange(len(index.texts))).tolist() == [similar.common_subsequence(similar.places(a), len(a), b) for b in index.texts] for a in long)
+    words = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"], k=12)) for _ in range(300)]
+    index = similar.BlockIndex(words, np.arange(300))
+    items = [(t[3:-3].strip(), np.arange(300)) for t in words[:20]]
+    got = index.nearest(items, 2)
+    assert index.asked > 100 and index.alone == 0  # compared in full, but not one by one
+    assert [[(s, int(p)) for s, p, _ in f] for f in got] == [sorted((-float(similar.rounded(similar.matching_ratio(x, t))), n) for n, t in enumerate(words))[:2] for x, _ in items]
