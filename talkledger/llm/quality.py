@@ -111,10 +111,11 @@ def fit(x: np.ndarray, y: np.ndarray) -> dict:
     z = np.stack([_holds(r, x) for r in kept], axis=1).astype(float) if kept else np.zeros((len(y), 0))
     mean = z.mean(axis=0) if kept else np.zeros(0)
     scale = np.maximum(z.std(axis=0), 0.05) if kept else np.ones(0)
-    z = (z - mean) / scale
+    z -= mean  # in place, and its norm by its square: copies of it are the most that a fit has in memory
+    z /= scale
     # Proximal gradient steps with momentum on the logistic loss with an L1 penalty.
     w, v, bias, momentum = np.zeros(z.shape[1]), np.zeros(z.shape[1]), model["bias"], 1.0
-    rate = 4.0 / (np.linalg.norm(z, 2) ** 2 / len(y) + 1) if kept else 1.0
+    rate = 4.0 / (np.linalg.eigvalsh(z.T @ z)[-1] / len(y) + 1) if kept else 1.0
     for _ in range(600):
         p = 1 / (1 + np.exp(-(z @ v + bias)))
         step = v - rate * (z.T @ (p - y)) / len(y)
@@ -136,7 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("l_id"), "l_id").limit(sample))  # bounded by the parameter
     rows = with_statistics(docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("l_id")))
     # One row for each id, however often documents repeat it: no more than the sample comes to the driver.
-    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min(F.struct(*[f"s_{k}" for k in FEATURES])).alias("s")).select("y", "doc_id", "s.*").toPandas()
+    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min(F.struct(*[f"s_{k}" for k in FEATURES])).alias("s")).select("y", "doc_id", "s.*").toArrow().to_pandas()
     rows = rows.sort_values("doc_id")
     return fit(rows[[f"s_{k}" for k in FEATURES]].to_numpy(float), rows["y"].to_numpy(float))
 

@@ -86,20 +86,31 @@ def _blocks(count: int, errors: int, per_unit: int = 64) -> tuple[list[tuple[int
     return [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(n)], k
 
 
-def _reordered(fp: Column, chosen: tuple[int, ...], blocks: list[tuple[int, int]]) -> tuple[Column, Column]:
+def _reordered(fp: np.ndarray, chosen: tuple[int, ...], blocks: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """The bits with the chosen blocks on top, and those blocks alone."""
-    at, out = BITS, F.lit(0).cast("long")
-    key = None
+    at, out, key = BITS, np.zeros_like(fp), fp
     for n, i in enumerate([*chosen, *[i for i in range(len(blocks)) if i not in chosen]]):
         offset, bits = blocks[i]
         at -= bits
-        part = F.shiftrightunsigned(fp, offset).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-        out = out.bitwiseOR(F.shiftleft(part, at))
+        out = out | ((fp >> np.uint64(offset)) & np.uint64((1 << bits) - 1)) << np.uint64(at)
         if n == len(chosen) - 1:
-            key = F.shiftrightunsigned(out, at)
+            key = out >> np.uint64(at)
     return out, key
 
 
+def _keyed(fps: DataFrame, choices: list[tuple[int, ...]], blocks: list[tuple[int, int]]) -> DataFrame:
+    """choice, key, bits, fp: each fingerprint in the order of each choice. In tasks: as columns, hundreds of choices make a plan that fills the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column(0).to_numpy().view(np.uint64)
+            for n, chosen in enumerate(choices):
+                bits, key = _reordered(fp, chosen, blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), n, np.int32)), *(pa.array(x.view(np.int64)) for x in (key, bits, fp))], names=["choice", "key", "bits", "fp"])
+
+    return fps.select("fp").mapInArrow(run, "choice int, key long, bits long, fp long")
+
+
 def _roots(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
     while True:
         up = parent[x]
@@ -168,12 +179,8 @@ def link_forest(fps: DataFrame, count: int, errors: int = ERRORS, chunk: int = C
     spark = fps.sparkSession
     blocks, k = _blocks(count, errors)
     choices = list(combinations(range(len(blocks)), k))
-    rows = []
-    for n, chosen in enumerate(choices):
-        bits, key = _reordered(F.col("fp"), chosen, blocks)
-        rows.append(F.struct(F.lit(n).alias("choice"), key.alias("key"), bits.alias("bits")))
     depths = [sum(blocks[i][1] for i in chosen) for chosen in choices]
-    keyed = fps.select("fp", F.explode(F.array(*rows)).alias("r")).select("fp", "r.*")
+    keyed = _keyed(fps, choices, blocks)
     large = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > chunk)
     large = materialize(large.select("choice", "key", F.ceil(F.col("c") / chunk).cast("int").alias("chunks")), "simhash-large")
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
@@ -327,8 +334,9 @@ def _common(raw: DataFrame, shingle: int, texts: int = 20_000, most: int = 100_0
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], names=["tkey", "token"])
 
     counted = sample.select("tkey", "text").mapInArrow(run, "tkey long, token long").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    found = counted.orderBy(F.desc("c"), "token").limit(most).collect()
-    return np.array([r["token"] for r in reversed(found)], np.int64).view(np.uint64)
+    # As Arrow, tasks sort and cut them; rows would be sent by every partition, and be merged on the driver.
+    found = counted.orderBy(F.desc("c"), "token").limit(most).select("token").toArrow()
+    return found["token"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
 def prefix_links(texts: DataFrame, least: float, most: int = 32) -> DataFrame:

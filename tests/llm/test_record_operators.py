@@ -415,3 +415,24 @@ def test_batches_are_compared_at_once(monkeypatch):
     assert len(asked) < len(texts) * 64  # before, each with all that were kept: some 80,000
     same = simhash._held_against(frame[300:], frame[:300], 5, 0.8)["same"].tolist()
     assert same == [any(plain(sets[i], sets[j]) >= 0.8 for j in range(300)) for i in range(300, len(texts))]
+
+
+def test_fingerprint_links_have_a_small_plan(spark):
+    """The driver holds a plan's expressions several times over: their number may not grow with the choices of blocks."""
+    from itertools import combinations
+
+    values = [0, 5, -1, 1 << 40, -(1 << 63), (1 << 63) - 1, 0x123456789ABCDEF]
+    fps = spark.createDataFrame([(v,) for v in values], "fp long")
+    sizes = {}
+    for errors, count in ((4, 10), (7, 44_000), (7, 1 << 24)):
+        blocks, k = simhash._blocks(count, errors)
+        plan = simhash.link_forest(fps, count, errors)._jdf.queryExecution().analyzed().toString()
+        sizes[len(list(combinations(blocks, k)))] = len(plan)
+    assert min(sizes) == 5 and max(sizes) > 100 and max(sizes.values()) < 1.2 * min(sizes.values()) < 12_000
+    blocks, k = simhash._blocks(44_000, 7)
+    choices = list(combinations(range(len(blocks)), k))
+    cut = lambda v, i: v >> blocks[i][0] & (1 << blocks[i][1]) - 1
+    for r in simhash._keyed(fps, choices, blocks).collect():
+        order = [*choices[r["choice"]], *[i for i in range(len(blocks)) if i not in choices[r["choice"]]]]
+        told = "".join(f"{cut(r['fp'] % (1 << 64), i):0{blocks[i][1]}b}" for i in order)
+        assert int(told, 2) == r["bits"] % (1 << 64) and int(told[: sum(blocks[i][1] for i in order[:k])], 2) == r["key"]
