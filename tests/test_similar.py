@@ -120,3 +120,40 @@ def test_pairs_are_matched_at_once_as_difflib_does():
     got = index.nearest(items, 2)
     assert index.asked > 100 and index.alone == 0  # compared in full, but not one by one
     assert [[(s, int(p)) for s, p, _ in f] for f in got] == [sorted((-float(similar.rounded(similar.matching_ratio(x, t))), n) for n, t in enumerate(words))[:2] for x, _ in items]
+
+
+def test_rows_are_sent_once_for_many_items_of_a_cheap_measure(spark, monkeypatch):
+    from dataclasses import replace
+
+    rng = random.Random(7)
+    said = [f"w{n}" for n in range(60)]
+    items = spark.createDataFrame([(n, "p", rng.choice("CN"), " ".join([f"i{n}", *rng.choices(said, k=12)])) for n in range(200)], "item_id long, k string, want string, text string")
+    rows = spark.createDataFrame([("p", rng.choice("CN"), n, " ".join([f"r{n}", *rng.choices(said, k=12)])) for n in range(300)], "k string, label string, pos long, text string")
+    sent = spark.sparkContext.accumulator(0)
+    plain = similar.token_jaccard.index
+
+    def counted(texts, pos):
+        sent.add(len(texts))
+        return plain(texts, pos)
+
+    got = sorted(similar.nearest(items, rows, ["k"], replace(similar.token_jaccard, index=counted), 3).collect())
+    assert len(got) == 200 * 6
+    assert sent.value == 300  # not once more for every few items
+    monkeypatch.setattr(similar, "BYTES", 4000)  # long texts make more blocks
+    assert sorted(similar.nearest(items, rows, ["k"], replace(similar.token_jaccard, index=counted), 3).collect()) == got
+    assert sent.value > 600
+
+
+def test_word_sets_with_frequent_and_rare_words():
+    import numpy as np
+
+    rng = random.Random(8)
+    texts = ["", *[" ".join(sorted({rng.choice("ab"), *rng.choices([f"w{n}" for n in range(900)], k=rng.randint(0, 9))})) for _ in range(400)]]
+    pos = np.array(rng.sample(range(5000), len(texts)))
+    index = similar.TokenIndex(texts, pos)
+    assert 0 < len(index.matrix) < len(index.number)  # some words are frequent, some are not
+    some = np.array(sorted(rng.sample(range(len(texts)), 150)))
+    asked = ["", "a", "zz", *texts[:80]]
+    got = index.nearest([(t, some) for t in asked], 4)
+    for text, found in zip(asked, got, strict=True):
+        assert [(s, int(p)) for s, p, _ in found] == sorted((-float(similar.rounded(jaccard(text, texts[r]))), int(pos[r])) for r in some)[:4]
