@@ -4,9 +4,12 @@ and ranks that never gather one key in one task."""
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from pyspark.sql.window import Window
 
 
 _OWN: set[tuple[str, str]] = set()  # application, folder
+_SCRATCH: list[list[str]] = []  # the tables of each open `scratch`
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +59,38 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
     The files outlive any executor, so a lost one costs a task, not the stages before."""
     path = new_folder(df.sparkSession, tag)
+    for own in _SCRATCH[-1:]:
+        own.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.path__ = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that `materialize` writes within are deleted at its end, but for those that were handed to what it gives."""
+    own: list[str] = []
+    _SCRATCH.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        own.remove(df.path__)
+        for outer in _SCRATCH[-2:-1]:  # it is the enclosing one's from now on
+            outer.append(df.path__)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCRATCH.remove(own)
+        for path in own:
+            drop_folder(spark, path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that are over: else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def drop_folder(df_or_spark, path: str) -> None:
@@ -98,23 +132,29 @@ def components(edges: DataFrame, tag: str = "cc", most_rounds: int = 60) -> Data
     Alternating large-star and small-star steps. Minima are aggregates with map-side
     combine, joined back to a materialised table, so a node with very many links is
     split by the skew join and never collected."""
+    spark = edges.sparkSession
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = materialize(e, f"{tag}-edges")
     before = None
     for _ in range(most_rounds):
-        # Large star: the larger neighbours of u point at u's smallest neighbour, or u.
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{tag}-low")
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialize(large.filter("a <> b").distinct(), f"{tag}-large")
-        # Small star: u and its smaller neighbours point at the smallest of them.
-        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), f"{tag}-small")
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        e = materialize(small.filter("a <> b").distinct(), f"{tag}-edges")
+        old = e
+        with scratch(spark) as keep:
+            # Large star: the larger neighbours of u point at u's smallest neighbour, or u.
+            both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{tag}-low")
+            large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            large = materialize(large.filter("a <> b").distinct(), f"{tag}-large")
+            # Small star: u and its smaller neighbours point at the smallest of them.
+            low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), f"{tag}-small")
+            small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
+            e = keep(materialize(small.filter("a <> b").distinct(), f"{tag}-edges"))
+        drop_folder(spark, old.path__)
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
     else:
         raise RuntimeError("the components did not settle")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out.path__ = e.path__
+    return out

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_batches, components, materialize
+from .common import bound_batches, components, drop_folder, free_shuffles, materialize, scratch
 
 BITS = 64
 SHINGLE = 4
@@ -76,10 +76,13 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return raw.mapInArrow(run, schema)
 
 
-def _blocks(count: int, errors: int, per_unit: int = 64) -> tuple[list[tuple[int, int]], int]:
-    """(offset, bits) of the blocks, and how many of them must agree."""
+def _blocks(count: int, errors: int, per_unit: int = 64, most: int = 512) -> tuple[list[tuple[int, int]], int]:
+    """(offset, bits) of the blocks, and how many of them must agree.
+
+    Each fingerprint is sent once for each choice of k blocks: with 7 errors 8, 36 and 120 times for k of 1, 2 and 3. So from 2 on,
+    units grow to `most` before k does."""
     k = 1
-    while k < 8 and count >> (BITS * k // (errors + k)) > per_unit:
+    while k < 8 and count >> (BITS * k // (errors + k)) > (per_unit if k == 1 else most):
         k += 1
     n = errors + k
     cuts = [BITS * i // n for i in range(n + 1)]
@@ -186,20 +189,22 @@ def link_forest(fps: DataFrame, count: int, errors: int = ERRORS, chunk: int = C
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(mine, j).alias("lo"), F.greatest(mine, j).alias("hi")))
     one = F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))
-    dealt = keyed.join(large, ["choice", "key"], "left").select("choice", "key", "bits", "fp", F.explode(F.when(F.col("chunks").isNotNull(), pairs).otherwise(one)).alias("p"))
-    dealt = dealt.select("choice", "key", "p.lo", "p.hi", "bits", "fp")
+    dealt = keyed.join(large, ["choice", "key"], "left").select("choice", "key", "fp", F.explode(F.when(F.col("chunks").isNotNull(), pairs).otherwise(one)).alias("p"))
+    dealt = dealt.select("choice", "key", "p.lo", "p.hi", "fp")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count * len(choices) // 400_000)
     dealt = dealt.repartition(parts, "choice", "key", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = list(batches)  # the rows of a few units: 40 bytes each
+        got = list(batches)  # the rows of a few units: 28 bytes each
         if not got:
             return
         t = pa.Table.from_batches(got)
         choice, lo, hi = (t.column(c).to_numpy().astype(np.int64) for c in ("choice", "lo", "hi"))
-        key, bits, fp = (t.column(c).to_numpy().view(np.uint64) for c in ("key", "bits", "fp"))
+        key, fp = (t.column(c).to_numpy().view(np.uint64) for c in ("key", "fp"))
+        bits = np.zeros_like(fp)
         for n in np.unique(choice):
             at = np.flatnonzero(choice == n)
+            bits[at] = _reordered(fp[at], choices[n], blocks)[0]  # again, rather than sent
             at = at[np.lexsort((bits[at], hi[at], lo[at], key[at]))]
             units = np.stack([key[at].view(np.int64), lo[at], hi[at]])
             starts = np.concatenate([[0], np.flatnonzero((units[:, 1:] != units[:, :-1]).any(axis=0)) + 1])
@@ -349,6 +354,8 @@ def prefix_links(texts: DataFrame, least: float, most: int = 32) -> DataFrame:
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("fp").alias("b")).filter("c > 1")
     shared = materialize(shared, "dedup-shared")
     star = tokens.join(shared.filter(F.col("c") > most), "token").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    star = materialize(star, "dedup-star")
+    free_shuffles(texts.sparkSession)
     few = tokens.join(shared.filter(F.col("c") <= most).select("token"), "token").groupBy("token").agg(F.sort_array(F.collect_list(F.struct("tkey", "fp", "n", "rest"))).alias("m"))
     later = F.transform("m", lambda x, i: F.struct(x.alias("x"), F.slice(F.col("m"), i + 2, F.size("m")).alias("ys")))
     pairs = few.select(F.explode(later).alias("p")).select("p.x", F.explode("p.ys").alias("y"))
@@ -388,10 +395,16 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, errors: int
     texts a few pairs do, which are found by comparing the other hash within each key."""
     spark = docs.sparkSession
     bound_batches(spark)
+    with scratch(spark) as keep:  # all tables but two go with the last step
+        return _keep_one(docs, shingle, least, errors, batch, batch_bytes, key, keep)
+
+
+def _keep_one(docs: DataFrame, shingle: int, least: float, errors: int, batch: int, batch_bytes: int, key: Callable[[Column], Column], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    spark = docs.sparkSession
     did, said = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), F.coalesce(F.col("text"), F.lit(""))
     other = F.xxhash64(F.lit("talkledger"), said)
     clashes = docs.select(key(said).alias("tkey"), other.alias("other")).groupBy("tkey").agg((F.min("other") != F.max("other")).alias("clash")).filter("clash")
-    clashes = materialize(clashes, "dedup-clashes")
+    clashes = keep(materialize(clashes, "dedup-clashes"))
     alike = not clashes.isEmpty()
     raw = docs.select(did.alias("did"), key(said).alias("tkey"), other.alias("other"), said.cast("binary").alias("text"))
     raw = (_distinguished(raw, clashes) if alike else raw).select("did", "tkey", "text")
@@ -410,20 +423,23 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, errors: int
     prints = materialize(raw.mapInArrow(run, "did long, tkey long, fp long, n int, tokens array<long>"), "dedup-prefixes")
     texts = materialize(prints.groupBy("tkey").agg(F.min("did").alias("did"), F.min("fp").alias("fp")), "dedup-texts")
     fps = materialize(texts.select("fp").distinct(), "dedup-prints")
-    links = link_forest(fps, fps.count(), errors).unionByName(prefix_links(prints.dropDuplicates(["tkey"]), least))
-    roots = components(links, "dedup")
+    with scratch(spark) as keep_too:  # tokens and pairs are far more than what they link
+        # One kind after the other: what each of them shuffles is there at a time.
+        forest = materialize(link_forest(fps, fps.count(), errors), "dedup-forest")
+        free_shuffles(spark)
+        roots = keep_too(components(forest.unionByName(prefix_links(prints.dropDuplicates(["tkey"]), least)), "dedup"))
+    free_shuffles(spark)
     texts = texts.join(roots, texts["fp"] == roots["node"], "left").select("tkey", "did", F.col("fp").alias("print"), F.coalesce("root", "fp").alias("root"))
     texts = materialize(texts, "dedup-rooted")
     several = texts.groupBy("root").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("root")
     several = materialize(texts.join(several, "root", "left_semi"), "dedup-several")
-    # The texts of groups only, each once.
+    # The texts of groups only, each once. Rounds rewrite who is open, not the texts.
     open_ = raw.join(several, ["did", "tkey"]).select("root", "tkey", "did", "print", "text").dropDuplicates(["tkey"])
-    open_ = materialize(open_, "dedup-open")
-    texts_of = open_.select("root", "tkey", "text")
+    texts_of = materialize(open_.select("*", F.octet_length("text").cast("long").alias("size")), "dedup-open")
+    held, open_ = texts_of.count(), texts_of.drop("text")
     copies = None
     bit = lambda i: F.shiftrightunsigned(F.col("print"), i).bitwiseAND(F.lit(1).cast("long"))
-    slim = open_.select("root", "tkey", "did", "print", F.octet_length("text").cast("long").alias("size"))
-    sums = slim.groupBy("root").agg(F.count(F.lit(1)).alias("c"), *[F.sum(bit(i)).alias(f"b{i}") for i in range(BITS)])
+    sums = open_.groupBy("root").agg(F.count(F.lit(1)).alias("c"), *[F.sum(bit(i)).alias(f"b{i}") for i in range(BITS)])
     middle = F.lit(0).cast("long")
     for i in range(BITS):
         middle = middle.bitwiseOR(F.when(2 * F.col(f"b{i}") > F.col("c"), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
@@ -431,11 +447,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, errors: int
     central = Window.partitionBy("root").orderBy("away", "did", "tkey")
     away = F.bit_count(F.col("print").bitwiseXOR(F.col("middle")))
     while not open_.isEmpty():
-        slim = open_.select("root", "tkey", "did", "print", F.octet_length("text").cast("long").alias("size")).join(middles, "root").withColumn("away", away)
+        slim = open_.join(middles, "root").withColumn("away", away)
         first = slim.withColumn("rank", F.row_number().over(central)).filter(F.col("rank") <= batch)
         first = first.withColumn("held", F.sum("size").over(Window.partitionBy("root").orderBy("rank"))).filter((F.col("rank") == 1) | (F.col("held") <= batch_bytes))
         first = materialize(first.select("tkey", "rank"), "dedup-first")
-        settled = open_.join(first, "tkey").select("root", "tkey", "rank", "text").groupBy("root").applyInPandas(lambda f: _greedy(f, shingle, least), "tkey long, kept boolean")
+        settled = texts_of.join(first, "tkey").select("root", "tkey", "rank", "text").groupBy("root").applyInPandas(lambda f: _greedy(f, shingle, least), "tkey long, kept boolean")
         settled = materialize(settled, "dedup-settled")
         found = settled.filter("not kept").select("tkey")
         copies = found if copies is None else copies.unionByName(found)
@@ -443,19 +459,27 @@ def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8, errors: int
         if open_.isEmpty():
             break
         # The rest of large components, in parts, against what was kept of their batch.
-        parts = open_.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(batch)), F.ceil(F.sum(F.octet_length("text")) / F.lit(batch_bytes))).cast("int").alias("parts"))
+        parts = open_.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(batch)), F.ceil(F.sum("size") / F.lit(batch_bytes))).cast("int").alias("parts"))
         parts = materialize(parts, "dedup-parts")
-        rest = open_.join(parts, "root").select(F.col("root").alias("r_root"), F.pmod(F.xxhash64("tkey"), F.col("parts")).cast("int").alias("r_part"), "tkey", "text")
-        leads = texts_of.join(settled.filter("kept").select("tkey"), "tkey").join(parts, "root")
+        rest = texts_of.join(open_.select("tkey"), "tkey").join(parts, "root").select(F.col("root").alias("r_root"), F.pmod(F.xxhash64("tkey"), F.col("parts")).cast("int").alias("r_part"), "tkey", "text")
+        again = spark.read.schema(texts_of.schema).parquet(texts_of.path__)  # with columns of its own: both sides come of one table
+        leads = again.select("root", "tkey", "text").join(settled.filter("kept").select("tkey"), "tkey").join(parts, "root")
         leads = leads.select(F.col("root").alias("l_root"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("l_part"), "text")
         judged = rest.groupBy("r_root", "r_part").cogroup(leads.groupBy("l_root", "l_part")).applyInPandas(lambda a, b: _held_against(a, b, shingle, least), "tkey long, same boolean")
         judged = materialize(judged, "dedup-judged")
         copies = copies.unionByName(judged.filter("same").select("tkey"))
         open_ = materialize(open_.join(judged.filter("not same").select("tkey"), "tkey"), "dedup-open")
+        left = open_.count()
+        if 2 * left <= held:  # all rewritten texts are no more than the first ones
+            before = texts_of
+            texts_of, held = materialize(texts_of.join(open_.select("tkey"), "tkey"), "dedup-texts-open"), left
+            drop_folder(spark, before.path__)
+        free_shuffles(spark)
     kept = texts.select("did", "tkey")
     if copies is not None:
         kept = kept.join(copies, "tkey", "left_anti")
-    kept = materialize(kept.select(F.col("did").alias("k_did"), F.col("tkey").alias("k_tkey")), "dedup-kept")
+    kept = keep(materialize(kept.select(F.col("did").alias("k_did"), F.col("tkey").alias("k_tkey")), "dedup-kept"))
+    free_shuffles(spark)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), did.alias("did"), key(said).alias("tkey"), other.alias("other"))
     packed = _distinguished(packed, clashes) if alike else packed
     out = packed.join(kept, (F.col("did") == F.col("k_did")) & (F.col("tkey") == F.col("k_tkey"))).dropDuplicates(["did", "tkey"])

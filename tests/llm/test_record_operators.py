@@ -436,3 +436,35 @@ def test_fingerprint_links_have_a_small_plan(spark):
         order = [*choices[r["choice"]], *[i for i in range(len(blocks)) if i not in choices[r["choice"]]]]
         told = "".join(f"{cut(r['fp'] % (1 << 64), i):0{blocks[i][1]}b}" for i in order)
         assert int(told, 2) == r["bits"] % (1 << 64) and int(told[: sum(blocks[i][1] for i in order[:k])], 2) == r["key"]
+
+
+def test_keep_one_leaves_no_tables_of_its_steps(spark, monkeypatch):
+    """Rounds write who is open, not their texts again, and what a step wrote goes when the next one has read it."""
+    import os
+
+    from talkledger.llm import common
+
+    rng = random.Random(11)
+    said = [f"w{n}" for n in range(400)]
+    hot = " ".join(["one", "line", "that", "all", "texts", "have"])
+    rows = [(n, " ".join(rng.choices(said, k=20)) + " " + hot) for n in range(150)]  # a component of 150 texts, none like another
+    df = spark.createDataFrame([*rows, (900, rows[3][1]), (901, rows[4][1] + " x")], "doc_id long, text string")
+    wrote, plain = [], common.materialize
+
+    def seen(frame, tag):
+        out = plain(frame, tag)
+        wrote.append((tag, out))
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", seen)
+    monkeypatch.setattr(common, "materialize", seen)
+    texts = {}
+    for batch in (2048, 16):
+        wrote.clear()
+        out = simhash.keep_one(df, batch=batch)
+        there = [tag for tag, t in wrote if os.path.exists(t.path__)]
+        assert sorted(there) == ["dedup-clashes", "dedup-kept"]
+        texts[batch] = sum("text" in t.columns for _, t in wrote)
+        assert sorted(r["doc_id"] for r in out.collect()) == list(range(150))
+    assert 1 <= texts[16] <= 1 + 8  # halvings, not rounds
+    assert simhash._blocks(2_200_000, 7)[1] == 2 and simhash._blocks(250_000, 7)[1] == 2
