@@ -157,3 +157,16 @@ def test_word_sets_with_frequent_and_rare_words():
     got = index.nearest([(t, some) for t in asked], 4)
     for text, found in zip(asked, got, strict=True):
         assert [(s, int(p)) for s, p, _ in found] == sorted((-float(similar.rounded(jaccard(text, texts[r]))), int(pos[r])) for r in some)[:4]
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_regressions_read_cases_that_were_joined_once(spark):
+    """Items and pool come of one table of labelled documents."""
+    import __spark_entry__
+
+    plan = _optimized(__spark_entry__.queries()["regression_diagnosis"](spark, "/root/testdata/sf0.001"))
+    assert "n_chars" not in plan  # no scan of all documents
+    assert plan.count("FlatMapCoGroupsInArrow") == 1
