@@ -170,3 +170,13 @@ def test_regressions_read_cases_that_were_joined_once(spark):
     plan = _optimized(__spark_entry__.queries()["regression_diagnosis"](spark, "/root/testdata/sf0.001"))
     assert "n_chars" not in plan  # no scan of all documents
     assert plan.count("FlatMapCoGroupsInArrow") == 1
+
+
+
+def test_merged_diagnoses_compare_once(spark):
+    """Both reports are made of one comparison, not each of its own."""
+    import __spark_entry__
+
+    plan = _optimized(__spark_entry__.queries()["merged_diagnoses"](spark, "/root/testdata/sf0.001"))
+    assert "n_chars" not in plan  # no scan of all documents
+    assert plan.count("FlatMapCoGroupsInArrow") == 1
