@@ -180,3 +180,13 @@ def test_merged_diagnoses_compare_once(spark):
     plan = _optimized(__spark_entry__.queries()["merged_diagnoses"](spark, "/root/testdata/sf0.001"))
     assert "n_chars" not in plan  # no scan of all documents
     assert plan.count("FlatMapCoGroupsInArrow") == 1
+
+
+
+def test_coverage_reads_cases_that_were_joined_once(spark):
+    """Items and pool come of one table of labelled documents."""
+    import __spark_entry__
+
+    plan = _optimized(__spark_entry__.queries()["coverage_similarity"](spark, "/root/testdata/sf0.001"))
+    assert "n_chars" not in plan  # no scan of all documents
+    assert plan.count("FlatMapCoGroupsInArrow") == 1
