@@ -190,3 +190,13 @@ def test_coverage_reads_cases_that_were_joined_once(spark):
     plan = _optimized(__spark_entry__.queries()["coverage_similarity"](spark, "/root/testdata/sf0.001"))
     assert "n_chars" not in plan  # no scan of all documents
     assert plan.count("FlatMapCoGroupsInArrow") == 1
+
+
+
+def test_extension_compares_once(spark):
+    """Reviewed phrases and variants are made of one comparison."""
+    import __spark_entry__
+
+    plan = _optimized(__spark_entry__.queries()["extension_rows"](spark, "/root/testdata/sf0.001"))
+    assert "n_chars" not in plan  # no scan of all documents
+    assert plan.count("FlatMapCoGroupsInArrow") == 1
